@@ -32,6 +32,13 @@ def op1_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grafita.llm.substring_dedup import remove_repeats
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(documents, window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grafita.llm.toxicity import fit_from_tables, score
 
@@ -67,6 +74,12 @@ def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents).select("doc_id", "source", "mix_round", "mix_block", "mix_at", "mix_tokens")
 
 
+def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grafita.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8)
+
+
 OP7_SQL = r"""
 with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, regexp_extract(rest, '^[^?#]*') as whole from u),
@@ -80,7 +93,7 @@ from p left join m on p.page_id = m.page_id and m.n = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multiprobe_ann, op4_toxicity, op5_embedding_dedup, op7_url_filter, op8_sum_of_squares_packing, op9_temperature_mixing)}
+    return {f.__name__: f for f in (op1_multiprobe_ann, op2_substring_dedup, op4_toxicity, op5_embedding_dedup, op7_url_filter, op8_sum_of_squares_packing, op9_temperature_mixing, op10_bag_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -103,15 +103,33 @@ class Words:
             out += self.hash[j : m - k + 1 + j] * keys[j]
         return mix(out)
 
-    def rolling_hash(self, k: int) -> np.ndarray:
-        """As run_hash, in time that does not grow with k (a polynomial over prefix sums)."""
+    def prefix(self, salt: int = 0) -> np.ndarray:
+        """Prefix sums of a polynomial over the word hashes; another salt, another hash."""
+        m = len(self.hash)
+        total = np.zeros(m + 1, _U)
+        np.cumsum((mix(self.hash ^ _U(salt)) if salt else self.hash) * _power_table(m + 1)[0][:m], out=total[1:])
+        return total
+
+    def span_hash(self, total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the words start:end, the same wherever they stand."""
+        return mix((total[end] - total[start]) * _power_table(len(total))[1][start])
+
+    def rolling_hash(self, k: int, salt: int = 0) -> np.ndarray:
+        """As run_hash, in time that does not grow with k."""
         m = len(self.hash)
         if m < k:
             return np.zeros(0, _U)
-        up, down = _power_table(m + 1)
-        total = np.zeros(m + 1, _U)
-        np.cumsum(self.hash * up[:m], out=total[1:])
-        return mix((total[k:] - total[:-k]) * down[: m - k + 1])
+        total = self.prefix(salt)
+        return mix((total[k:] - total[:-k]) * _power_table(m + 1)[1][: m - k + 1])
+
+    def text_hash(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of each text's whole sequence of words."""
+        down = _power_table(len(self.hash) + 1)[1]
+        out = []
+        for salt in (0, 0x2545F4914F6CDD1D):
+            total = self.prefix(salt)
+            out.append(mix((total[self.first[1:]] - total[self.first[:-1]]) * down[self.first[:-1]] + self.counts.astype(_U) * _U(0x9E3779B97F4A7C15)))
+        return out[0], out[1]
 
     def run_starts(self, k: int) -> np.ndarray:
         """Mask over len(hash) - k + 1 starts: the k words lie in one text."""
