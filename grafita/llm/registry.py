@@ -39,6 +39,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents, window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grafita.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grafita.llm.toxicity import fit_from_tables, score
 
@@ -54,6 +60,13 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grafita.llm.html_text import extract, fit_from_table
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages, fit_from_table(pages))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grafita.llm.url_filter import Rule, filter_urls
 
@@ -93,7 +106,7 @@ from p left join m on p.page_id = m.page_id and m.n = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multiprobe_ann, op2_substring_dedup, op4_toxicity, op5_embedding_dedup, op7_url_filter, op8_sum_of_squares_packing, op9_temperature_mixing, op10_bag_minhash)}
+    return {f.__name__: f for f in (op1_multiprobe_ann, op2_substring_dedup, op3_warc, op4_toxicity, op5_embedding_dedup, op6_html_text, op7_url_filter, op8_sum_of_squares_packing, op9_temperature_mixing, op10_bag_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
