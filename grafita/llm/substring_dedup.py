@@ -32,8 +32,8 @@ from grafita.llm.textkit import Words, mix, slices, texts_of
 
 _U = np.uint64
 _SECOND = 0x6A09E667F3BCC909
-_SHARD_BYTES = 12 << 20
-_BUCKET_WINDOWS = 1 << 20
+_SHARD_BYTES = 6 << 20
+_BUCKET_WINDOWS = 1 << 19
 
 
 def _squeeze(x: np.ndarray) -> bytes:
