@@ -12,8 +12,9 @@ point is later than the latest register: most are looked at once.
 Signatures are banded.  Texts with equal words are one candidate.  In each bucket all
 members are compared with two of them, the smallest and the largest id; the multisets
 are compared exactly.  Where a bucket then still holds more than one component, all
-pairs across its components are compared too, so that no link of a bucket is lost and
-yet a large group never turns into all its pairs.
+pairs across its components are compared too, in blocks of bounded size whose
+intersections are one matrix product, and of the links only a spanning forest leaves the
+task: no link of a bucket is lost, and a large group never turns into rows of its pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from grafita.llm.textkit import Words, hash_keys, mix, slices, texts_of
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
 _LOW48 = _U((1 << 48) - 1)
+_BLOCK = 512
+_TASK_ROWS = 2_000
 
 
 def shingles(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,6 +167,71 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> D
     return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
+def _common(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of multisets, by products of 0/1 matrices of (element, level)."""
+    owner = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+    element, count = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
+    row = np.repeat(np.arange(len(element)), count)
+    level = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    _, column, times = np.unique(mix(element[row] + level.astype(_U) * _GOLDEN), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    use = shared[column]
+    column, owner = place[column[use]], owner[row][use]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(bags), len(bags)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, [at, at + 4096])
+        hold = np.zeros((len(bags), 4096), np.float32)
+        hold[owner[i:j], column[i:j] - at] = 1
+        out += hold @ hold.T
+    return out
+
+
+def _links_across(rows: pa.Table, threshold: float, k: int) -> pa.Table:
+    """Links between members of different components, of each pair of blocks in rows.
+
+    A pair is looked at in the first band it shares, and no more than a spanning forest of
+    the links of a unit is sent.
+    """
+    rows = rows.sort_by([("key", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("rep", "ascending")])
+    unit = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("key", "lo", "hi")])
+    cuts = np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(0)) + 1
+    ids, label, block = rows["rep"].to_numpy(), rows["label"].to_numpy(), rows["block"].to_numpy()
+    bands = np.stack(rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1))
+    packed = rows["packed"].combine_chunks()
+    open_ = zstandard.ZstdDecompressor().decompress
+    found: list[tuple[int, int]] = []
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
+        key, lo, hi = unit[:, s]
+        lane = int(np.flatnonzero((bands[s] == key))[0])
+        want = (label[s:e, None] != label[None, s:e]) & (block[s:e, None] == lo) & (block[None, s:e] == hi)
+        for t in range(lane):
+            want &= bands[s:e, t, None] != bands[None, s:e, t]
+        need = np.flatnonzero(want.any(0) | want.any(1))
+        if not len(need):
+            continue
+        bags = _bags(pa.array([open_(packed[s + int(i)].as_py()) for i in need], pa.binary()).cast(pa.string()), k)
+        size = np.array([b[1].sum() for b in bags], np.float64)
+        common = _common(bags)
+        i, j = np.nonzero(want[np.ix_(need, need)] & (common >= threshold * (size[:, None] + size[None, :] - common)))
+        parent = list(range(len(need)))
+
+        def root(x: int, parent: list[int] = parent) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            rx, ry = root(x), root(y)
+            if rx != ry:
+                parent[ry] = rx
+                found.append((int(ids[s + need[x]]), int(ids[s + need[y]])))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
 def near_duplicates(documents: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 24, rows: int = 6) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its group) and kept (doc_id = class_id) for every row.
 
@@ -174,7 +242,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, k: int = 5, ba
     """
     sig = cut(signatures(documents, bands, rows, k))
     usable = sig.where("w1 is not null and doc_id is not null")
-    reps = usable.groupBy("w1", "w2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    reps = cut(usable.groupBy("w1", "w2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     entries = reps.select("rep", F.explode("bands").alias("key"))
     stats = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("c > 1").drop("c")
     members = cut(entries.join(stats, "key").select("key", "rep", "lo", "hi"))
@@ -184,13 +252,19 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, k: int = 5, ba
     texts = cut(_packed(documents).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     edges = cut(_verified(tested, texts, threshold, k))
     labels = components(edges)
-    # buckets that still hold several components: every pair across them that is not yet tested
+    # buckets that still hold several components: every pair across them, block by block
     named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).where("x < y and c > 2").select("key")
-    open_ = named.join(mixed, "key")
-    other = open_.select("key", F.col("rep").alias("rep2"), F.col("label").alias("label2"))
-    crossing = open_.join(other, "key").where("label < label2").select(*pair(F.col("rep"), F.col("rep2"))).distinct().join(tested, ["a", "b"], "left_anti")
-    more = cut(_verified(crossing, texts, threshold, k))
+    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).where("x < y and c > 2").select("key", F.ceil(F.col("c") / _BLOCK).cast("int").alias("nb"))
+    placed = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    units = placed.select("key", "rep", "label", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    units = cut(units)
+    tasks = max(1, units.count() // _TASK_ROWS)
+    full = units.join(reps.select("rep", "bands"), "rep").join(texts.select(F.col("doc_id").alias("rep"), "packed"), "rep").withColumn("p", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(tasks)))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        return _links_across(rows, threshold, k)
+
+    more = cut(full.select("p", "key", "lo", "hi", "block", "rep", "label", "bands", "packed").groupBy("p").applyInArrow(compare, "a long, b long"))
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
     classes = reps.select("w1", "w2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("w1", "w2", F.coalesce("component", "rep").alias("class_id"))
