@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from grafita.plans import q_match
+from grafita.plans import q_match, q_more
 
-_MODULES = (q_match,)
+_MODULES = (q_match, q_more)
 
 
 def queries() -> dict:
