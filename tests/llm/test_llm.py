@@ -104,12 +104,12 @@ def test_bag_minhash_is_unbiased():
 
 def test_large_buckets_are_compared_block_by_block(spark):
     rng = random.Random(3)
-    base = ["b%d" % i for i in range(100)]
+    base = ["b%d" % i for i in range(300)]
     rows = []
     for i in range(40):
         w = list(base)
-        w[rng.randrange(100)] = "e%d" % i
-        w[rng.randrange(100)] = "f%d" % i
+        w[rng.randrange(300)] = "e%d" % i
+        w[rng.randrange(300)] = "f%d" % i
         rows.append((i, " ".join(w)))
     got = {r.class_id for r in minhash.near_duplicates(docs_of(spark, rows)).collect()}
     assert got == {0}
