@@ -101,14 +101,15 @@ class Index:
         return out
 
 
-def build(sample: np.ndarray, norm: float, rows: int, k: int, recall: float, tables: int = 6, bucket_rows: int = 48, seed: int = 3) -> tuple[Index, int]:
+def build(sample: np.ndarray, norm: float, rows: int, k: int, recall: float, tables: int = 6, seed: int = 3) -> tuple[Index, int]:
     """An index for ``rows`` rows and the probes a table, found on the sample (rows at random).
 
-    Sample neighbours lie farther off than those in the whole table, so the share found
-    there errs on the low side.
+    A query's true neighbours in the sample lie about as far off as those in the table, or
+    farther.  Hashes grow with the log of the rows, at 0.45 a doubling: buckets then grow,
+    too, more slowly than the table, and so do the probes that a query needs.
     """
     dim = sample.shape[1]
-    hashes = int(np.clip(round(np.log2(max(rows, 2) / bucket_rows)), 1, 24)) if rows > bucket_rows else 1
+    hashes = int(np.clip(round(0.45 * np.log2(max(rows, 2))), 1, 24))
     rng = np.random.default_rng(seed)
     a = rng.standard_normal((dim + 1, tables * hashes))
     lifted = np.column_stack([sample, np.sqrt(np.maximum(0, norm**2 - (sample * sample).sum(1)))])
@@ -137,7 +138,7 @@ def build(sample: np.ndarray, norm: float, rows: int, k: int, recall: float, tab
     return index, most
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97, sample_rows: int = 4096, seed: int = 3) -> DataFrame:
+def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.98, sample_rows: int = 4096, seed: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k rows of largest inner product found.
 
     ``table`` and ``queries`` hold (vec_id, embedding).  A row is no candidate of a query
@@ -184,21 +185,24 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0
     def rank(rows: pa.Table, probes: pa.Table) -> pa.Table:
         if not rows.num_rows or not probes.num_rows:
             return _none()
-        keys = {}
-        column = [rows[c].to_numpy() for c in ("t", "bucket", "block")]
+        names = ("t", "bucket", "block")
+        column = [rows[c].to_numpy().astype(np.int64) for c in names]
         order = np.lexsort(column[::-1])
-        sorted_ = np.stack([c[order].astype(np.int64) for c in column])
-        cuts = np.flatnonzero((sorted_[:, 1:] != sorted_[:, :-1]).any(0)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(order)], strict=True):
-            keys[tuple(sorted_[:, a].tolist())] = order[a:b]
-        ids, x = rows["vec_id"].to_numpy(), matrix(rows["embedding"])
+        keys = np.stack(column)[:, order]
+        cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [len(order)]])
+        place = {tuple(keys[:, a].tolist()): i for i, a in enumerate(cuts[:-1])}
+        ids, x = rows["vec_id"].to_numpy()[order], matrix(rows["embedding"])[order]
         qid, qx = probes["query_id"].to_numpy(), matrix(probes["q"])
-        out = []
+        visitors: dict[int, list[int]] = {}
         for i, visits in enumerate(probes["visits"].to_pylist()):
-            at = [keys[v] for v in ((u["t"], u["bucket"], u["block"]) for u in visits) if v in keys]
-            if at:
-                _best(out, int(qid[i]), qx[i], np.unique(np.concatenate(at)), ids, x, k)
-        return _table(out)
+            for v in visits:
+                at = place.get((v["t"], v["bucket"], v["block"]))
+                if at is not None:
+                    visitors.setdefault(at, []).append(i)
+        best = _Best(qid, qx, ids, x, k)
+        for at, who in visitors.items():
+            best.offer(np.array(who), int(cuts[at]), int(cuts[at + 1]))
+        return best.table()
 
     found = data.groupBy("p").cogroup(probe.groupBy("p")).applyInArrow(rank, schema)
     best = cut(_top(found, k))
@@ -215,30 +219,62 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0
     def rank_all(rows: pa.Table, probes: pa.Table) -> pa.Table:
         if not rows.num_rows or not probes.num_rows:
             return _none()
-        ids, x, out = rows["vec_id"].to_numpy(), matrix(rows["embedding"]), []
-        for q, v in zip(probes["query_id"].to_pylist(), matrix(probes["q"]), strict=True):
-            _best(out, q, v, np.arange(len(ids)), ids, x, k)
-        return _table(out)
+        ids, x, qx = rows["vec_id"].to_numpy(), matrix(rows["embedding"]), matrix(probes["q"])
+        best = _Best(probes["query_id"].to_numpy(), qx, ids, x, k)
+        for at in range(0, len(ids), _BLOCK):
+            best.offer(np.arange(len(qx)), at, min(at + _BLOCK, len(ids)))
+        return best.table()
 
     rest = every.groupBy("p", "g").cogroup(each.groupBy("p", "g")).applyInArrow(rank_all, schema)
     return best.join(short.select("query_id"), "query_id", "left_anti").unionByName(_top(rest, k))
 
 
-def _best(out: list, query: int, q: np.ndarray, at: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> None:
-    at = at[ids[at] != query]
-    score = np.einsum("ij,j->i", x[at], q)
-    if len(at) > 4 * k:
-        edge = np.partition(score, len(score) - k)[len(score) - k]
-        at, score = at[score >= edge], score[score >= edge]
-    order = np.lexsort((ids[at], -score))[:k]
-    out.append((np.full(len(order), query), ids[at[order]], score[order]))
+class _Best:
+    """The k best rows of each query so far; what can't be among them is dropped at once.
 
+    Products of matrices may differ in the last digit for equal vectors, so they are
+    compared after rounding, ties going to the smaller id; the scores given out are summed
+    anew, in one order for all.
+    """
 
-def _table(out: list) -> pa.Table:
-    if not out:
-        return _none()
-    q, v, s = (np.concatenate(c) for c in zip(*out, strict=True))
-    return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+    def __init__(self, query_id: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
+        self.qid, self.q, self.ids, self.x, self.k = query_id, q, ids, x, k
+        self.edge = np.full(len(query_id), -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def offer(self, who: np.ndarray, a: int, b: int) -> None:
+        """Rows a:b to the queries who."""
+        for at in range(0, len(who), 1024):
+            rows = who[at : at + 1024]
+            score = np.round(self.q[rows] @ self.x[a:b].T, 11)
+            i, j = np.nonzero((score >= self.edge[rows, None]) & (self.qid[rows, None] != self.ids[None, a:b]))
+            self.held.append((rows[i], a + j, score[i, j]))
+            self.size += len(i)
+            if self.size > 300_000:
+                self.trim()
+
+    def trim(self) -> None:
+        who, row, score = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        order = np.lexsort((self.ids[row], -score, who))
+        who, row, score = who[order], row[order], score[order]
+        ids = self.ids[row]
+        new = np.concatenate([[True], (who[1:] != who[:-1]) | (ids[1:] != ids[:-1])])  # tables overlap
+        who, row, score = who[new], row[new], score[new]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        last = rank == self.k - 1
+        self.edge[who[last]] = score[last]
+        keep = rank < self.k
+        self.held = [(who[keep], row[keep], score[keep])]
+        self.size = int(keep.sum())
+
+    def table(self) -> pa.Table:
+        if not self.size:
+            return _none()
+        self.trim()
+        who, row, _ = self.held[0]
+        score = np.einsum("ij,ij->i", self.q[who], self.x[row])
+        return pa.table({"query_id": pa.array(self.qid[who], pa.int64()), "vec_id": pa.array(self.ids[row], pa.int64()), "score": pa.array(score, pa.float64())})
 
 
 def _none() -> pa.Table:
