@@ -86,19 +86,19 @@ def relevant_year(path: Column) -> Column:
     """The year of a path's folders.
 
     From the last all-digit folder back to the first folder with exactly one year (20dd);
-    failing that the last folder with exactly one year, one whose kind word follows the
-    year preferred; else unknown.
+    failing that the last folder with exactly one year and its first kind word after it;
+    failing that the first folder with exactly one year; else unknown.
     """
     parts = F.split(F.translate(path, "\\", "/"), "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
-    years = lambda f: F.regexp_extract_all(f, F.lit(r"(?<!\d)(20\d\d)(?!\d)"), F.lit(1))
+    years = lambda f: F.regexp_extract_all(f, F.lit(r"(20\d\d)"), F.lit(1))
     digits = F.array_max(F.filter(F.transform(folders, lambda f, i: F.when(f.rlike(r"^\d+$"), i)), lambda i: i.isNotNull()))
-    marked = F.transform(folders, lambda f, i: F.struct(i.alias("i"), years(f).alias("y"), F.lower(f).rlike(r"20\d\d.*(informe|propuesta|resumen)").alias("k")))
+    marked = F.transform(folders, lambda f, i: F.struct(i.alias("i"), years(f).alias("y"), F.lower(f).rlike(r"^((?!informe|propuesta|resumen).)*20\d\d.*(informe|propuesta|resumen)").alias("k")))
     single = F.filter(marked, lambda m: F.size(m["y"]) == 1)
     above = F.filter(single, lambda m: m["i"] < digits)
     preferred = F.filter(single, lambda m: m["k"])
     pick = lambda a: F.get(F.get(F.reverse(a), F.lit(0))["y"], F.lit(0))
-    return F.coalesce(F.when(digits.isNotNull(), pick(above)), pick(preferred), pick(single), F.lit("unknown"))
+    return F.coalesce(F.when(digits.isNotNull(), pick(above)), pick(preferred), F.get(F.get(single, F.lit(0))["y"], F.lit(0)), F.lit("unknown"))
 
 
 def path_form_id(path: Column) -> Column:
