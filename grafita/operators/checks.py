@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grafita.plans.derived import Graph, union
+from grafita.sources.shared import cut
 
 
 def cardinalities(nodes: DataFrame, edges: DataFrame, endpoints: DataFrame, rules: DataFrame) -> DataFrame:
@@ -31,27 +32,18 @@ def cross_document_links(g: Graph) -> DataFrame:
     return g.edges_of("SIGUIENTE_CHUNK").join(a, "source_id").join(b, "target_id").where("d1 <> d2").select("source_id", "target_id")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def unreachable_chunks(g: Graph) -> DataFrame:
     """Chunks that no first chunk leads to (I06), by pointer doubling: log of the longest chain in joins."""
-    reached = _cut(g.edges_of("PRIMER_CHUNK").select(F.col("target_id").alias("id")).distinct())
-    jump = _cut(g.edges_of("SIGUIENTE_CHUNK").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
+    reached = cut(g.edges_of("PRIMER_CHUNK").select(F.col("target_id").alias("id")).distinct())
+    jump = cut(g.edges_of("SIGUIENTE_CHUNK").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
     n = reached.count()
     while True:
-        reached = _cut(reached.unionByName(reached.join(jump, reached.id == jump.a).select(F.col("b").alias("id"))).distinct())
+        reached = cut(reached.unionByName(reached.join(jump, reached.id == jump.a).select(F.col("b").alias("id"))).distinct())
         now = reached.count()
         if now == n:
             break
         n = now
-        jump = _cut(jump.alias("x").join(jump.alias("y"), F.expr("x.b = y.a")).select("x.a", "y.b").distinct())
+        jump = cut(jump.alias("x").join(jump.alias("y"), F.expr("x.b = y.a")).select("x.a", "y.b").distinct())
     return g.nodes_of("Chunk").select("id").join(reached, "id", "left_anti")
 
 
@@ -61,16 +53,16 @@ def chunks_on_cycles(g: Graph) -> DataFrame:
     Where every chunk has one successor at most, the images of the 2**k-th power of the
     successor map shrink to the chunks on cycles, and what lies behind them never stays.
     """
-    jump = _cut(g.edges_of("SIGUIENTE_CHUNK").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
+    jump = cut(g.edges_of("SIGUIENTE_CHUNK").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
     live, n = jump, -1
     while True:
         image = live.select(F.col("b").alias("a")).distinct()
-        now = _cut(image)
+        now = cut(image)
         count = now.count()
         if count == n:
             return now.select(F.col("a").alias("id"))
         n = count
-        live = _cut(live.alias("x").join(live.alias("y"), F.expr("x.b = y.a")).select("x.a", "y.b"))
+        live = cut(live.alias("x").join(live.alias("y"), F.expr("x.b = y.a")).select("x.a", "y.b"))
 
 
 def participation_without_evidence(g: Graph) -> DataFrame:

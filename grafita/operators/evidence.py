@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grafita.sources.shared import cut
+
 #: Labels in the order of a context, with their headings.
 HEADINGS = {"Proyecto": "Proyectos", "Grupo": "Grupos", "Investigador": "Investigadores", "Topico": "Tópicos", "Documento": "Documentos", "Anio": "Año", "Area": "Áreas"}
 #: The head lines of contexts and what stands for no result.
@@ -75,10 +77,13 @@ def evidence_edges(tied: DataFrame) -> DataFrame:
 def build_messages(questions: DataFrame, templates: DataFrame) -> DataFrame:
     """One row for each question and template: {question} and {context} put in.
 
-    questions: id, question, context; templates: prompt, system, template, a table of a few rows.
+    questions: id, question, context; templates: prompt, system, template, at most 1000 rows,
+    which is checked before they go to every task.
     """
+    if templates.limit(1001).count() > 1000:
+        raise ValueError("more than 1000 templates")
     user = F.replace(F.replace("template", F.lit("{context}"), F.coalesce("context", F.lit(""))), F.lit("{question}"), F.coalesce("question", F.lit("")))
-    return questions.join(F.broadcast(templates.limit(1000))).select("id", "prompt", "system", user.alias("user"))
+    return questions.join(F.broadcast(templates)).select("id", "prompt", "system", user.alias("user"))
 
 
 def answer_batch(questions: DataFrame, responder: Callable[[pd.Series], pd.Series], sentinels: Sequence[str] = (), overwrite: bool = False) -> DataFrame:
@@ -125,10 +130,10 @@ def append_history(stored: DataFrame, batch: DataFrame, order: Sequence[str], ke
     """stored and the batch with ids after the greatest stored one, in an explicit order.
 
     Ids are offsets of range partitions added to numbers within them, so no task sees the
-    whole batch.
+    whole batch.  The numbered batch is written once, as another run could draw other bounds.
     """
     b = batch.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()})
-    b = b.withColumn("__n", (F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33)) + 1)
+    b = cut(b.withColumn("__n", (F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33)) + 1))
     sizes = b.groupBy("__p").agg(F.max("__n").alias("__c"))
     w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = sizes.select("__p", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__o"))

@@ -85,7 +85,7 @@ def documents(files: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame,
     """
     ext = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
     base = F.regexp_replace("name", r"\.[^.]+$", "")
-    f = files.select("name", base.alias("id"), ext.alias("ext"), tx.document_name(F.col("name")).alias("n"))
+    f = files.select("name", base.alias("id"), ext.alias("ext"), tx.document_name(base).alias("n"))
     f = f.withColumns({"is_table": F.col("ext").isin("csv", "xlsx"), "narrative": F.col("ext").isin("pdf", "docx", "html", "md", "txt"), "key": F.when(F.col("n.sub_id") != "", F.concat_ws("_", "n.grupo", "n.anio", "n.sub_id"))})
     known = rows.select(F.col("id_archivo").cast("string").alias("key")).distinct().withColumn("known", F.lit(True))
     f = f.join(known, "key", "left")
