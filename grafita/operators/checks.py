@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafita.plans.derived import Graph, union
+from grafita.schema import DOCUMENT_KINDS
 from grafita.sources.shared import cut
 
 
@@ -127,3 +130,84 @@ def audit_query_log(log: DataFrame, text: str = "query_text") -> DataFrame:
 def graphs_equal(a: DataFrame, b: DataFrame) -> bool:
     """The same rows, however often and in whatever order."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def entity_issues(nodes: DataFrame, fields: DataFrame, closed: Sequence[str] = ()) -> DataFrame:
+    """label, id, field, issue of nodes (label, id, props map<string,string>).
+
+    Issues: unknown_label, missing (a required field that is absent), blank (a scalar without
+    text), wrong_type (a list that is no JSON list, or an enum value outside the kinds) and
+    undeclared (a field the label lacks, for the labels in ``closed``).
+    """
+    f = F.broadcast(fields)
+    known = F.broadcast(fields.select("label").distinct())
+    n = nodes.join(known, "label", "left_semi")
+    value = F.col("props")[F.col("field")]
+    due = n.join(f, "label").select("label", "id", "field", "type", "required", F.map_contains_key("props", F.col("field")).alias("there"), value.alias("value"))
+    issue = (
+        F.when(~F.col("there") & F.col("required"), "missing").when(F.col("there") & (F.col("type") == "list") & ~F.coalesce(F.col("value").rlike(r"^\s*\["), F.lit(False)), "wrong_type")
+        .when(F.col("there") & F.col("required") & (F.trim(F.coalesce("value", F.lit(""))) == ""), "blank").when(F.col("there") & (F.col("type") == "enum") & ~F.col("value").isin(*DOCUMENT_KINDS), "wrong_type")
+    )
+    told = due.withColumn("issue", issue).where("issue is not null").select("label", "id", "field", "issue")
+    given = n.where(F.col("label").isin(*closed)).select("label", "id", F.explode(F.map_keys("props")).alias("field"))
+    extra = given.join(F.broadcast(fields.select("label", "field")), ["label", "field"], "left_anti").select("label", "id", "field", F.lit("undeclared").alias("issue"))
+    alien = nodes.join(known, "label", "left_anti").select("label", "id", F.lit(None).cast("string").alias("field"), F.lit("unknown_label").alias("issue"))
+    return union(told, extra, alien)
+
+
+def issue_report(issues: DataFrame, by: Sequence[str], shown: int = 50) -> DataFrame:
+    """Each kind's number of issues and the first ``shown`` of its ids.
+
+    A kind with very many issues is first cut to its bucket's first ones, in 64 buckets.
+    """
+    total = issues.groupBy(*by).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*by, "__b").orderBy("id")
+    t = issues.select(*by, "id").withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= shown)
+    ids = t.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list("id")), 1, shown).alias("ids"))
+    return total.join(ids, list(by))
+
+
+def structural_issues(nodes: DataFrame, edges: DataFrame, endpoints: DataFrame, labels: DataFrame) -> DataFrame:
+    """issue and item of each breach of structure.
+
+    duplicate_id, blank_id, unknown_label, unknown_type, no_source, no_target, illegal_ends.
+    Labels of an id are gathered before the joins, so an id seen often is one row there.
+    """
+    name = F.concat_ws("|", "type", "source_id", "target_id")
+    say = lambda df, issue, item: df.select(F.lit(issue).alias("issue"), item.alias("item"))
+    twice = nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    blank = nodes.where(F.trim(F.coalesce("id", F.lit(""))) == "")
+    alien = nodes.join(F.broadcast(labels.select("label").distinct()), "label", "left_anti")
+    types = F.broadcast(endpoints.select("type").distinct().withColumn("known", F.lit(True)))
+    ends = nodes.groupBy("id").agg(F.min("label").alias("label"))
+    a, z = ends.select(F.col("id").alias("source_id"), F.col("label").alias("src_label")), ends.select(F.col("id").alias("target_id"), F.col("label").alias("dst_label"))
+    legal = F.broadcast(endpoints.withColumn("legal", F.lit(True)))
+    e = edges.join(types, "type", "left").join(a, "source_id", "left").join(z, "target_id", "left").join(legal, ["type", "src_label", "dst_label"], "left")
+    found = F.array_compact(F.array(
+        F.when(F.col("known").isNull(), "unknown_type"), F.when(F.col("src_label").isNull(), "no_source"), F.when(F.col("dst_label").isNull(), "no_target"),
+        F.when(F.col("known").isNotNull() & F.col("src_label").isNotNull() & F.col("dst_label").isNotNull() & F.col("legal").isNull(), "illegal_ends"),
+    ))
+    return union(say(twice, "duplicate_id", F.col("id")), say(blank, "blank_id", F.col("label")), say(alien, "unknown_label", F.col("id")), e.select(F.explode(found).alias("issue"), name.alias("item")))
+
+
+def constraint_issues(g: Graph) -> DataFrame:
+    """severity, rule and id of what lacks its evidence.
+
+    A project needs a title chunk; a document, tables aside, a first chunk and a chunk at
+    all; a second first chunk is a warning; a topic needs exactly one subfield.
+    """
+
+    def count(ids: DataFrame, kind: str, end: str) -> DataFrame:
+        n = g.edges_of(kind).groupBy(F.col(end).alias("id")).agg(F.count("*").alias("n"))
+        return ids.join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+
+    say = lambda df, where, severity, rule: df.where(where).select(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), "id")
+    docs = g.nodes_of("Documento").where("name <> 'tabla'").select("id")
+    first = count(docs, "PRIMER_CHUNK", "source_id")
+    field = count(g.nodes_of("Topico").select("id").distinct(), "PERTENECE_A_SUBCAMPO", "source_id")
+    return union(
+        say(count(g.nodes_of("Proyecto").select("id"), "TITULO_EXTRAIDO_DE", "source_id"), "n = 0", "error", "project.title"),
+        say(first, "n = 0", "error", "document.first_chunk"), say(first, "n > 1", "warning", "document.first_chunks"),
+        say(count(docs, "DE_DOCUMENTO", "target_id"), "n = 0", "error", "document.chunks"),
+        say(field, "n = 0", "error", "topic.subfield"), say(field, "n > 1", "error", "topic.subfields"),
+    )
