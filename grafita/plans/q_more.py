@@ -92,10 +92,10 @@ def c10_c16(s, d):
     return p.select("k", tx.path_group(F.col("path")).alias("prefix"), tx.document_kind(F.col("path")).alias("kind"), tx.path_project_key(F.col("path")).alias("key"), tx.valid_project_path(F.col("path")).alias("valid"))
 
 
-@reg("c13_c14", PATHS + """select k, case when y between 2000 and 2099 then cast(y as varchar) else coalesce(nullif(regexp_extract(cast(k as varchar), '20[0-9][0-9]'), ''), 'unknown') end as year,
-'proy_' || (case when y between 2000 and 2099 then cast(y as varchar) else coalesce(nullif(regexp_extract(cast(k as varchar), '20[0-9][0-9]'), ''), 'unknown') end) || '_' || k || '_' || (case when k % 4 = 0 or k % 3 = 0 then 'informe' else 'propuesta' end) || '.pdf' as name from p where k % 4 in (0, 1) or k % 3 in (0, 2)""")
+@reg("c13_c14", PATHS + """, y as (select *, k % 4 in (0, 1) or k % 3 in (0, 2) as placed, case when y between 2000 and 2099 then cast(y as varchar) else coalesce(nullif(regexp_extract(cast(k as varchar), '20[0-9][0-9]'), ''), 'unknown') end as year from p)
+select k, year, case when placed then 'proy_' || year || '_' || k || '_' || (case when k % 4 = 0 or k % 3 = 0 then 'informe' else 'propuesta' end) || '.pdf' else 'invalid_path_structure.pdf' end as name from y""")
 def c13_c14(s, d):
-    return paths(s, d).where("k % 4 in (0, 1) or k % 3 in (0, 2)").select("k", tx.relevant_year(F.col("path")).alias("year"), tx.canonical_name(F.col("path")).alias("name"))
+    return paths(s, d).select("k", tx.relevant_year(F.col("path")).alias("year"), tx.canonical_name(F.col("path")).alias("name"))
 
 
 @reg("c17_c18", "select conv_id, turn, lower(trim(regexp_replace(regexp_replace('T10001: ' || text, '^T?[0-9]+: ', ''), '\\s+', ' ', 'g'), ' ')) as plain from conversations")
