@@ -9,7 +9,7 @@ reads every whole text and needs only the weight table, whose size is fixed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,7 @@ from grafita.llm.textkit import slices, texts_of
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _U = np.uint64
+_FIT_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -70,46 +71,60 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(texts: list[str], toxic: np.ndarray, space: NgramSpace = NgramSpace(), features: int = 1 << 14, l2: float = 1e-3, rounds: int = 150) -> ToxicityModel:
+def _slices_of(texts: Sequence[str] | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, bytes, offsets) of slices of bounded size."""
+    column = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.large_string())
+    at = 0
+    for part in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), limit=_FIT_BYTES):
+        yield at, *texts_of(part.column(0))
+        at += part.num_rows
+
+
+def fit(texts: Sequence[str] | pa.ChunkedArray, toxic: np.ndarray, space: NgramSpace = NgramSpace(), features: int = 1 << 14, l2: float = 1e-3, rounds: int = 150) -> ToxicityModel:
     """Learns from texts and 0/1 labels.  One class only, or no rows: scores are that constant share.
 
     The ``features`` slots whose naive Bayes ratio tells most (absolute ratio times the
-    root of the rows that have the slot) take part; Adam minimises the log loss.
+    root of the rows that have the slot) take part; Adam minimises the log loss.  The
+    texts are read twice, slice by slice: once for the counts, once for the chosen
+    slots, which are all that is kept.
     """
     size = 1 << space.bits
     toxic = np.asarray(toxic, float)
     if not len(texts) or toxic.min() == toxic.max():
         share = 0.5 if not len(texts) else float(np.clip(toxic.mean(), 0.01, 0.99))
         return ToxicityModel(space, np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    counts = np.zeros((2, size))
-    blocks = []
-    for at in range(0, len(texts), 256):
-        data, offsets = texts_of(pa.array(texts[at : at + 256], pa.large_string()))
+    counts = np.zeros((2, size), np.int32)
+    for at, data, offsets in _slices_of(texts):
         doc, slot = space.present(data, offsets)
-        blocks.append((doc.astype(np.int32) + at, slot.astype(np.int32)))
         for label in (0, 1):
-            counts[label] += np.bincount(slot[toxic[doc + at] == label], minlength=size)
+            counts[label] += np.bincount(slot[toxic[doc + at] == label], minlength=size).astype(np.int32)
     n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
+    seen = np.flatnonzero(counts.sum(0) >= 3)
+    counts = counts[:, seen]
     rate = (counts + 1) / (n[:, None] + 2)
     ratio = np.log(rate[1] / rate[0])
     told = np.abs(ratio) * np.sqrt(counts.sum(0))
-    told[counts.sum(0) < 3] = 0
-    chosen = np.argsort(-told, kind="stable")[:features]
-    chosen = chosen[told[chosen] > 0]
+    best = np.argsort(-told, kind="stable")[:features]
+    best = best[told[best] > 0]
+    chosen, scale = seen[best], ratio[best]
     column = np.full(size, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
-    rows = np.concatenate([d[column[s] >= 0] for d, s in blocks])
-    cols = np.concatenate([column[s][column[s] >= 0] for _, s in blocks])
-    scale = ratio[chosen]
-    x = scale[cols]
+    blocks = []
+    for at, data, offsets in _slices_of(texts):
+        doc, slot = space.present(data, offsets, column >= 0)
+        blocks.append((slice(at, at + len(offsets) - 1), doc.astype(np.min_scalar_type(len(offsets))), column[slot].astype(np.min_scalar_type(len(chosen)))))
     weight, bias = np.zeros(len(chosen)), float(np.log(n[1] / n[0]))
     first, second, step = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), 0.02
     balance = np.where(toxic == 1, min(n[0] / n[1], 4.0), 1.0)
     balance /= balance.sum()
     for t in range(1, rounds + 1):
-        z = np.bincount(rows, weight[cols] * x, minlength=len(texts)) + bias
-        gap = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic) * balance
-        grad = np.append(np.bincount(cols, gap[rows] * x, minlength=len(chosen)) + l2 * weight, gap.sum())
+        scaled, pull, lean = weight * scale, np.zeros(len(chosen)), 0.0
+        for span, rows, cols in blocks:
+            z = np.bincount(rows, scaled[cols], minlength=span.stop - span.start) + bias
+            gap = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic[span]) * balance[span]
+            pull += np.bincount(cols, gap[rows], minlength=len(chosen))
+            lean += gap.sum()
+        grad = np.append(pull * scale + l2 * weight, lean)
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad**2
         move = step * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
@@ -132,8 +147,8 @@ def fit_from_tables(documents: DataFrame, labels: DataFrame, sample_rows: int =
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
     sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    got = sample.orderBy("doc_id", "text").toPandas()
-    return fit(list(got["text"]), got["toxic"].to_numpy() if len(got) else np.zeros(0), space)
+    got = sample.orderBy("doc_id", "text").toArrow()
+    return fit(got["text"], got["toxic"].to_numpy(), space)
 
 
 def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
