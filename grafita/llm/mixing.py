@@ -46,7 +46,7 @@ def temperature(sources: DataFrame, target_entropy: float, max_repeat: float) ->
     known = sources.where("tokens > 0").select(F.log(F.col("tokens").cast("double")).alias("x"))
     n, top, low = known.agg(F.count("*"), F.max("x"), F.min("x")).first()
     if not n or n == 1 or top == low:
-        return 1.0, float(top or 0.0)
+        return 1.0, 0.0  # one source, or equal ones: each is read once
     # repetition: exp((1 - a) * (top - low)) <= max_repeat
     floor = max(0.0, 1.0 - log(max_repeat) / (top - low))
     a, b = floor, 1.0

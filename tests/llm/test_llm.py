@@ -259,6 +259,14 @@ def test_mixing(spark, texts):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sources", [("a",), ("a", "b"), (None, "b", "c")])
+def test_mixing_one_source_or_equal_sources_reads_each_row_once(spark, sources):
+    rows = [(10 * k + i, f"w{i} x y", s) for k, s in enumerate(sources) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mixing.temperature(mixing.source_tokens(docs), 0.9, 2.0) == (1.0, 0.0)
+    assert sorted((r.doc_id, r.mix_round) for r in mixing.mix(docs, block_rows=2).collect()) == sorted((i, 0) for i, _, _ in rows)
+
+
 def test_warc_round_trip_in_small_splits(spark, tmp_path):
     magic = "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     html = [None, "", "<p>a</p>", "<p>a</p>", "x" * 3000, magic * 40, "é" * 500, "WARC/1.0\r\n", "tail\r\n\r\nWARC/1.0\r\n" + "y" * 2500, ""]
