@@ -62,7 +62,8 @@ def write_warc(records: DataFrame, path: str, compression: str | None = None) ->
                 if refers is not None:
                     head += [f"WARC-Refers-To: <urn:row:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"]
                 if uri is not None:
-                    head.append("WARC-Target-URI: " + re.sub(r"[\r\n]+", " ", uri))
+                    # no line of the head may end like a version line
+                    head.append("WARC-Target-URI: " + re.sub(r"[\r\n]+", " ", uri) + " " * uri.endswith("WARC/1.0"))
                 out.append(MAGIC + "\r\n".join(head).encode("utf-8", "replace") + _END + body)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
@@ -75,7 +76,7 @@ def write_warc(records: DataFrame, path: str, compression: str | None = None) ->
 def _head(block: bytes) -> tuple[dict[str, str], int] | None:
     """Headers of a candidate (what follows its version line) and where its body starts."""
     end = block.find(_END)
-    if end < 0 or end > 1 << 16:
+    if end < 0:
         return None
     fields = {}
     for line in block[:end].split(b"\r\n"):
@@ -208,8 +209,9 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     true = true.join(base, same).select(F.col("file").alias("tf"), F.col("block").alias("tb"), (F.col("offset") - F.col("base")).alias("ta"), "offset")
     records = found.where("total is null").join(true, (F.col("file") == F.col("tf")) & (F.col("block") == F.col("tb")) & (F.col("at") == F.col("ta")))
     columns = ["file", "offset", "type", "id", "uri", "refers_to", "digest", "length", "sha1"] + ["payload"] * payloads
+    stop = F.col("offset") - F.col("at") + F.col("next")
+    torn = cut(records.where("sha1 is null").withColumn("stop", stop).select(*columns, "stop").drop("sha1", "payload"))
     records = records.select(*columns)
-    torn = cut(records.where("sha1 is null").drop("sha1", "payload"))
     n_torn = torn.count()
     if not n_torn:
         return records
@@ -234,10 +236,10 @@ def _torn_payloads(spark: SparkSession, path: str, torn: DataFrame, base: DataFr
 
     placed = _segments(spark, path).mapInArrow(place, "file string, block long, rel long, value binary")
     placed = placed.join(base, (F.col("file") == F.col("f")) & (F.col("block") == F.col("k"))).select("file", (F.col("rel") + F.col("base")).alias("pos"), "value")
-    want = torn.select(F.col("file").alias("tf"), "offset", "length")
+    want = torn.select(F.col("file").alias("tf"), "offset", "length", "stop")
     want = F.broadcast(want) if n_torn <= BROADCAST_ROWS else want
-    # length plus a head of at most 64 KB bounds what a record may touch
-    hits = placed.join(want, (F.col("file") == F.col("tf")) & (F.col("pos") > F.col("offset")) & (F.col("pos") < F.col("offset") + F.col("length") + (1 << 16)))
+    # a record touches what stands before its successor, however long its head is
+    hits = placed.join(want, (F.col("file") == F.col("tf")) & (F.col("pos") > F.col("offset")) & (F.col("pos") < F.col("stop")))
 
     def mend(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("pos")
@@ -256,7 +258,7 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, least_bytes: i
     the archives; a revisit's size is that of the record it refers to.  A null html is an
     empty payload.  Rows without page_id are responses.  Payloads are not shuffled: the
     list of revisits, which is narrow, goes to the rows if it is within the broadcast
-    bound, and only beyond it are both shuffled.
+    bound, and only beyond it are both shuffled.  Fewer or more records than rows are an error.
     """
     spark = pages.sparkSession
     if path is None:
@@ -279,6 +281,9 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, least_bytes: i
         rows = rows.withColumn("refers_to", F.lit(None).cast("long"))
     write_warc(rows.withColumn("payload_digest", base32("hexed")), path, compression)
     back = cut(read_warc(spark, path, payloads=False).select("id", "type", "refers_to", "digest", "length", "sha1"))
+    written, found = pages.count(), back.count()
+    if written != found:
+        raise RuntimeError(f"{written} rows written to {path}, {found} records read back")
     sizes = back.where("type = 'response' and id is not null").select(F.col("id").alias("of"), F.col("length").alias("full")).join(back.where("refers_to is not null").select(F.col("refers_to").alias("of")).distinct(), "of", "left_semi").dropDuplicates(["of"])
     out = back.join(sizes, F.col("refers_to") == F.col("of"), "left")
     revisit = F.col("type") == "revisit"

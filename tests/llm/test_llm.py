@@ -291,6 +291,32 @@ def test_warc_round_trip_in_small_splits(spark, tmp_path):
     assert back[5] == html[5].encode()
 
 
+@pytest.mark.parametrize("size", ["700b", "128m"])
+def test_warc_long_urls_and_urls_like_version_lines(spark, tmp_path, size):
+    magic = "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    url = ["http://h/0", "http://h/" + "u" * 200_000, None, "http://h/WARC/1.0", "http://h/WARC/1.0\r\n", "http://h/" + "v" * 70_000, "http://h/6"]
+    html = ["a", "b", "c", "d", "e", magic * 40 + "WARC/1.0", "f"]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(zip(url, html, strict=True))], "page_id long, url string, html string").coalesce(1)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = {r.page_id: r.payload_digest for r in warc.archive_round_trip(df, f"file://{tmp_path}/w").collect()}
+        back = {r.id: (r.uri, bytes(r.payload)) for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {i: warc.payload_digest(h.encode()) for i, h in enumerate(html)}
+    assert back == {i: (u and u.replace("\r\n", " ").strip(), h.encode()) for i, (u, h) in enumerate(zip(url, html, strict=True))}
+
+
+def test_warc_records_that_vanish_are_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "read_warc", lambda *a, read=warc.read_warc, **k: read(*a, **k).where("id <> 1"))
+    df = spark.createDataFrame([(i, "u", "x%d" % i) for i in range(3)], "page_id long, url string, html string")
+    with pytest.raises(RuntimeError, match="3 rows written .* 2 records"):
+        warc.archive_round_trip(df, f"file://{tmp_path}/w")
+
+
 def test_html_text(spark):
     body = "".join(f"<p>Paragraph {i} says something of some length, with   words &amp; more.</p>" for i in range(6))
     page = lambda i: f"<html><head><title>t</title><script>x</script></head><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><div class='ad'>Buy now {i}</div><article><h1>Title {i}</h1>{body}</article><footer>&copy; site {i}</footer></body></html>"
