@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 # HTML elements by how they split and hide text.
 _HIDDEN = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "head", "title", "textarea", "select", "option", "button"}
+_IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "noframes", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
@@ -63,8 +64,17 @@ def blocks_of(page: str) -> list[Block]:
             buffer.clear()
         linked = 0
 
+    def end_head() -> None:
+        """Takes off a head that is open at a place where no head goes on: </head> may be left out."""
+        nonlocal hidden
+        while stack and stack[-1][0] == "head":
+            stack.pop()
+            hidden -= 1
+
     def add(raw: str) -> None:
         nonlocal linked
+        if hidden and raw and not raw.isspace():
+            end_head()
         if raw and not hidden:
             buffer.append(raw)
             if links:
@@ -93,6 +103,8 @@ def blocks_of(page: str) -> list[Block]:
                     if t == tag:
                         break
             continue
+        if hidden and tag not in _IN_HEAD:
+            end_head()
         if block:
             flush()
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6") or tag in ("div", "ul", "ol", "table", "section", "article", "aside", "nav", "header", "footer", "form", "main"):

@@ -317,6 +317,14 @@ def test_warc_records_that_vanish_are_an_error(spark, tmp_path, monkeypatch):
         warc.archive_round_trip(df, f"file://{tmp_path}/w")
 
 
+@pytest.mark.parametrize("head", ["<head><title>a <p> b</title><meta charset=x> <script>s</script>", "<head><head><title>t</title></head>", "<head><title>t</title><!-- c --><style>s</style>\n"])
+@pytest.mark.parametrize("body", ["<body><div>one</div><p>two", "<div>one</div><p>two", "one<p>two", "<b>one</b><p>two"])
+def test_a_head_without_its_end_hides_no_text(head, body):
+    assert [(b.text, "head" in b.path) for b in html_text.blocks_of(f"<html>{head}{body}</html>")] == [("one", False), ("two", False)]
+    closed = html_text.blocks_of("<html><head><title>t</title></head><body><div>one</div><p>two</html>")
+    assert html_text.blocks_of("<html><head><title>t</title><body><div>one</div><p>two</html>") == closed
+
+
 def test_html_text(spark):
     body = "".join(f"<p>Paragraph {i} says something of some length, with   words &amp; more.</p>" for i in range(6))
     page = lambda i: f"<html><head><title>t</title><script>x</script></head><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><div class='ad'>Buy now {i}</div><article><h1>Title {i}</h1>{body}</article><footer>&copy; site {i}</footer></body></html>"
