@@ -156,9 +156,9 @@ def features(blocks: list[Block]) -> np.ndarray:
             x[i, _known[name]] += 1.0 / (1 + 0.15 * depth)
             for part in re.findall(r"[a-z]+", name.partition("=")[2]):
                 x[i, _slot("~" + part, _PATH)] += 1.0
-        words = b.text[:400].lower().split()[:40]
-        for w in words:
-            x[i, _PATH + _slot(w, _WORD)] += 1.0 / len(words)
+        words = b.text.lower().encode("utf-8", "surrogatepass").split()
+        slots = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % _WORD
+        x[i, _PATH : _PATH + _WORD] = np.bincount(slots, minlength=_WORD) / max(1, len(words))
         n = len(b.text)
         x[i, _PATH + _WORD :] = (np.log1p(n) / 8, b.linked / max(1, n), i / len(blocks), b.text.count(",") * 10 / max(10, n), b.text[-1] in ".!?", min(1.0, n / 200))
     return x

@@ -325,6 +325,13 @@ def test_a_head_without_its_end_hides_no_text(head, body):
     assert html_text.blocks_of("<html><head><title>t</title><body><div>one</div><p>two</html>") == closed
 
 
+def test_all_words_of_a_block_count():
+    start = "word " * 200
+    one, two = (html_text.features([html_text.Block(start + end * 300, ("p",), 0)])[0, html_text._PATH : html_text._PATH + html_text._WORD] for end in ("alpha ", "omega "))
+    assert abs(one.sum() - 1) < 1e-5 and abs(one[html_text._slot("word", 64)] - 0.4) < 1e-5 and abs(one[html_text._slot("alpha", 64)] - 0.6) < 1e-5
+    assert abs(two[html_text._slot("omega", 64)] - 0.6) < 1e-5
+
+
 def test_html_text(spark):
     body = "".join(f"<p>Paragraph {i} says something of some length, with   words &amp; more.</p>" for i in range(6))
     page = lambda i: f"<html><head><title>t</title><script>x</script></head><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><div class='ad'>Buy now {i}</div><article><h1>Title {i}</h1>{body}</article><footer>&copy; site {i}</footer></body></html>"
