@@ -5,7 +5,8 @@ Parquet and reads back as the next one's docs.  All but the last return the colu
 ``documents``:
 
 toxicity    a classifier learnt from ``labels`` scores every text; toxic ones go.
-near_dedup  of each group of near-duplicate texts the smallest doc_id stays.
+near_dedup  of each group of near-duplicate texts the smallest doc_id stays, and of rows
+            that repeat a doc_id and text one; texts that share a doc_id are judged each.
 substring   passages of 35 words that start anywhere else are cut out of all texts; a
             document that is left without words stays, with an empty text.
 mixing      rows are read as often as their source's temperature weight tells, none never.
@@ -35,8 +36,24 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs.select("doc_id", "text"), threshold=0.8).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    names = docs.columns
+    same = ["doc_id", "__a", "__b"]
+    rows = docs.withColumn("__a", F.xxhash64("text")).withColumn("__b", F.xxhash64(F.lit(1), "text"))
+    known = rows.where("doc_id is not null")
+    # narrow: a row for each (doc_id, text), where a doc_id has more rows than one
+    again = cut(known.join(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "doc_id", "left_semi").groupBy(same).agg(F.count("*").alias("__c")))
+    if again.isEmpty():
+        gone = minhash.near_duplicates(docs.select("doc_id", "text"), threshold=0.8).where("not kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*names)
+    repeated = again.where("__c > 1").select(*same)
+    one = known.join(repeated, same, "left_semi").groupBy(same).agg(F.min(F.struct(*[F.col(f"`{n}`") for n in names])).alias("__row"))
+    one = one.select("__row.*", "__a", "__b").select(*rows.columns)
+    single = known.join(repeated, same, "left_anti").select(*rows.columns).unionByName(one)
+    # each (doc_id, text) gets a number; numbers are in the order of doc_id
+    numbers = cut(known.select(*same).distinct().repartitionByRange(*same).sortWithinPartitions(*same).withColumn("__n", F.monotonically_increasing_id()))
+    single = single.join(numbers, same)
+    gone = minhash.near_duplicates(single.select(F.col("__n").alias("doc_id"), "text"), threshold=0.8).where("not kept").select(F.col("doc_id").alias("__n"))
+    return single.join(gone, "__n", "left_anti").select(*names).unionByName(docs.where("doc_id is null"))
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -371,3 +371,27 @@ def test_pipeline_stages(spark, texts):
             docs = out
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} <= {i for i, _ in texts}
     assert out.where("length > 1024").count() == 0
+
+
+def test_pipeline_keeps_repeated_rows_once(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    say = lambda n: " ".join("v%d" % rng.randrange(10_000) for _ in range(n))
+    a, b, c, d, e = (say(60) for _ in range(5))
+    # 1 and 2: repeated rows; 3: a text of its own and a copy of 1's; 4: a copy of one of 3's; 6: repeated empty texts; no id: passes
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, b), (3, a), (3, c), (3, c), (4, c), (5, d), (6, None), (6, None), (99, e)]
+    docs = docs_of(spark, rows).withColumn("extra", F.lit(1)).withColumn("doc_id", F.expr("nullif(doc_id, 99)"))
+    kept = [(1, a), (2, b), (3, c), (5, d), (6, None), (None, e)]
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, out, "/root/testdata/sf0.001")
+        if name == "mixing":  # sources are read more than once
+            out = out.distinct()
+        order = lambda x: (x[0] or -1, x[1] or "")
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=order) == sorted(kept, key=order), name
+        assert out.columns == docs.columns
+    last = corpus_pipeline.STAGES[4][1](spark, out, "/root/testdata/sf0.001")
+    assert {r.doc_id for r in last.collect()} == {1, 2, 3, 5, 6, None}
+    unique = docs.where("doc_id in (4, 5)")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates_out(spark, unique, "").collect()) == [4, 5]
