@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table may be broadcast; beyond it the join is shuffled.
@@ -33,6 +33,24 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def set_aside(df: DataFrame, *read: str) -> tuple[DataFrame, list[Column]]:
+    """df with all columns but ``read`` under numbered names, which no operator adds, and the columns that bring the names back.
+
+    Python functions over a DataFrame can't take names with dots either.
+    """
+    names = {n: n if n in read else f"__c{i}" for i, n in enumerate(df.columns)}
+    return df.select(*[F.col(quoted(n)).alias(c) for n, c in names.items()]), [F.col(c).alias(n) for n, c in names.items()]
+
+
+def comparable(df: DataFrame) -> list[str]:
+    """Names of the columns that can be hashed and ordered: those without maps."""
+    return [f.name for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+
+
 def partitions(spark: SparkSession, rows: int, per_partition: int) -> int:
     """Partitions so that each holds about per_partition rows, no fewer than the session's."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))

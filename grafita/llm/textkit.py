@@ -9,12 +9,13 @@ and CR; in UTF-8 none of these bytes is ever part of a longer character.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -42,17 +43,29 @@ _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
+    """Powers of the base and of its inverse modulo 2**64, at least n of each; those of a usual slice are kept."""
     global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 1))
-        tables = []
-        for step in (_BASE, _INVERSE):
-            t = np.full(size, step, _U)
-            t[0] = 1
-            tables.append(np.cumprod(t, dtype=_U))
+    if _powers is not None and n <= len(_powers[0]):
+        return _powers
+    usual = SLICE_BYTES + (SLICE_BYTES >> 1)
+    tables = []
+    for step in (_BASE, _INVERSE):
+        t = np.full(max(n, usual), step, _U)
+        t[0] = 1
+        tables.append(np.cumprod(t, dtype=_U))
+    if n <= usual:
         _powers = (tables[0], tables[1])
-    return _powers
+    return tables[0], tables[1]
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Hands freed memory back to the machine; a Python worker outlives its task and keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 class Words:
@@ -164,3 +177,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+        del batch
+        give_back()
