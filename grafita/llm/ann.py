@@ -9,8 +9,10 @@ estimated chance to hold a near vector.  The order is worked out once, for the e
 distances of sorted borders, and mapped to each query's own borders.
 
 How many buckets to probe is found on a bounded sample: the fewest at which sample
-queries find the wished share of their true neighbours in the sample.  Every row is
-indexed.  Candidates of all tables are ranked by their exact inner product.
+queries find the wished share of their true neighbours in the sample.  If the most
+perturbations that are tried don't reach it, tables are doubled; if the most tables
+don't either, all rows are compared, in blocks.  Every row is indexed.  Candidates of
+all tables are ranked by their exact inner product.
 """
 
 from __future__ import annotations
@@ -101,8 +103,8 @@ class Index:
         return out
 
 
-def build(sample: np.ndarray, norm: float, rows: int, k: int, recall: float, tables: int = 6, seed: int = 3) -> tuple[Index, int]:
-    """An index for ``rows`` rows and the probes a table, found on the sample (rows at random).
+def build(sample: np.ndarray, norm: float, rows: int, k: int, recall: float, tables: int = 6, most_tables: int = 24, seed: int = 3) -> tuple[Index, int, float]:
+    """An index for ``rows`` rows, the probes a table, and the recall reached on the sample (rows at random).
 
     A query's true neighbours in the sample lie about as far off as those in the table, or
     farther.  Hashes grow with the log of the rows, at 0.45 a doubling: buckets then grow,
@@ -116,15 +118,15 @@ def build(sample: np.ndarray, norm: float, rows: int, k: int, recall: float, tab
     spread = float(np.median((lifted @ a).std(0))) or 1.0
     width = 2.5 * spread
     keys = rng.integers(1, 1 << 62, hashes) | 1
-    index = Index(a, rng.uniform(0, width, tables * hashes), width, norm, tables, hashes, perturbations(hashes, 3**min(hashes, 7)), keys)
+    index = Index(a, rng.uniform(0, width, tables * hashes), width, norm, tables, hashes, perturbations(hashes, 3 ** min(hashes, 7)), keys)
     queries = sample[: max(1, min(200, len(sample)))]
+    most = len(index.probes)
     if len(sample) <= k + 1:
-        return index, len(index.probes)
+        return index, most, 0.0  # too few to tell: the caller compares all rows
     score = queries @ sample.T
     score[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
     near = np.argsort(-score, 1, kind="stable")[:, :k]
     held = index.buckets(sample)
-    most = len(index.probes)
     probed = index.probed(queries, most)
     first = np.full(near.shape, most)
     for q in range(len(queries)):
@@ -132,31 +134,41 @@ def build(sample: np.ndarray, norm: float, rows: int, k: int, recall: float, tab
             place = {int(b): i for i, b in reversed(list(enumerate(probed[q, t])))}
             at = np.array([place.get(int(b), most) for b in held[near[q], t]])
             first[q] = np.minimum(first[q], at)
-    for count in range(1, most + 1):
-        if (first < count).mean() >= recall:
-            return index, count
-    return index, most
+    # found[c]: the share of neighbours in the first c probes
+    found = np.concatenate([[0], np.cumsum(np.bincount(first.ravel(), minlength=most + 1)[:most])]) / first.size
+    if found[-1] < recall and 2 * tables <= most_tables:
+        return build(sample, norm, rows, k, recall, 2 * tables, most_tables, seed)
+    count = min(int(np.searchsorted(found, recall)), most)
+    return index, count, float(found[count])
+
 
+_FOUND = "qid long, query_id long, rid long, vec_id long, score double"
 
-def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.98, sample_rows: int = 4096, seed: int = 3) -> DataFrame:
+
+def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95, sample_rows: int = 4096, seed: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k rows of largest inner product found.
 
     ``table`` and ``queries`` hold (vec_id, embedding).  A row is no candidate of a query
-    with its own vec_id.  Ties go to the smaller vec_id.  Null, zero or non-finite
-    vectors, and rows without vec_id, take no part; nor do repeats of a vec_id but one.
-    A query for which the probes found fewer than k candidates is compared with all rows,
-    in blocks.  No rows give no rows.
+    with its own vec_id; every other row is, repeats of a vec_id too, and each query row
+    has a list of its own.  Ties go to the smaller vec_id.  Null, zero or non-finite
+    vectors, and rows without vec_id, take no part.  A query for which the probes found
+    fewer than k candidates is compared with all rows, in blocks, and so are all queries
+    if the index does not reach ``recall`` on its sample.  No rows give no rows.
     """
-    usual = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(usable() & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"])
-    rows = cut(usual(table))
-    asked = cut(usual(queries))
-    dim, n = dimension(rows)
-    schema = "query_id long, vec_id long, score double"
+    usual = lambda df, key: cut(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(usable() & F.col("vec_id").isNotNull()).withColumn(key, F.monotonically_increasing_id()))
+    rows = usual(table, "rid")
+    asked = usual(queries, "qid").withColumnRenamed("vec_id", "query_id").withColumnRenamed("embedding", "q")
+    _, n = dimension(rows)
     if not n:
         return rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     norm = float(np.sqrt(rows.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0]))
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample_rows).select("embedding").toPandas()
-    index, probes = build(np.array(sample["embedding"].tolist(), np.float64), norm, n, k, recall, seed=seed)
+    # about 1.6 times the sample passes the test, so tasks send few vectors whatever their number
+    draw = F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(1 << 40))
+    some = rows.where(draw <= int(min(1.0, 1.6 * sample_rows / n) * (1 << 40)))
+    sample = matrix(some.orderBy(draw, "rid").limit(sample_rows).select("embedding").toArrow()["embedding"])
+    index, probes, reached = build(sample, norm, n, k, recall, seed=seed)
+    if reached < recall:
+        return _named(_top(_all_rows(rows, asked, n, asked.count(), k), k))
     tables = index.tables
 
     @F.pandas_udf(ArrayType(LongType()))
@@ -170,17 +182,17 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0
             out += [list(x) for x in index.probed(np.array(v[at : at + 256].tolist(), np.float64), probes)]
         return pd.Series(out)
 
-    placed = cut(rows.select("vec_id", F.posexplode(held("embedding")).alias("t", "bucket")))
+    placed = cut(rows.select("rid", F.posexplode(held("embedding")).alias("t", "bucket")))
     sizes = placed.groupBy("t", "bucket").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
     groups = max(1, n * tables // _TASK_ROWS)
     task = F.pmod(F.xxhash64("t", "bucket", "block"), F.lit(groups)).cast("int")
     wide = sizes.where("blocks > 1").withColumnsRenamed({"t": "t2", "bucket": "b2"})
     same = (F.col("t") == F.col("t2")) & (F.col("bucket") == F.col("b2"))
-    data = placed.join(wide, same, "left").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.coalesce("blocks", F.lit(1))).cast("int")).select(task.alias("p"), "t", "bucket", "block", "vec_id").join(rows, "vec_id")
-    probe = asked.select(F.col("vec_id").alias("query_id"), F.posexplode(visited("embedding")).alias("t", "list")).select("query_id", "t", F.explode(F.array_distinct("list")).alias("bucket"))
+    data = placed.join(wide, same, "left").withColumn("block", F.pmod(F.xxhash64("rid"), F.coalesce("blocks", F.lit(1))).cast("int")).select(task.alias("p"), "t", "bucket", "block", "rid").join(rows, "rid")
+    probe = asked.select("qid", F.posexplode(visited("q")).alias("t", "list")).select("qid", "t", F.explode(F.array_distinct("list")).alias("bucket"))
     probe = probe.join(sizes.withColumnsRenamed({"t": "t2", "bucket": "b2"}), same).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # a query goes once to each task that holds some of its buckets
-    probe = probe.withColumn("p", task).groupBy("p", "query_id").agg(F.collect_list(F.struct("t", "bucket", "block")).alias("visits")).join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    probe = probe.withColumn("p", task).groupBy("p", "qid").agg(F.collect_list(F.struct("t", "bucket", "block")).alias("visits")).join(asked, "qid")
 
     def rank(rows: pa.Table, probes: pa.Table) -> pa.Table:
         if not rows.num_rows or not probes.num_rows:
@@ -191,42 +203,42 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0
         keys = np.stack(column)[:, order]
         cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [len(order)]])
         place = {tuple(keys[:, a].tolist()): i for i, a in enumerate(cuts[:-1])}
-        ids, x = rows["vec_id"].to_numpy()[order], matrix(rows["embedding"])[order]
-        qid, qx = probes["query_id"].to_numpy(), matrix(probes["q"])
         visitors: dict[int, list[int]] = {}
         for i, visits in enumerate(probes["visits"].to_pylist()):
             for v in visits:
                 at = place.get((v["t"], v["bucket"], v["block"]))
                 if at is not None:
                     visitors.setdefault(at, []).append(i)
-        best = _Best(qid, qx, ids, x, k)
+        best = _Best(probes, rows.take(pa.array(order)), k)
         for at, who in visitors.items():
             best.offer(np.array(who), int(cuts[at]), int(cuts[at + 1]))
         return best.table()
 
-    found = data.groupBy("p").cogroup(probe.groupBy("p")).applyInArrow(rank, schema)
+    found = data.groupBy("p").cogroup(probe.groupBy("p")).applyInArrow(rank, _FOUND)
     best = cut(_top(found, k))
-    wanted = min(k, n - 1)
-    short = asked.join(best.groupBy("query_id").agg(F.count("*").alias("got")), F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("got", F.lit(0)) < wanted).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    short = cut(short)
-    if short.isEmpty():
-        return best
-    # every bucket of one table is visited: all rows, in blocks of a bounded number of rows and queries
-    strips, blocks = max(1, n // _TASK_ROWS), max(1, short.count() // 1000)
-    every = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(strips)).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"), "vec_id", "embedding")
-    each = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(strips - 1).cast("long"))).alias("p"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("g"), "query_id", "q")
-
-    def rank_all(rows: pa.Table, probes: pa.Table) -> pa.Table:
+    short = cut(asked.join(best.groupBy("qid").agg(F.count("*").alias("got")), "qid", "left").where(F.coalesce("got", F.lit(0)) < min(k, n)).drop("got"))
+    left = short.count()
+    if not left:
+        return _named(best)
+    rest = _top(_all_rows(rows, short, n, left, k), k)
+    return _named(best.join(short.select("qid"), "qid", "left_anti").unionByName(rest))
+
+
+def _all_rows(rows: DataFrame, asked: DataFrame, n: int, queries: int, k: int) -> DataFrame:
+    """Every bucket of one table is visited: all rows, in blocks of a bounded number of rows and queries."""
+    strips, blocks = max(1, n // _TASK_ROWS), max(1, queries // 1000)
+    every = rows.select(F.pmod(F.xxhash64("rid"), F.lit(strips)).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"), "rid", "vec_id", "embedding")
+    each = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(strips - 1).cast("long"))).alias("p"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("g"), "qid", "query_id", "q")
+
+    def rank(rows: pa.Table, probes: pa.Table) -> pa.Table:
         if not rows.num_rows or not probes.num_rows:
             return _none()
-        ids, x, qx = rows["vec_id"].to_numpy(), matrix(rows["embedding"]), matrix(probes["q"])
-        best = _Best(probes["query_id"].to_numpy(), qx, ids, x, k)
-        for at in range(0, len(ids), _BLOCK):
-            best.offer(np.arange(len(qx)), at, min(at + _BLOCK, len(ids)))
+        best = _Best(probes, rows, k)
+        for at in range(0, rows.num_rows, _BLOCK):
+            best.offer(np.arange(probes.num_rows), at, min(at + _BLOCK, rows.num_rows))
         return best.table()
 
-    rest = every.groupBy("p", "g").cogroup(each.groupBy("p", "g")).applyInArrow(rank_all, schema)
-    return best.join(short.select("query_id"), "query_id", "left_anti").unionByName(_top(rest, k))
+    return every.groupBy("p", "g").cogroup(each.groupBy("p", "g")).applyInArrow(rank, _FOUND)
 
 
 class _Best:
@@ -237,9 +249,10 @@ class _Best:
     anew, in one order for all.
     """
 
-    def __init__(self, query_id: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
-        self.qid, self.q, self.ids, self.x, self.k = query_id, q, ids, x, k
-        self.edge = np.full(len(query_id), -np.inf)
+    def __init__(self, queries: pa.Table, rows: pa.Table, k: int):
+        self.qid, self.query_id, self.q = queries["qid"].to_numpy(), queries["query_id"].to_numpy(), matrix(queries["q"])
+        self.rid, self.ids, self.x, self.k = rows["rid"].to_numpy(), rows["vec_id"].to_numpy(), matrix(rows["embedding"]), k
+        self.edge = np.full(len(self.qid), -np.inf)
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
@@ -247,19 +260,22 @@ class _Best:
         """Rows a:b to the queries who."""
         for at in range(0, len(who), 1024):
             rows = who[at : at + 1024]
-            score = np.round(self.q[rows] @ self.x[a:b].T, 11)
-            i, j = np.nonzero((score >= self.edge[rows, None]) & (self.qid[rows, None] != self.ids[None, a:b]))
-            self.held.append((rows[i], a + j, score[i, j]))
+            score = self.q[rows] @ self.x[a:b].T
+            # a product over the edge by less than the rounding counts as a tie
+            i, j = np.nonzero(score >= (self.edge[rows] - 1e-10)[:, None])
+            other = self.query_id[rows[i]] != self.ids[a + j]
+            i, j = i[other], j[other]
+            self.held.append((rows[i], a + j, np.round(score[i, j], 11)))
             self.size += len(i)
             if self.size > 300_000:
                 self.trim()
 
     def trim(self) -> None:
         who, row, score = (np.concatenate(c) for c in zip(*self.held, strict=True))
-        order = np.lexsort((self.ids[row], -score, who))
+        order = np.lexsort((self.rid[row], self.ids[row], -score, who))
         who, row, score = who[order], row[order], score[order]
-        ids = self.ids[row]
-        new = np.concatenate([[True], (who[1:] != who[:-1]) | (ids[1:] != ids[:-1])])  # tables overlap
+        rid = self.rid[row]
+        new = np.concatenate([[True], (who[1:] != who[:-1]) | (rid[1:] != rid[:-1])])  # tables overlap
         who, row, score = who[new], row[new], score[new]
         rank = np.arange(len(who)) - np.searchsorted(who, who)
         last = rank == self.k - 1
@@ -274,14 +290,19 @@ class _Best:
         self.trim()
         who, row, _ = self.held[0]
         score = np.einsum("ij,ij->i", self.q[who], self.x[row])
-        return pa.table({"query_id": pa.array(self.qid[who], pa.int64()), "vec_id": pa.array(self.ids[row], pa.int64()), "score": pa.array(score, pa.float64())})
+        columns = [self.qid[who], self.query_id[who], self.rid[row], self.ids[row], score]
+        return pa.table([pa.array(c) for c in columns], schema=_none().schema)
 
 
 def _none() -> pa.Table:
-    return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    return pa.schema([(n, {"long": pa.int64(), "double": pa.float64()}[t]) for n, t in (c.split() for c in _FOUND.split(", "))]).empty_table()
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    distinct = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return distinct.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id", "rid")
+    distinct = found.groupBy("qid", "rid").agg(F.first("query_id").alias("query_id"), F.first("vec_id").alias("vec_id"), F.max("score").alias("score"))
+    return distinct.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+
+
+def _named(best: DataFrame) -> DataFrame:
+    return best.select("query_id", "rank", "vec_id", "score")
