@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from grafita.llm.textkit import Words, mix, slices, texts_of
+from grafita.llm.common import quoted, set_aside
+from grafita.llm.textkit import Words, give_back, mix, slices, texts_of
 
 _U = np.uint64
 _SECOND = 0x6A09E667F3BCC909
@@ -179,8 +180,8 @@ def remove_repeats(documents: DataFrame, window: int = 35) -> DataFrame:
     documents.  A null text has no words.  Texts shorter than the window keep all.
     Columns of those four names are replaced; an empty table gives an empty table.
     """
-    names = [n for n in documents.columns if n not in ("n_words", "n_removed", "kept_text", "kept_sha256")]
-    documents = documents.select(*[F.col(f"`{n}`") for n in names])
+    documents, back = set_aside(documents.select(*[F.col(quoted(n)) for n in documents.columns if n not in ("n_words", "n_removed", "kept_text", "kept_sha256")]), "doc_id", "text")
+    names = documents.columns
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // _SHARD_BYTES))
     buckets = max(1, -(-size // (6 * _BUCKET_WINDOWS)))
@@ -231,9 +232,10 @@ def remove_repeats(documents: DataFrame, window: int = 35) -> DataFrame:
             text = pa.LargeStringArray.from_buffers(w.n, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw))
             columns = [part.column(n) for n in names]
             out.append(pa.RecordBatch.from_arrays([*columns, pa.array(w.counts.astype(np.int64)), pa.array(removed), text.cast(pa.string()), pa.array(digest, pa.string())], names=[*names, "n_words", "n_removed", "kept_text", "kept_sha256"]))
+        give_back()
         return pa.Table.from_batches(out)
 
     packets = blobs.groupBy("shard").applyInArrow(send, StructType([StructField("bucket", LongType()), StructField("shard", LongType()), StructField("packet", BinaryType()), StructField("twice", BinaryType())]))
     answers = packets.groupBy("bucket").applyInArrow(answer, "shard long, bucket long, bits binary")
     schema = StructType([*documents.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType()), StructField("kept_sha256", StringType())])
-    return blobs.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(finish, schema)
+    return blobs.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(finish, schema).select(*back, "n_words", "n_removed", "kept_text", "kept_sha256")
