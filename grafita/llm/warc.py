@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grafita.llm.common import BROADCAST_ROWS, cut
+from grafita.llm.textkit import give_back
 
 MAGIC = b"WARC/1.0\r\n"
 _END = b"\r\n\r\n"
 
 
-def payload_digest(payload: bytes) -> str:
+def payload_digest(payload: bytes | memoryview) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
@@ -73,13 +74,13 @@ def write_warc(records: DataFrame, path: str, compression: str | None = None) ->
     (writer.option("compression", compression) if compression else writer).text(path)
 
 
-def _head(block: bytes) -> tuple[dict[str, str], int] | None:
-    """Headers of a candidate (what follows its version line) and where its body starts."""
-    end = block.find(_END)
+def _head(data: bytes, start: int = 0, stop: int | None = None) -> tuple[dict[str, str], int] | None:
+    """Headers of a candidate in data[start:stop] (what follows its version line), and where its body starts."""
+    end = data.find(_END, start, stop)
     if end < 0:
         return None
     fields = {}
-    for line in block[:end].split(b"\r\n"):
+    for line in data[start:end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -100,62 +101,63 @@ def _candidates(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
     """A row per candidate record; at, next and exit count from the split's first segment.
 
     exit is where the chain from the candidate leaves the split, or null if it breaks.  A
-    candidate whose block runs on past the segments of its split has no digest (sha1 null).
-    The last row of a split has total, its bytes.
+    candidate whose block runs on past the segments of its split has no digest (sha1 null),
+    nor has one that would bring what is hashed to over twice the split's size: it is read
+    again if it proves to be a record.  The last row of a split has total, its bytes.
     """
 
-    def flush(file: str, block: int, segments: list[bytes]) -> pa.RecordBatch:
-        base = [0]
-        for s in segments:
-            base.append(base[-1] + len(s) + len(MAGIC))
-        # segment i > 0 starts after a version line; segment 0 of a later split does too
-        first = 0 if block else 1
+    def flush(file: str, block: int, data: bytes, base: list[int]) -> pa.RecordBatch:
+        # data: the split's bytes with its version lines; base: where its segments begin.
+        # Segment i > 0 starts after a version line; segment 0 of a later split does too.
         rows: list[dict] = []
         place = {}
-        for i in range(first, len(segments)):
-            got = _head(segments[i])
+        view = memoryview(data)
+        # payloads may hold records, and those again: what may be hashed beforehand is bounded by the split's size
+        hashed, most = 0, 2 * len(data) + (1 << 20)
+        for i in range(0 if block else 1, len(base)):
+            stop = base[i + 1] - len(MAGIC) if i + 1 < len(base) else len(data)
+            got = _head(data, base[i], stop)
             if got is None:
                 continue
             fields, body = got
             length = int(fields["content-length"])
-            at = base[i] - len(MAGIC)
-            need, j, payload = length + 4, i, b""
-            chunk = segments[i][body:]
-            have = len(chunk)
-            while have < need and j + 1 < len(segments):
-                j += 1
-                chunk += MAGIC + segments[j]
-                have = len(chunk)
-            whole = have >= length + 2
-            payload = chunk[:length] if whole else b""
+            whole = len(data) - body >= length + 2
             # the last record of a file may end without the blank lines
-            if whole and chunk[length : length + 4] not in (_END, _END[:2], b""):
+            if whole and data[body + length : body + length + 4] not in (_END, _END[:2], b""):
                 continue
             number = lambda k: int(m[1]) if (m := re.fullmatch(r"<urn:row:(-?\d+)>", fields.get(k, ""))) else None  # noqa: B023, E731
+            at = base[i] - len(MAGIC)
             place[at] = len(rows)
+            hashed += length if whole else 0
+            known = whole and (hashed <= most or length < 1 << 10)
+            payload = view[body : body + length] if known else b""
             rows.append({
-                "file": file, "block": block, "at": at, "next": base[i] + body + length + 4, "exit": None, "type": fields.get("warc-type"), "id": number("warc-record-id"),
+                "file": file, "block": block, "at": at, "next": body + length + 4, "exit": None, "type": fields.get("warc-type"), "id": number("warc-record-id"),
                 "uri": fields.get("warc-target-uri"), "refers_to": number("warc-refers-to"), "digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-                "length": length, "sha1": payload_digest(payload) if whole else None, "payload": payload if payloads and whole else None, "total": None,
+                "length": length, "sha1": payload_digest(payload) if known else None, "payload": bytes(payload) if payloads and known else None, "total": None,
             })
-        end = base[-1] - len(MAGIC)
+        end = len(data)
         for row in reversed(rows):
             nxt = row["next"]
             row["exit"] = rows[place[nxt]]["exit"] if nxt in place else nxt if nxt >= end else None
-        rows.append(dict.fromkeys(rows[0] if rows else [c.split()[0] for c in _CANDIDATE.split(", ")]) | {"file": file, "block": block, "total": base[-1]})
+        rows.append(dict.fromkeys(rows[0] if rows else [c.split()[0] for c in _CANDIDATE.split(", ")]) | {"file": file, "block": block, "total": len(data) + len(MAGIC)})
         return pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, data, base = None, bytearray(), []
         for part in batches:
             for value, file, block in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 if (file, block) != key:
                     if key is not None:
-                        yield flush(*key, held)
-                    key, held = (file, block), []
-                held.append(value)
+                        yield flush(*key, bytes(data), base)
+                    key, data, base = (file, block), bytearray(), []
+                elif base:
+                    data += MAGIC
+                base.append(len(data))
+                data += value
         if key is not None:
-            yield flush(*key, held)
+            yield flush(*key, bytes(data), base)
+        give_back()
 
     return _segments(spark, path).mapInArrow(run, _CANDIDATE)
 
@@ -256,9 +258,11 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, least_bytes: i
 
     page_id, payload_bytes, payload_digest, record_type and refers_to for every row, all from
     the archives; a revisit's size is that of the record it refers to.  A null html is an
-    empty payload.  Rows without page_id are responses.  Payloads are not shuffled: the
-    list of revisits, which is narrow, goes to the rows if it is within the broadcast
-    bound, and only beyond it are both shuffled.  Fewer or more records than rows are an error.
+    empty payload.  Rows without page_id are responses.  Rows that repeat a page_id are
+    judged each by its own payload; those with the smallest page_id of a payload are all
+    responses.  Payloads are not shuffled: the list of revisits, which is narrow, goes to
+    the rows if it is within the broadcast bound, and only beyond it are both shuffled.
+    Fewer or more records than rows are an error.  An empty table gives an empty one.
     """
     spark = pages.sparkSession
     if path is None:
@@ -273,10 +277,10 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, least_bytes: i
 
     rows = pages.select(F.col("page_id").cast("long").alias("id"), F.col("url").cast("string").alias("uri"), html.alias("payload"), hexed.alias("hexed"))
     marks = mark_revisits(rows.select(F.col("id"), F.col("hexed").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes")), "id", least_bytes)
-    revisits = cut(marks.where("refers_to is not null").select(F.col("id").alias("rid"), "refers_to").dropDuplicates(["rid"]))
+    revisits = cut(marks.where("refers_to is not null").select(F.col("id").alias("rid"), F.col("payload_digest").alias("rdigest"), "refers_to").distinct())
     n = revisits.count()
     if n:
-        rows = rows.join(F.broadcast(revisits) if n <= BROADCAST_ROWS else revisits, F.col("id") == F.col("rid"), "left").drop("rid")
+        rows = rows.join(F.broadcast(revisits) if n <= BROADCAST_ROWS else revisits, (F.col("id") == F.col("rid")) & (F.col("hexed") == F.col("rdigest")), "left").drop("rid", "rdigest")
     else:
         rows = rows.withColumn("refers_to", F.lit(None).cast("long"))
     write_warc(rows.withColumn("payload_digest", base32("hexed")), path, compression)
@@ -284,8 +288,9 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, least_bytes: i
     written, found = pages.count(), back.count()
     if written != found:
         raise RuntimeError(f"{written} rows written to {path}, {found} records read back")
-    sizes = back.where("type = 'response' and id is not null").select(F.col("id").alias("of"), F.col("length").alias("full")).join(back.where("refers_to is not null").select(F.col("refers_to").alias("of")).distinct(), "of", "left_semi").dropDuplicates(["of"])
-    out = back.join(sizes, F.col("refers_to") == F.col("of"), "left")
+    meant = back.where("refers_to is not null").select(F.col("refers_to").alias("of"), F.col("digest").alias("as")).distinct()
+    sizes = back.where("type = 'response' and id is not null").select(F.col("id").alias("of"), F.col("sha1").alias("as"), F.col("length").alias("full")).join(meant, ["of", "as"], "left_semi").distinct()
+    out = back.join(sizes, (F.col("refers_to") == F.col("of")) & (F.col("digest") == F.col("as")), "left")
     revisit = F.col("type") == "revisit"
     return out.select(
         F.col("id").alias("page_id"), F.when(revisit, F.col("full")).otherwise(F.col("length")).alias("payload_bytes"), F.when(revisit, F.col("digest")).otherwise(F.col("sha1")).alias("payload_digest"),
