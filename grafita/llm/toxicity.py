@@ -3,8 +3,8 @@
 Features are the byte n-grams of the lower-cased text, present or absent, hashed into
 a table.  Each is scaled by its naive Bayes log-count ratio between the two classes;
 a logistic regression on the scaled features gives the weights.  Learning uses a
-bounded sample of labelled rows (``sample_rows``, those of smallest hash); scoring
-reads every whole text and needs only the weight table, whose size is fixed.
+bounded sample of labelled rows (``sample_rows``, ``sample_bytes``: those of smallest
+hash); scoring reads every whole text and needs only the weight table, whose size is fixed.
 """
 
 from __future__ import annotations
@@ -14,16 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, DoubleType, IntegerType
 
+from grafita.llm.common import cut, quoted, set_aside
 from grafita.llm.textkit import slices, texts_of
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _U = np.uint64
-_FIT_BYTES = 1 << 19
+_SLICE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -75,7 +76,7 @@ def _slices_of(texts: Sequence[str] | pa.ChunkedArray) -> Iterator[tuple[int, np
     """(index of the first text, bytes, offsets) of slices of bounded size."""
     column = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.large_string())
     at = 0
-    for part in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), limit=_FIT_BYTES):
+    for part in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), limit=_SLICE):
         yield at, *texts_of(part.column(0))
         at += part.num_rows
 
@@ -135,34 +136,43 @@ def fit(texts: Sequence[str] | pa.ChunkedArray, toxic: np.ndarray, space: NgramS
     return ToxicityModel(space, table, float(bias))
 
 
-def fit_from_tables(documents: DataFrame, labels: DataFrame, sample_rows: int = 6000, space: NgramSpace = NgramSpace()) -> ToxicityModel:
-    """Fits on at most ``sample_rows`` labelled rows whose crc32(doc_id as text) mod 5 is not 0.
+def fit_from_tables(documents: DataFrame, labels: DataFrame, sample_rows: int = 6000, sample_bytes: int = 96 << 20, space: NgramSpace = NgramSpace()) -> ToxicityModel:
+    """Fits on labelled rows whose crc32(doc_id as text) mod 5 is not 0: at most ``sample_rows``, of ``sample_bytes`` in all.
 
-    Rows with a null id or label are left out; an id labelled twice counts as toxic if
-    either label says so.
+    The rows of smallest hash of doc_id are taken, as far as their texts come to
+    sample_bytes together; texts of over a sixteenth of that are passed over.  Rows with
+    a null id or label are left out; an id labelled twice counts as toxic if either label
+    says so, and of an id with several texts the smallest is read.
     """
-    ids = (
-        labels.where("doc_id is not null and toxic is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    )
-    sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    got = sample.orderBy("doc_id", "text").toArrow()
+    known = labels.where("doc_id is not null and toxic is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+    ids = known.agg(F.approx_count_distinct("doc_id")).first()[0]
+    # about twice the rows wanted pass this test, so a task sends few whatever the number of tasks
+    share = min(1.0, 2.5 * sample_rows / max(1, ids)) if ids > 4 * sample_rows else 1.0
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    few = known.where(draw <= int(share * (1 << 40))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(draw, "doc_id").limit(sample_rows)
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= sample_bytes // 16)
+    sample = cut(texts.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
+    # at most sample_rows rows: one task adds up their sizes
+    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(draw, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    got = sample.withColumn("__bytes", so_far).where(F.col("__bytes") <= sample_bytes).orderBy("doc_id").select("text", "toxic").toArrow()
     return fit(got["text"], got["toxic"].to_numpy(), space)
 
 
 def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 if score >= 0.5) to every row; a null text counts as empty."""
+    """Adds score (0 to 1) and predicted (1 if score >= 0.5) to every row.
+
+    A null text counts as empty.  Equal texts have equal scores, repeated rows stay
+    repeated, columns of the two names are replaced, an empty table gives an empty one.
+    """
     sc = documents.sparkSession.sparkContext
     shared = sc.broadcast(model)  # a table of fixed size
-    kept = [f for f in documents.schema.fields if f.name not in ("score", "predicted")]
-    schema = StructType([*kept, StructField("score", DoubleType(), False), StructField("predicted", IntegerType(), False)])
-    names = [f.name for f in kept]
+    rows, back = set_aside(documents.select(*[F.col(quoted(n)) for n in documents.columns if n not in ("score", "predicted")]), "text")
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType(), False), StructField("predicted", IntegerType(), False)])
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            p = shared.value.scores(*texts_of(part.column(part.schema.get_field_index("text"))))
-            columns = [part.column(part.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+        for part in slices(batches, limit=_SLICE):
+            p = shared.value.scores(*texts_of(part.column(at)))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
-    return documents.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*back, "score", "predicted")
