@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from grafita.llm.common import cut
-from grafita.llm.components import components
+from grafita.llm.components import components, spread
 from grafita.llm.vectors import dimension, matrix, usable
 
 _BLOCK = 512
@@ -52,7 +52,7 @@ def _links(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, code: np.ndarray,
     return ids[use], count[use], ids[label[use]]
 
 
-def plan_tables(rows: int, threshold: float, miss: float = 1e-3, bucket_rows: int = 48) -> tuple[int, int]:
+def plan_tables(rows: int, threshold: float, miss: float = 1e-3, bucket_rows: int = 160) -> tuple[int, int]:
     """Bits and tables: about bucket_rows rows a bucket; a pair at the threshold is missed with chance ``miss``."""
     bits = max(4, min(30, math.ceil(math.log2(max(rows, 1) / bucket_rows)))) if rows > bucket_rows else 4
     same = (1 - math.acos(threshold) / math.pi) ** bits
@@ -68,8 +68,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, seed: int = 5) ->
     do.  Threshold must be above 0.
     """
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable() & F.col("vec_id").isNotNull(), F.col("embedding")).alias("embedding"))
-    # rows with equal vectors are one representative with a weight
-    distinct = cut(rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
+    # rows with equal vectors are one representative, of a number of its own, with a weight
+    distinct = cut(rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).withColumn("rep", F.monotonically_increasing_id()))
     dim, n = dimension(distinct)
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -84,7 +84,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, seed: int = 5) ->
 
     coded = cut(distinct.withColumn("codes", codes_of("embedding")))
     entries = coded.select("rep", F.posexplode("codes").alias("t", "code"))
-    sizes = entries.groupBy("t", "code").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = cut(entries.groupBy("t", "code").agg(F.count("*").alias("size")).where("size > 1"))
     blocks = entries.join(sizes, ["t", "code"]).withColumn("nb", F.ceil(F.col("size") / _BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "t"), F.col("nb")).cast("int"))
     # every unordered pair of a bucket's blocks is one unit; a row goes to the nb units that have its block
     units = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("rep", "t", "code", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
@@ -105,12 +105,16 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, seed: int = 5) ->
         rep, count, root = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"rep": rep, "n": count, "root": root})
 
-    groups = max(1, n * tables // _TASK_ROWS)
+    # a row of a bucket of nb blocks is in nb units
+    sent = sizes.agg(F.sum(F.col("size") * F.ceil(F.col("size") / _BLOCK))).first()[0] or 0
+    groups = max(1, int(sent) // _TASK_ROWS)
     dealt = full.withColumn("p", F.pmod(F.xxhash64(*names), F.lit(groups)))
     found = cut(dealt.groupBy("p").applyInArrow(compare, "rep long, n long, root long"))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per_rep = distinct.join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    per_rep = cut(per_rep.select(F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    parts = cut(components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep").join(distinct.select("rep", "first"), "rep"))
+    heads = cut(parts.groupBy(F.col("component").alias("head")).agg(F.min("first").alias("least")))
+    parts = spread(parts, "component", heads, "head", heads.count()).select("rep", "least")
+    per_rep = distinct.join(counts, "rep", "left").join(parts, "rep", "left")
+    per_rep = cut(per_rep.select(F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "first").alias("component_id")))
     out = rows.join(per_rep, F.col("embedding") == F.col("e"), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
