@@ -25,19 +25,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grafita.llm.textkit import slices
+
 # HTML elements by how they split and hide text.
 _HIDDEN = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "head", "title", "textarea", "select", "option", "button"}
 _IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "noframes", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+_UNSEEN = {"script", "style", "template"}
+_RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg"}
+_ENDS_P = {"p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "div", "ul", "ol", "table", "section", "article", "aside", "nav", "header", "footer", "form", "main"}
 _BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 _NAMES = re.compile(r"(?<![a-z])(ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|header|masthead|footer|foot|side-?bar|aside|widget\w*|related|share|social|cookie\w*|consent|notice|alert|popup|modal|subscribe|newsletter|comments?|replies|reply|disqus|respond|breadcrumbs?|login|signup|search|copyright|legal|toolbar|pagination|tags?)(?![a-z])")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?]|/(?=[^a-zA-Z]))|(/?)([a-zA-Z][^\s/>]*+))")
+# one attribute: its name, and the quote that opens its value or the whole unquoted value; or the tag's end
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:([\"'])|([^\s>]*+)))?+)")
+_UNQUOTED = re.compile(r"[^\s>]*+")
+_SAID = {"class", "id", "role"}
 _SPACE = re.compile(r"\s+")
 _PATH, _WORD = 256, 64
 _PLAIN = 6
+_AT_ONCE = 2048
 WIDTH = _PATH + _WORD + _PLAIN
 
 
@@ -48,8 +57,63 @@ class Block:
     linked: int  # characters inside links
 
 
+class _Page:
+    """A page's bytes of markup, read from left to right; no search for a missing end is made twice."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.missing: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        """Where what stands from at on, or -1.  ``at`` must not fall from call to call."""
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], int, bool]:
+        """Class, id and role of the tag whose name ends at ``at``; where the tag ends; whether it closes itself.
+
+        As HTML has it, a quote opens a value only right after the equals sign; elsewhere
+        it is a letter as any other.  A quote that nothing closes is taken as a letter, too.
+        """
+        page, said = self.page, []
+        while True:
+            m = _ATTRIBUTE.match(page, at)
+            if m is None:
+                return said, len(page), False  # the page ends within the tag
+            at = m.end()
+            if m[1]:
+                return said, at, at - 2 >= m.start() and page[at - 2] == "/"  # the slash of an unquoted value is no part of m
+            value = m[4] or ""
+            if m[3]:
+                close = self.find(m[3], at)
+                if close >= 0:
+                    value, at = page[at:close], close + 1
+                else:
+                    bare = _UNQUOTED.match(page, at)
+                    value, at = bare[0], bare.end()
+            if m[2].lower() in _SAID:
+                said.append((m[2].lower(), value))
+
+    def closing(self, tag: str, at: int) -> int:
+        """Where the end tag of an element of raw text ends, or -1."""
+        key = f"</{tag}"
+        if key in self.missing:
+            return -1
+        m = re.compile(f"</{tag}(?=[\\s/>])[^>]*+>", re.I).search(self.page, at)
+        if m is None:
+            self.missing.add(key)
+            return -1
+        return m.end()
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order; scripts, styles, heads and markup are never text."""
+    reader = _Page(page)
+    depth: dict[str, int] = {}  # open elements by tag
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     buffer: list[str] = []
@@ -69,6 +133,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal hidden
         while stack and stack[-1][0] == "head":
             stack.pop()
+            depth["head"] -= 1
             hidden -= 1
 
     def add(raw: str) -> None:
@@ -80,57 +145,68 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 linked += len(raw)
 
+    def take(opened: list[tuple[str, tuple[str, ...]]]) -> None:
+        nonlocal hidden, links
+        for t, _ in opened:
+            depth[t] -= 1
+            hidden -= t in _HIDDEN
+            links -= t == "a"
+
     end = len(page)
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = _OPEN.search(page, at)
         if m is None:
             add(page[at:])
             break
         add(page[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        if m[5] is None:
+            # comments and the like; one that nothing ends goes on to the end of the page
+            mark, back = ("-->", 2) if m[1] else ("]]>", 0) if m[2] and reader.find("]]>", at) >= 0 else (">", 0)
+            close = reader.find(mark, at - back)
+            at = close + len(mark) if close >= 0 else end
             continue
-        tag = m[2].lower()
-        block = tag not in _INLINE
-        if m[1]:
-            if any(t == tag for t, _ in stack):
+        tag = m[5].lower()
+        said, at, itself = reader.attributes(at) if page[at : at + 1] != ">" else ([], at + 1, False)
+        block = tag not in _INLINE and tag not in _UNSEEN
+        if m[4]:
+            if depth.get(tag, 0):
                 if block:
                     flush()
-                while stack:
-                    t, _ = stack.pop()
-                    hidden -= t in _HIDDEN
-                    links -= t == "a"
-                    if t == tag:
-                        break
+                top = len(stack) - 1
+                while stack[top][0] != tag:
+                    top -= 1
+                take(stack[top:])
+                del stack[top:]
             continue
         if hidden and tag not in _IN_HEAD:
             end_head()
         if block:
             flush()
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6") or tag in ("div", "ul", "ol", "table", "section", "article", "aside", "nav", "header", "footer", "form", "main"):
+            if tag in _ENDS_P and depth.get("p", 0):
                 # an open paragraph, with the inline elements left open in it, ends here
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
-                        for t, _ in stack[i:]:
-                            hidden -= t in _HIDDEN
-                            links -= t == "a"
+                        take(stack[i:])
                         del stack[i:]
                         break
                     if stack[i][0] not in _INLINE:
                         break
         elif tag == "br":
             add(" ")
-        if tag in _VOID or m[3].endswith("/"):
+        if tag in _VOID or itself:
             continue
-        if tag in _HIDDEN and tag in ("script", "style", "textarea", "noscript", "template", "iframe", "svg"):
-            close = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+        if tag in _RAW:
+            close = reader.closing(tag, at)
+            if close >= 0:
+                at = close
+                continue
+            if tag in ("script", "style", "textarea"):
+                break  # as browsers do, all the rest is its text
             continue
-        names = [tag]
-        for a in _ATTRIBUTE.finditer(m[3]):
-            value = (a[2] or a[3] or a[4] or "").lower()
-            names += [f"{a[1].lower()}={v}" for v in value.split()]
+        names = [tag, *(f"{name}={v}" for name, value in said for v in value.lower().split())]
         stack.append((tag, tuple(names)))
+        depth[tag] = depth.get(tag, 0) + 1
         hidden += tag in _HIDDEN
         links += tag == "a"
     flush()
@@ -144,8 +220,9 @@ def _slot(text: str, size: int) -> int:
 _known: dict[str, int] = {}
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    """(blocks, WIDTH) vectors."""
+def features(blocks: list[Block], start: int = 0, total: int | None = None) -> np.ndarray:
+    """(blocks, WIDTH) vectors; blocks are those from ``start`` on of a page that has ``total``."""
+    total = len(blocks) if total is None else total
     x = np.zeros((len(blocks), WIDTH), np.float32)
     for i, b in enumerate(blocks):
         for depth, name in enumerate(reversed(b.path)):
@@ -160,7 +237,7 @@ def features(blocks: list[Block]) -> np.ndarray:
         slots = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % _WORD
         x[i, _PATH : _PATH + _WORD] = np.bincount(slots, minlength=_WORD) / max(1, len(words))
         n = len(b.text)
-        x[i, _PATH + _WORD :] = (np.log1p(n) / 8, b.linked / max(1, n), i / len(blocks), b.text.count(",") * 10 / max(10, n), b.text[-1] in ".!?", min(1.0, n / 200))
+        x[i, _PATH + _WORD :] = (np.log1p(n) / 8, b.linked / max(1, n), (start + i) / total, b.text.count(",") * 10 / max(10, n), b.text[-1] in ".!?", min(1.0, n / 200))
     return x
 
 
@@ -186,10 +263,18 @@ class Labeller:
     def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
         """Logits (pages, blocks) of padded pages x (pages, blocks, WIDTH)."""
         n, steps, _ = x.shape
+        return self.swept({d: self.gates(x.reshape(-1, WIDTH), d).reshape(n, steps, -1) for d in "fb"}, mask, keep)
+
+    def gates(self, x: np.ndarray, d: str) -> np.ndarray:
+        """What the vectors x give to the gates of the LSTM of direction d."""
+        return x @ self.w["x" + d] + self.w["c" + d]
+
+    def swept(self, given: dict[str, np.ndarray], mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
+        """Logits, from what the vectors give to the gates of both directions (pages, blocks, 4 * hidden)."""
+        n, steps = mask.shape
         h_, logits, tape = self.hidden, np.full((n, steps), self.w["o"][0], np.float32), {}
         for d in "fb":
-            gates = x.reshape(-1, WIDTH) @ self.w["x" + d]
-            gates = gates.reshape(n, steps, -1) + self.w["c" + d]
+            gates = given[d]
             h, c = np.zeros((n, h_), np.float32), np.zeros((n, h_), np.float32)
             hs = np.zeros((n, steps, h_), np.float32)
             saved = []
@@ -236,17 +321,32 @@ class Labeller:
             grad["c" + d] = dgates.sum((0, 1))
         return loss, grad
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """For each page's vectors the mask of its text blocks."""
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """For each page's blocks the mask of those that are text.
+
+        Blocks become vectors a bounded number at a time; of a page no more is held at
+        once than what its blocks give to the gates.
+        """
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = [i for i in sorted(range(len(pages)), key=lambda i: len(pages[i])) if len(pages[i])]
         at = 0
         while at < len(order):
             # batches of pages of like length, of bounded size
-            rows = order[at : at + max(1, min(64, 4096 // max(1, len(pages[order[at]]))))]
+            rows = order[at : at + max(1, min(64, 4096 // len(pages[order[at]])))]
+            while len(rows) > 1 and len(rows) * len(pages[rows[-1]]) > 2 * _AT_ONCE:
+                rows = rows[: len(rows) // 2]
             at += len(rows)
-            x, mask = _padded([pages[i] for i in rows])
-            logits, _ = self.run(x, mask)
+            steps = max(len(pages[i]) for i in rows)
+            given = {d: np.zeros((len(rows), steps, 4 * self.hidden), np.float32) for d in "fb"}
+            mask = np.zeros((len(rows), steps), bool)
+            for k, i in enumerate(rows):
+                size = len(pages[i])
+                mask[k, :size] = True
+                for a in range(0, size, _AT_ONCE):
+                    x = features(pages[i][a : a + _AT_ONCE], a, size)
+                    for d in "fb":
+                        given[d][k, a : a + len(x)] = self.gates(x, d)
+            logits, _ = self.swept(given, mask)
             for i, z in zip(rows, logits, strict=True):
                 out[i] = z[: len(pages[i])] > 0
         return out
@@ -341,27 +441,35 @@ def fit(pages: list[str], hidden: int = 12, rounds: int = 160, seed: int = 4, lo
     return model
 
 
-def fit_from_table(pages: DataFrame, sample_rows: int = 240, seed: int = 4) -> Labeller:
-    """Trains on the pages of smallest hash of page_id, at most ``sample_rows``; all rows are then read by the model."""
-    got = pages.where("html is not null").select("page_id", "html").withColumn("h", F.xxhash64("page_id", F.lit(seed))).orderBy("h", "page_id").limit(sample_rows).select("html").collect()
+def fit_from_table(pages: DataFrame, sample_rows: int = 240, sample_bytes: int = 48 << 20, seed: int = 4) -> Labeller:
+    """Trains on the pages of smallest hash of page_id; all rows are then read by the model.
+
+    At most ``sample_rows`` pages, of at most ``sample_bytes`` / ``sample_rows`` bytes each,
+    come to the driver.  Of a page_id with several pages the smallest is read.
+    """
+    known = pages.where(F.col("html").isNotNull() & (F.octet_length("html") <= sample_bytes // sample_rows)).select("page_id", "html")
+    # about four times the pages wanted pass the test, so a task sends few whatever the number of tasks
+    n = pages.count()
+    draw = F.pmod(F.xxhash64("page_id", F.lit(seed)), F.lit(1 << 40))
+    few = known.where(draw <= int(min(1.0, 4.0 * sample_rows / max(1, n)) * (1 << 40))).groupBy("page_id").agg(F.min("html").alias("html"))
+    got = few.orderBy(draw, "page_id").limit(sample_rows).select("html").collect()
     return fit([r[0] for r in got], seed=seed)
 
 
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     """page_id, url, text and n_chars of every row: the text blocks joined by a blank line.
 
-    A null or empty html, or one without text blocks, gives an empty text.
+    A null or empty html, or one without text blocks, gives an empty text.  Repeated rows
+    are each a row, equal pages have equal texts, an empty table gives an empty one.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)  # weights of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                part = whole.slice(at, 128)
-                blocks = [blocks_of(h or "") for h in part.column(2).to_pylist()]
-                marks = shared.value.label([features(b) for b in blocks])
-                texts = ["\n\n".join(b.text for b, m in zip(bs, ms, strict=True) if m) for bs, ms in zip(blocks, marks, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for part in slices(batches, "html"):
+            blocks = [blocks_of(h or "") for h in part.column(2).to_pylist()]
+            marks = shared.value.label(blocks)
+            texts = ["\n\n".join(b.text for b, m in zip(bs, ms, strict=True) if m) for bs, ms in zip(blocks, marks, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
