@@ -27,6 +27,7 @@ from pyspark.sql.types import IntegerType
 
 _OPEN, _CLOSE, _PAD = 0x01, 0x02, 0x00
 _BLOCK = 4096
+_BLOCK_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,7 @@ class WildcardAutomaton:
                     i += 1
             if literals[-1][1] != 2:
                 literals.append((_CLOSE, 2))
-            self.finals.append(len(literals) - 1)
+            self.finals.append(len(literals) - 1)  # its loop is any byte: once set, it stays
         self.words = -(-len(literals) // 64) if literals else 1
         self.match = np.zeros((256, self.words), np.uint64)
         self.loop = np.zeros((256, self.words), np.uint64)
@@ -80,14 +81,26 @@ class WildcardAutomaton:
                     self.match[c, word] |= mask
                 if stars == 2 or stars == 1 and plain:
                     self.loop[c, word] |= mask
+        self.stay = np.zeros(self.words, np.uint64)
+        for bit in self.finals:
+            self.stay[bit // 64] |= np.uint64(1 << bit % 64)
 
     def first_match(self, urls: Sequence[bytes]) -> np.ndarray:
-        """For each URL (``.host/path``) the index of the first glob that matches it whole, or -1."""
+        """For each URL (``.host/path``) the index of the first glob that matches it whole, or -1.
+
+        URLs of like length are read together, as many as a block of bounded bytes holds;
+        a block ends as soon as no rule of any of its URLs can change any more.
+        """
         out = np.full(len(urls), -1, np.int32)
-        order = np.argsort([len(u) for u in urls], kind="stable")
-        for at in range(0, len(order), _BLOCK):
-            rows = order[at : at + _BLOCK]
-            wide = len(urls[rows[-1]]) + 2
+        size = np.array([len(u) for u in urls], np.int64)
+        order = np.argsort(size, kind="stable")
+        at = 0
+        while at < len(order):
+            few = order[at : at + _BLOCK]
+            fits = (size[few] + 2) * np.arange(1, len(few) + 1) <= _BLOCK_BYTES
+            rows = few[: max(1, int(fits.sum()))]
+            at += len(rows)
+            wide = int(size[rows[-1]]) + 2
             text = np.frombuffer(b"".join((b"\x01" + urls[i].replace(b"\x00", b"\x03").replace(b"\x01", b"\x03").replace(b"\x02", b"\x03") + b"\x02").ljust(wide, b"\x00") for i in rows), np.uint8).reshape(len(rows), wide)
             state = np.zeros((len(rows), self.words), np.uint64)
             for t in range(wide):
@@ -98,6 +111,8 @@ class WildcardAutomaton:
                 if t == 0:
                     moved |= self.start
                 state = (moved & self.match[byte]) | (state & self.loop[byte])
+                if t % 64 == 63 and not (state & ~self.stay).any():
+                    break
             for rule in range(len(self.finals) - 1, -1, -1):
                 bit = self.finals[rule]
                 hit = (state[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1) == 1
@@ -125,7 +140,8 @@ def filter_urls(df: DataFrame, rules: Sequence[Rule], default: str = "allow", ur
 
     A null URL, or one without ``://``, has an empty host and path, no rule and the
     default verdict.  Rows are neither dropped nor merged; columns of these four names
-    are replaced.  Of rules of one length the first given wins.
+    are replaced.  Of rules of one length the first given wins.  An empty table gives an
+    empty one.
     """
     ranked = sorted(rules, key=lambda r: -len(r.name))
     automaton = WildcardAutomaton([r.glob for r in ranked])
