@@ -19,7 +19,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafita.llm.common import cut, small
+from grafita.llm.common import comparable, cut, small
 
 _WAYS = 32
 
@@ -83,7 +83,10 @@ def mix(documents: DataFrame, target_entropy: float = 0.9, max_repeat: float = 2
     gives an empty table.
     """
     names = [n for n in documents.columns if n not in ("mix_tokens", "mix_block", "mix_at", "mix_round")]
-    sizes = cut(source_tokens(documents, source))
+    rows = documents.select(*[F.col(f"`{n}`") for n in names], F.greatest(word_count(), F.lit(1)).alias("mix_tokens"), F.xxhash64(F.lit(seed), *[F.col(f"`{n}`") for n in comparable(documents) if n in names]).alias("__i"))
+    # texts are counted here and once more when rows are given out; what lies between reads this narrow table
+    narrow = cut(rows.select(F.col(f"`{source}`").alias("__s"), "mix_tokens", "__i"))
+    sizes = cut(narrow.groupBy(F.col("__s").alias("name")).agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("rows")))
     a, scale = temperature(sizes, target_entropy, max_repeat)
     budgets = sizes.select(
         F.col("name").alias("__n"), F.col("tokens").alias("__all"),
@@ -91,11 +94,11 @@ def mix(documents: DataFrame, target_entropy: float = 0.9, max_repeat: float = 2
         F.greatest(F.lit(1), F.ceil(F.col("rows") / block_rows)).cast("long").alias("__blocks"),
     )
     budgets = small(budgets, sizes.count())
-    rows = documents.select(*[F.col(f"`{n}`") for n in names], F.greatest(word_count(), F.lit(1)).alias("mix_tokens"), F.xxhash64(F.lit(seed), *[F.col(f"`{n}`") for n in names]).alias("__i"))
-    rows = rows.join(budgets, F.col(f"`{source}`").eqNullSafe(F.col("__n")))
-    rows = rows.withColumn("mix_block", F.pmod(F.xxhash64(F.lit(seed + 1), "__i"), F.col("__blocks")))
+    block = F.pmod(F.xxhash64(F.lit(seed + 1), "__i"), F.col("__blocks"))
+    rows = rows.join(budgets, F.col(f"`{source}`").eqNullSafe(F.col("__n"))).withColumn("mix_block", block)
+    dealt = narrow.join(budgets.select("__n", "__blocks"), F.expr("__s <=> __n")).withColumn("mix_block", block)
     # tokens before each block: over a source's chunks of 4096 blocks, then within a chunk
-    blocks = cut(rows.groupBy("__n", "mix_block").agg(F.sum("mix_tokens").alias("__bt")).withColumn("__c", F.shiftright(F.col("mix_block"), 12)))
+    blocks = cut(dealt.groupBy("__n", "mix_block").agg(F.sum("mix_tokens").alias("__bt")).withColumn("__c", F.shiftright(F.col("mix_block"), 12)))
     before = lambda over: F.coalesce(F.sum(over[0]).over(over[1].rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chunks = blocks.groupBy("__n", "__c").agg(F.sum("__bt").alias("__ct")).withColumn("__c0", before(("__ct", Window.partitionBy("__n").orderBy("__c"))))
     starts = blocks.withColumn("__b0", before(("__bt", Window.partitionBy("__n", "__c").orderBy("mix_block")))).join(chunks.withColumnRenamed("__n", "__m").withColumnRenamed("__c", "__d"), F.expr("__n <=> __m and __c = __d"))
