@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from grafita.llm.common import cut
 from grafita.llm.components import components
-from grafita.llm.textkit import Words, hash_keys, mix, slices, texts_of
+from grafita.llm.textkit import Words, give_back, hash_keys, mix, slices, texts_of
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -138,6 +138,7 @@ def _packed(documents: DataFrame) -> DataFrame:
         for part in batches:
             packed = [squeeze.compress((t or "").encode()) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+            give_back()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, packed binary")
 
@@ -161,6 +162,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> D
                 bags = _bags(pa.array(raw, pa.binary()).cast(pa.string()), k)
                 hit = [i for i in range(len(a)) if weighted_jaccard(bags[where[a[i]]], bags[where[b[i]]]) >= threshold]
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in hit], pa.int64()), pa.array([b[i] for i in hit], pa.int64())], names=["a", "b"])
+            give_back()
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb"))
@@ -229,6 +231,7 @@ def _links_across(rows: pa.Table, threshold: float, k: int) -> pa.Table:
             if rx != ry:
                 parent[ry] = rx
                 found.append((int(ids[s + need[x]]), int(ids[s + need[y]])))
+    give_back()
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
@@ -238,10 +241,14 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, k: int = 5, ba
     A pair at similarity 0.8 shares a bucket with a chance over 0.999.  Null and empty
     texts, and texts of white space, are in no group but their own; a text of fewer than
     five words is one shingle.  Rows with a null doc_id stay alone, with a null class and
-    kept.  Repeated rows of one doc_id are one document.  An empty table gives an empty one.
+    kept.  Rows of one doc_id with the same words are one document; with other words,
+    each row is judged by its own text.  An empty table gives an empty one.
     """
     sig = cut(signatures(documents, bands, rows, k))
     usable = sig.where("w1 is not null and doc_id is not null")
+    unlike = usable.groupBy("doc_id").agg(F.min("w1").alias("x"), F.max("w1").alias("y"), F.min("w2").alias("v"), F.max("w2").alias("w")).where("x <> y or v <> w")
+    if not unlike.isEmpty():
+        return _by_text(documents, threshold, k, bands, rows)
     reps = cut(usable.groupBy("w1", "w2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     entries = reps.select("rep", F.explode("bands").alias("key"))
     stats = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("c > 1").drop("c")
@@ -249,7 +256,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, k: int = 5, ba
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tested = cut(members.select("rep", F.explode(F.array("lo", "hi")).alias("leader")).where("rep <> leader").select(*pair(F.col("rep"), F.col("leader"))).distinct())
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = cut(_packed(documents).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = cut(_packed(documents.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     edges = cut(_verified(tested, texts, threshold, k))
     labels = components(edges)
     # buckets that still hold several components: every pair across them, block by block
@@ -271,3 +278,15 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, k: int = 5, ba
     out = sig.select("doc_id", "w1", "w2").join(classes, ["w1", "w2"], "left")
     cls = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", cls.alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+def _by_text(documents: DataFrame, threshold: float, k: int, bands: int, rows: int) -> DataFrame:
+    """near_duplicates of a table in which some doc_id has texts of other words: each (doc_id, text) gets a number of its own."""
+    named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("a", F.xxhash64("text")).withColumn("b", F.xxhash64(F.lit(1), "text"))
+    key = ["doc_id", "a", "b"]
+    # numbers are in the order of doc_id, so a class's smallest number has its smallest doc_id
+    numbers = cut(named.where("doc_id is not null").select(*key).distinct().repartitionByRange(*key).sortWithinPartitions(*key).withColumn("n", F.monotonically_increasing_id()))
+    one = named.join(numbers, key).groupBy("n").agg(F.first("text").alias("text"))
+    found = cut(near_duplicates(one.withColumnRenamed("n", "doc_id"), threshold, k, bands, rows).select(F.col("doc_id").alias("n"), F.col("class_id").alias("cn")))
+    classes = numbers.join(found, "n").join(numbers.select(F.col("n").alias("cn"), F.col("doc_id").alias("class_id")), "cn").select(*key, "class_id")
+    return named.join(classes, key, "left").select("doc_id", "class_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
