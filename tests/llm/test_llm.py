@@ -37,7 +37,7 @@ def texts():
 
 
 def docs_of(spark, rows):
-    return spark.createDataFrame([(i, t, "en", "src%d" % (0 if i % 3 else i % 5), None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return spark.createDataFrame([(i, t, "en", "src%d" % (0 if (i or 0) % 3 else (i or 0) % 5), None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
 
 
 def test_substring_dedup(spark, texts):
@@ -395,3 +395,330 @@ def test_pipeline_keeps_repeated_rows_once(spark):
     assert {r.doc_id for r in last.collect()} == {1, 2, 3, 5, 6, None}
     unique = docs.where("doc_id in (4, 5)")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates_out(spark, unique, "").collect()) == [4, 5]
+
+
+def test_toxicity_sample_is_bounded_and_repeats_are_defined(spark):
+    rows = [(i, "fine words here %d" % i if i % 2 else "you scumbag %d" % i) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    repeated = [(2, "zz %d" % i) for i in range(3000)]  # one labelled id holds most rows
+    docs = docs_of(spark, rows + repeated + [(None, "x"), (7, None)])
+    seen = []
+    real = toxicity.fit
+    toxicity.fit = lambda texts, toxic, space: seen.append((len(texts), sum(len(t.as_py()) for t in texts))) or real(texts, toxic, space)
+    try:
+        toxicity.fit_from_tables(docs, labels, sample_rows=45)
+        model = toxicity.fit_from_tables(docs, labels, sample_bytes=16 * 100)
+    finally:
+        toxicity.fit = real
+    assert seen[0][0] == 45 and 0 < seen[1][1] <= 1600
+    out = toxicity.score(docs_of(spark, [(1, "abc abc"), (1, "abc abc"), (None, "abc abc"), (2, "q" * 2_000_000)]), model).collect()
+    assert len(out) == 4 and len({r.score for r in out if r.text == "abc abc"}) == 1 and all(0 <= r.score <= 1 for r in out)
+
+
+def test_toxicity_scores_against_plain_python(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["good", "bad", "Ugly", "größe", "x"]) for _ in range(rng.randint(0, 30))) for _ in range(80)]
+    toxic = np.array([int("bad bad" in t) for t in texts])
+    space = toxicity.NgramSpace((2, 4), 12)
+    model = toxicity.fit(texts, toxic, space, features=64)
+
+    def slot(gram):
+        value = 0
+        for byte in gram:
+            value = (value * 0x100000001B3 + byte + 1) % 2**64 if value else byte + 1
+        return ((value * 0x9E3779B97F4A7C15 + len(gram)) % 2**64) >> 52
+
+    def plain(t):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())
+        slots = {slot(raw[i : i + n]) for n in (2, 4) for i in range(len(raw) - n + 1)}
+        return 1 / (1 + np.exp(-(model.bias + sum(float(model.weights[s]) for s in slots))))
+
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(spark, list(enumerate(texts))), model).collect()}
+    assert all(abs(got[i] - plain(t)) < 1e-5 for i, t in enumerate(texts))
+
+
+def test_sum_of_squares_rule_against_brute_force():
+    rng = random.Random(10)
+    for capacity in (7, 24):
+        rule, levels = packing.SumOfSquares(capacity), {}
+        for _ in range(600):
+            size = rng.randint(1, capacity)
+            count = collections.Counter(v for v in levels.values() if v < capacity)
+
+            def after(level):
+                c = count.copy()
+                if level:
+                    c[level] -= 1
+                if level + size < capacity:
+                    c[level + size] += 1
+                return sum(v * v for v in c.values())
+
+            best = min(after(x) for x in [0, *(v for v in count if v + size <= capacity)])
+            sequence, offset = rule.place(size)
+            assert after(offset) == best
+            assert levels.get(sequence, 0) == offset
+            levels[sequence] = offset + size
+
+
+def test_packing_repeated_rows_and_clashing_columns(spark):
+    pieces = spark.createDataFrame([(1, 0, 5, "a"), (1, 0, 5, "a"), (None, 0, 3, "b"), (2, 0, 8, None)], "doc_id long, piece int, length long, `x.y` string")
+    out = packing.pack(pieces, 8).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in out) == [(0, 3), (1, 5), (1, 5), (2, 8)]
+    assert len({(r.sequence_id, r.offset) for r in out}) == 4
+    with pytest.raises(Exception, match="9 tokens"):
+        packing.pack(pieces.withColumn("length", F.lit(9).cast("long")), 8).collect()
+
+
+def test_mixing_against_an_independent_model(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(1, 40))), "s%d" % min(4, int(rng.expovariate(0.6)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    tokens = collections.Counter()
+    for _, t, s in rows:
+        tokens[s] += len(t.split())
+    top, low = max(tokens.values()), min(tokens.values())
+    for target, limit in ((0.95, 50.0), (0.99, 1.5), (0.2, 3.0)):
+
+        def entropy(a):
+            w = [(v / top) ** a for v in tokens.values()]
+            return -sum(x / sum(w) * np.log(x / sum(w)) for x in w)
+
+        a, b = max(0.0, 1 - np.log(limit) / np.log(top / low)), 1.0
+        if entropy(b) < target * np.log(len(tokens)):
+            for _ in range(200):  # plain bisection of the exponent
+                m = (a + b) / 2
+                a, b = (m, b) if entropy(m) >= target * np.log(len(tokens)) else (a, m)
+        else:
+            a = b
+        got, scale = mixing.temperature(mixing.source_tokens(docs), target, limit)
+        assert abs(got - a) < 1e-6
+        out = mixing.mix(docs, target, limit, block_rows=30).collect()
+        read, places = collections.Counter(), collections.defaultdict(dict)
+        for r in out:
+            read[r.source] += r.mix_tokens
+            places[r.source][r.doc_id] = (r.mix_at, r.mix_tokens, r.mix_block)
+        for s, n in tokens.items():
+            budget = max(n, int(n**a * top ** (1 - a) + 1e-6))
+            held = [r for r in out if r.source == s]
+            assert all((r.mix_round == 0 or r.mix_round * n + r.mix_at < budget) for r in held)
+            assert len(held) == sum(max(1, -(-(budget - at) // n)) for at, _, _ in places[s].values())
+            assert max(r.mix_round for r in held) + 1 <= np.ceil(limit)
+            at = 0
+            for start, size, _ in sorted(places[s].values()):  # one permutation without gaps
+                assert start == at
+                at += size
+            assert at == n
+
+
+def test_mixing_repeated_rows_and_odd_columns(spark):
+    rows = [(1, "a b", None, 1), (1, "a b", None, 1), (None, None, "s", 2), (2, "", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `x.y` int").withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    out = mixing.mix(docs, block_rows=1).collect()
+    assert sorted((r.doc_id or 0, r.mix_tokens, r["x.y"]) for r in out if r.mix_round == 0) == [(0, 1, 2), (1, 2, 1), (1, 2, 1), (2, 1, 3)]
+
+
+def test_ann_every_row_is_a_candidate_and_ties_go_to_the_smaller_id(spark):
+    x, df = vectors_of(spark, 400, 8)
+    more = df.where("vec_id in (7, 8)").withColumn("vec_id", F.lit(9).cast("long"))  # 9 is there three times
+    equal = df.where("vec_id = 41").drop("vec_id").crossJoin(spark.createDataFrame([(5000,), (4000,), (4500,)], "vec_id long")).select(*df.columns)
+    table = df.unionByName(more).unionByName(equal).unionByName(df.where("vec_id = 0").withColumn("vec_id", F.lit(None).cast("long")))
+    every = [(r.vec_id, np.array(r.embedding, float)) for r in table.collect() if r.vec_id is not None and r.embedding and None not in r.embedding]
+    every = [(i, v) for i, v in every if np.isfinite(v).all() and v.any()]
+    asked = table.where("vec_id % 20 = 0")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(table, asked, k=20, recall=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    for q in range(0, 400, 20):
+        qv = next(v for i, v in every if i == q)
+        want = sorted(((i, round(float(v @ qv), 9)) for i, v in every if i != q), key=lambda p: (-p[1], p[0]))[:20]
+        assert got[q] == want
+
+
+def test_embedding_dedup_repeated_ids(spark):
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(5, v), (5, w), (9, v), (3, w), (None, v), (8, [2.0, 0.1, 0.0]), (8, [2.0, 0.1, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in embedding_dedup.near_duplicates(df).collect()))
+    assert got == [(-1, 0, -1, True), (3, 1, 3, True), (5, 1, 3, False), (5, 3, 5, True), (8, 3, 5, False), (8, 3, 5, False), (9, 3, 5, False)]
+
+
+def test_near_duplicates_of_ids_with_other_texts(spark):
+    a, b = ("%s1 %s2 %s3 %s4 %s5 %s6" % ((c,) * 6) for c in "ab")
+    d = spark.createDataFrame([(1, a), (3, a), (3, b), (4, b), (5, None), (5, a), (None, b)], "doc_id long, text string")
+    got = sorted(((r.doc_id or -1, r.class_id or -1, r.kept) for r in minhash.near_duplicates(d).collect()))
+    assert got == [(-1, -1, True), (1, 1, True), (3, 1, False), (3, 3, True), (4, 3, False), (5, 1, False), (5, 5, True)]
+
+
+def test_components_by_broadcast_and_by_salts(spark, monkeypatch):
+    from grafita.llm import components
+
+    rng = random.Random(12)
+    edges = [(7, i) for i in range(100, 300)] + [(i, i + 1) for i in range(1000, 1060)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)] + [(5, 5), (None, 1)]
+    label = {}
+    for x, y in edges:
+        if x is not None and x != y:
+            label.setdefault(x, x), label.setdefault(y, y)
+    for _ in range(len(label)):
+        for x, y in edges:
+            if x in label and y in label:
+                label[x] = label[y] = min(label[x], label[y])
+    df = spark.createDataFrame(edges, "a long, b long")
+    for bound in (200_000, 0):
+        monkeypatch.setattr(components, "BROADCAST_ROWS", bound)
+        assert {r.node: r.component for r in components.components(df).collect()} == label
+    assert components.components(df.limit(0)).count() == 0
+
+
+def test_warc_repeated_page_ids_and_no_rows(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (2, "u", "own"), (1, "u", "same"), (3, None, "own"), (None, "u", "same")], "page_id long, url string, html string")
+    got = sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to or -1, r.payload_digest == warc.payload_digest(b"same")) for r in warc.archive_round_trip(df, f"file://{tmp_path}/a").collect())
+    assert got == [(-1, 4, "response", -1, True), (1, 4, "response", -1, True), (1, 4, "response", -1, True), (2, 3, "response", -1, False), (2, 4, "revisit", 1, True), (3, 3, "revisit", 2, False)]
+    assert warc.archive_round_trip(df.limit(0), f"file://{tmp_path}/b").count() == 0
+
+
+def test_warc_payloads_of_records_within_records(spark, tmp_path):
+    import time
+
+    page = "x"
+    for _ in range(3000):  # each a record that holds the one before
+        page = f"WARC/1.0\r\nContent-Length: {len(page)}\r\n\r\n{page}\r\n\r\n"
+    lines = "WARC/1.0\r\n" * 200_000
+    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate([page, lines, "z"])], "page_id long, url string, html string").coalesce(1)
+    began = time.time()
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.archive_round_trip(df, f"file://{tmp_path}/a").collect()}
+    assert got == {i: (len(h), warc.payload_digest(h.encode())) for i, h in enumerate([page, lines, "z"])}
+    assert time.time() - began < 90
+
+
+@pytest.mark.parametrize(("page", "texts"), [
+    ("<p data-x=it's>one</p><p title='a>b'>two", ["one", "two"]),
+    ('<p x="never closed>three</p><p>four', ["three", "four"]),
+    ("<div a=b/>x</div>y<img src=a/>z", ["x", "yz"]),
+    ("3 < 5 </> </ bogus>e<!-->f<!--->g<!-- > -->h<!doctype x>i", ["3 < 5 efghi"]),
+    ("a<svg>b<p>c", ["a", "b", "c"]),
+    ("x<script>y<p>z", ["x"]),
+    ("<p>a<script>x</script >b<style>c</style/>d", ["abd"]),
+    ("a <b", ["a"]),
+    ("&amp;lt; &nbsp; &eacute;\n\tx", ["&lt; é x"]),
+])
+def test_html_tokens(page, texts):
+    assert [b.text for b in html_text.blocks_of(page)] == texts
+
+
+def test_html_time_is_linear():
+    import time
+
+    began = time.time()
+    for part in ('<p x="', "<svg>", "<!--", "<p a=' ", "<![CDATA[", "<", "<a ", "</b x='", "<template>"):
+        html_text.blocks_of(part * 50_000)
+    assert time.time() - began < 20
+
+
+def template(kind, rng):
+    """A page of one of several layouts, and the blocks of its article."""
+    pool = ["river", "stone", "Market", "of", "the", "and", "growth", "city", "report", "a", "in", "light", "season", "team"]
+    say = lambda n: " ".join(rng.choice(pool) for _ in range(n)).capitalize() + "."
+    body = [say(rng.randint(15, 70)) for _ in range(rng.randint(3, 9))]
+    title = say(5)
+    links = lambda n: "".join(f"<li><a href='/{i}'>{rng.choice(pool)}</a></li>" for i in range(n))
+    p = "".join(f"<p>{x}</p>" for x in body)
+    comment = "".join(f"<div class='comment'><p>{say(12)}</p></div>" for _ in range(4))
+    pages = {
+        "semantic": f"<body><header><h2>{say(3)}</h2></header><nav><ul>{links(6)}</ul></nav><main><article><h1>{title}</h1>{p}</article><section class='comments'>{comment}</section></main><aside><ul>{links(4)}</ul></aside><footer>{say(6)}</footer>",
+        "blog": f"<body><div id='header'><ul class='menu'>{links(5)}</ul></div><div class='post'><h1>{title}</h1><div class='entry-content'>{p}</div></div><ol class='comment-list'><li>{comment}</li></ol><div id='sidebar'><div class='widget'>{say(8)}</div></div><div class='footer'>{say(6)}</div>",
+        "bare": f"<body><ul>{links(7)}</ul><div><h1>{title}</h1>{p}</div><div><a href='/'>{say(2)}</a> <a href='/x'>{say(2)}</a></div>",
+        "table": f"<body><table><tr><td><ul>{links(6)}</ul></td><td><h1>{title}</h1>{p}</td></tr></table><div class='copyright'>{say(5)}</div>",
+        "notices": f"<body><div class='cookie-notice'>{say(20)}</div><div class='ad'>{say(9)}</div><article><h1>{title}</h1>{p}<div class='newsletter'><form>{say(8)}<input></form></div></article><div class='related'><ul>{links(5)}</ul></div>",
+    }
+    return "<html><head><title>t</title></head>" + pages[kind] + "</body></html>", [title, *body]
+
+
+def test_html_precision_and_recall_on_layouts_held_out(spark):
+    rng = random.Random(13)
+    given = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    model = html_text.fit_from_table(given)
+    figures = {}
+    for kind in ("semantic", "blog", "bare", "table", "notices"):
+        pages = [template(kind, rng) for _ in range(40)]
+        blocks = [html_text.blocks_of(p) for p, _ in pages]
+        hit = said = true = 0
+        for bs, ms, (_, want) in zip(blocks, model.label(blocks), pages, strict=True):
+            got = [b.text for b, m in zip(bs, ms, strict=True) if m]
+            hit += len(set(got) & set(want))
+            said += len(got)
+            true += len(want)
+        figures[kind] = (round(hit / max(1, said), 3), round(hit / true, 3))
+    print(figures)
+    assert all(x >= 0.9 and y >= 0.8 for x, y in figures.values()), figures
+
+
+def test_html_empty_table_repeats_and_long_pages(spark):
+    long = "<body><article>" + "<p>word and words, of one more page.</p>" * 30_000 + "</article>"
+    rows = [(1, "u", "<article><p>a b c, d.</p></article>")] * 2 + [(None, None, None), (2, "u", long)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    model = html_text.fit_from_table(df)
+    out = html_text.extract(df, model).collect()
+    assert len(out) == 4 and len({r.text for r in out if r.page_id == 1}) == 1
+    assert html_text.extract(df.limit(0), html_text.fit_from_table(df.limit(0))).count() == 0
+
+
+def test_url_filter_long_urls_are_read_in_bounded_blocks(spark):
+    globs = [url_filter.Rule("block", "net", "/es/").glob]
+    a = url_filter.WildcardAutomaton(globs)
+    urls = [b".x.net/es/" + b"y" * 3_000_000, b".x.net/fr/" + b"y" * 100_000] + [b".a.net/es/%d" % i for i in range(5000)] + [b"." + b"h" * 20_000 + b".net/es/"]
+    assert list(a.first_match(urls)) == [0, -1] + [0] * 5000 + [0]
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.filter_urls(empty, []).count() == 0
+
+
+def test_pipeline_whole_run_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    say = lambda n: " ".join("v%d" % rng.randrange(5000) for _ in range(n))
+    passage = say(50)
+    rows = [(i, say(rng.randint(5, 200)), "s%d" % (i % 3)) for i in range(120)]
+    rows += [(200, rows[4][1], "s0"), (201, say(30) + " " + passage, "s1"), (202, passage + " " + say(20), "s2"), (203, say(20) + " you utter scumbag idiot moron", "s0"), (204, None, None)]
+    bad = [(300 + i, say(10) + " you utter scumbag idiot moron", "s1") for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows + bad], "doc_id long, text string, lang string, source string, n_chars long")
+    extra = {"score": F.lit("a"), "predicted": F.lit("b"), "kept_text": F.lit("c"), "n_words": F.lit("d"), "mix_tokens": F.lit("e"), "mix_round": F.lit("f"), "x.y": F.lit("g"), "back`tick": F.lit("h"), "__n": F.lit("i"), "m": F.create_map(F.lit("k"), F.lit(1))}
+    docs = docs.withColumns(extra)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i, _, _ in rows] + [(i, 1, 1) for i, _, _ in bad]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out, wrote = docs, {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, out, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        out = spark.read.parquet(f"{tmp_path}/{k}")
+        wrote[name] = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert {(r.score, r.predicted, r.kept_text, r.n_words, r.mix_tokens, r.mix_round, r["x.y"], r["back`tick"], r["__n"], r.m["k"]) for r in wrote[name]} == {(*"abcdefghi"[:6], "g", "h", "i", 1)}
+    ids = {n: {r.doc_id for r in x} for n, x in wrote.items()}
+    assert ids["toxicity"] == {i for i, _, _ in rows} - {203}
+    assert ids["near_dedup"] == ids["toxicity"] - {200}
+    text = {r.doc_id: r.text for r in wrote["substring"]}
+    assert passage not in text[201] and passage not in text[202] and text[7] == rows[7][1] and text[204] is None
+    assert ids["mixing"] == ids["packing"] == ids["near_dedup"]
+    again = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    order = lambda x: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in x)
+    assert order(again) == order(wrote["packing"])
+
+
+def test_every_query_runs_and_gives_its_columns(spark):
+    from grafita.llm import registry
+
+    want = {
+        "op1": "query_id rank vec_id score", "op2": "doc_id n_words n_removed kept_sha256", "op3": "page_id payload_bytes payload_digest record_type refers_to", "op4": "doc_id held_out score predicted",
+        "op5": "vec_id n_links component_id kept", "op6": "page_id url text n_chars", "op7": "page_id host path rule verdict", "op8": "doc_id piece start length ids_crc32 sequence_id offset", "op9": "doc_id source", "op10": "doc_id class_id kept",
+    }
+    rows = {"embeddings": 0, "documents": 0, "pages": 0}
+    for t in rows:
+        rows[t] = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").count()
+    queries = registry.queries()
+    assert [n.split("_")[0] for n in queries] == list(want)
+    for name, f in queries.items():
+        out = f(spark, "/root/testdata/sf0.001")
+        assert set(want[name.split("_")[0]].split()) <= set(out.columns), name
+        n = out.count()
+        table = {"op1": None, "op3": "pages", "op5": "embeddings", "op6": "pages", "op7": "pages"}.get(name.split("_")[0], "documents")
+        assert n >= rows[table] if name.split("_")[0] in ("op8", "op9") else table is None or n == rows[table], name
