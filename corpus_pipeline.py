@@ -14,7 +14,8 @@ packing     pieces of at most 1024 tokens, placed into sequences.
 
 Null texts count as empty, are never toxic by their words, duplicates of nothing, and are
 packed as an end mark alone.  Rows with a null doc_id pass the first four stages.  Extra
-columns are carried along; empty tables give empty tables.
+columns are carried along as they are, whatever their names; of rows that repeat a doc_id
+and text but differ elsewhere, the smallest stays.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -26,44 +27,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafita.llm import minhash, mixing, packing, substring_dedup, toxicity
-from grafita.llm.common import cut, table
+from grafita.llm.common import comparable, cut, set_aside, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit_from_tables(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    return toxicity.score(docs, model).where("predicted = 0").select(*[F.col(f"`{n}`") for n in names])
+    rows, back = set_aside(docs, "text")
+    return toxicity.score(rows, model).where("predicted = 0").select(*back)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
     same = ["doc_id", "__a", "__b"]
+    docs, back = set_aside(docs, "doc_id", "text")
+    names = docs.columns
     rows = docs.withColumn("__a", F.xxhash64("text")).withColumn("__b", F.xxhash64(F.lit(1), "text"))
     known = rows.where("doc_id is not null")
     # narrow: a row for each (doc_id, text), where a doc_id has more rows than one
     again = cut(known.join(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "doc_id", "left_semi").groupBy(same).agg(F.count("*").alias("__c")))
     if again.isEmpty():
         gone = minhash.near_duplicates(docs.select("doc_id", "text"), threshold=0.8).where("not kept").select("doc_id").distinct()
-        return docs.join(gone, "doc_id", "left_anti").select(*names)
+        return docs.join(gone, "doc_id", "left_anti").select(*back)
     repeated = again.where("__c > 1").select(*same)
-    one = known.join(repeated, same, "left_semi").groupBy(same).agg(F.min(F.struct(*[F.col(f"`{n}`") for n in names])).alias("__row"))
+    one = known.join(repeated, same, "left_semi").groupBy(same).agg(F.min_by(F.struct(*names), F.struct(*comparable(docs))).alias("__row"))
     one = one.select("__row.*", "__a", "__b").select(*rows.columns)
     single = known.join(repeated, same, "left_anti").select(*rows.columns).unionByName(one)
     # each (doc_id, text) gets a number; numbers are in the order of doc_id
     numbers = cut(known.select(*same).distinct().repartitionByRange(*same).sortWithinPartitions(*same).withColumn("__n", F.monotonically_increasing_id()))
     single = single.join(numbers, same)
     gone = minhash.near_duplicates(single.select(F.col("__n").alias("doc_id"), "text"), threshold=0.8).where("not kept").select(F.col("doc_id").alias("__n"))
-    return single.join(gone, "__n", "left_anti").select(*names).unionByName(docs.where("doc_id is null"))
+    return single.join(gone, "__n", "left_anti").select(*names).unionByName(docs.where("doc_id is null")).select(*back)
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = substring_dedup.remove_repeats(docs, window=35)
+    rows, back = set_aside(docs, "doc_id", "text", "n_chars")
+    left = substring_dedup.remove_repeats(rows, window=35)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return left.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return left.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*back)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, target_entropy=0.9, max_repeat=2.0).select(*docs.columns)
+    rows, back = set_aside(docs, "doc_id", "text", "source")
+    return mixing.mix(rows, target_entropy=0.9, max_repeat=2.0).select(*back)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
