@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from grafita.llm.common import cut
+from grafita.llm.common import cut, small
 from grafita.llm.vectors import dimension, matrix, usable
 
 _BLOCK = 4096
@@ -186,7 +186,9 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0
     sizes = placed.groupBy("t", "bucket").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
     groups = max(1, n * tables // _TASK_ROWS)
     task = F.pmod(F.xxhash64("t", "bucket", "block"), F.lit(groups)).cast("int")
-    wide = sizes.where("blocks > 1").withColumnsRenamed({"t": "t2", "bucket": "b2"})
+    # buckets of more than one block are few; a hot one would be a hot key of a shuffled join
+    wide = cut(sizes.where("blocks > 1").withColumnsRenamed({"t": "t2", "bucket": "b2"}))
+    wide = small(wide, wide.count())
     same = (F.col("t") == F.col("t2")) & (F.col("bucket") == F.col("b2"))
     data = placed.join(wide, same, "left").withColumn("block", F.pmod(F.xxhash64("rid"), F.coalesce("blocks", F.lit(1))).cast("int")).select(task.alias("p"), "t", "bucket", "block", "rid").join(rows, "rid")
     probe = asked.select("qid", F.posexplode(visited("q")).alias("t", "list")).select("qid", "t", F.explode(F.array_distinct("list")).alias("bucket"))
