@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grafita.plans.derived import Graph, union
@@ -20,7 +22,17 @@ def cardinalities(nodes: DataFrame, edges: DataFrame, endpoints: DataFrame, rule
     counts = legal.groupBy("source_id", "type").agg(F.count("*").alias("n"))
     due = source.join(F.broadcast(rules), "src_label").join(counts, ["source_id", "type"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     bad = due.where("n < least or n > most")
-    return bad.groupBy("src_label", "type").agg(F.count("*").alias("offenders"), F.min("source_id").alias("example"))
+    return examples(bad, ["src_label", "type"], "source_id")
+
+
+def examples(bad: DataFrame, keys: list[str], id_: str, most: int = 5) -> DataFrame:
+    """keys, offenders and examples: the smallest ``most`` ids of each key, joined by a semicolon.
+
+    Only so many ids of a key leave a task, however many offend.
+    """
+    first = bad.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(id_))).where(F.col("__n") <= most)
+    named = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(id_)), ";").alias("examples"))
+    return bad.groupBy(*keys).agg(F.count("*").alias("offenders")).join(named, keys)
 
 
 def without_topic(g: Graph) -> DataFrame:
@@ -78,11 +90,12 @@ def topic_without_evidence(g: Graph) -> DataFrame:
 
 
 def _without_evidence(g: Graph, claims: DataFrame) -> DataFrame:
+    """Claims (pid, what), each once, that no chunk of a document of the project speaks of; claims are read once."""
     told = g.edges_of("EXTRAIDO_DE").select(F.col("source_id").alias("chunk"), F.col("target_id").alias("what"))
     of = g.edges_of("DE_DOCUMENTO").select(F.col("source_id").alias("chunk"), F.col("target_id").alias("doc"))
-    docs = g.edges_of("ES_DESCRITO_POR").select(F.col("source_id").alias("pid"), F.col("target_id").alias("doc"))
-    proof = claims.join(docs, "pid").join(told.join(of, "chunk").select("doc", "what").distinct(), ["doc", "what"], "left_semi").select("pid", "what")
-    return claims.join(proof, ["pid", "what"], "left_anti")
+    docs = g.edges_of("ES_DESCRITO_POR").select("source_id", F.col("target_id").alias("doc")).withColumnRenamed("source_id", "pid")
+    proof = told.join(of, "chunk").select("doc", "what").distinct().withColumn("seen", F.lit(True))
+    return claims.join(docs, "pid", "left").join(proof, ["doc", "what"], "left").groupBy("pid", "what").agg(F.max("seen").alias("seen")).where("seen is null").select("pid", "what")
 
 
 def foreign_titles(g: Graph) -> DataFrame:
@@ -93,10 +106,29 @@ def foreign_titles(g: Graph) -> DataFrame:
     return t.join(own, ["pid", "chunk"], "left_anti")
 
 
-def run_checks(rules: dict[str, DataFrame]) -> DataFrame:
-    """rule, offenders and the first of them, of any number of rules."""
-    one = lambda name, df: df.agg(F.count("*").alias("offenders"), F.min(F.concat_ws("|", *df.columns)).alias("example")).select(F.lit(name).alias("rule"), "offenders", "example")
-    return union(*[one(k, v) for k, v in rules.items()])
+def run_checks(spark: SparkSession, rules: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """rule, offenders, examples (five, joined by a semicolon) and error of each rule.
+
+    A rule gives the table of its offenders.  Each is run on its own, and one that fails
+    is a row with its error; the report has a row a rule, so it is made on the driver.
+    """
+    report = []
+    for name, rule in rules.items():
+        try:
+            bad = rule()
+            bad = bad.select(F.lit(name).alias("rule"), F.concat_ws("|", *bad.columns).alias("id"))
+            got = examples(bad, ["rule"], "id").first()
+            report.append((name, got.offenders if got else 0, got.examples if got else "", None))
+        except (PySparkException, Py4JJavaError) as e:
+            report.append((name, None, "", type(e).__name__))
+    return spark.createDataFrame(report, "rule string, offenders long, examples string, error string")
+
+
+def statistics(g: Graph) -> DataFrame:
+    """kind (node or edge), name (label, type, or all) and n."""
+    by = lambda kind, df, c: df.groupBy(c).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.col(c).alias("name"), "n")
+    parts = by("edge", g.edges, "type").unionByName(by("node", g.nodes, "label"))
+    return parts.cube("kind", "name").agg(F.sum("n").alias("n")).where("kind is not null").withColumn("name", F.coalesce("name", F.lit("all")))
 
 
 def endpoint_issues(edges: DataFrame, nodes: DataFrame, endpoints: DataFrame) -> DataFrame:
@@ -127,9 +159,14 @@ def audit_query_log(log: DataFrame, text: str = "query_text") -> DataFrame:
     return log.withColumn("reason", reason)
 
 
+def graph_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that one extraction has more often than the other, with the side that has them (I17); none if they are equal."""
+    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
+
+
 def graphs_equal(a: DataFrame, b: DataFrame) -> bool:
-    """The same rows, however often and in whatever order."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    """The same rows, each as often, in whatever order."""
+    return graph_difference(a, b).isEmpty()
 
 
 def entity_issues(nodes: DataFrame, fields: DataFrame, closed: Sequence[str] = ()) -> DataFrame:

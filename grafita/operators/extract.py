@@ -172,3 +172,18 @@ def rechunk(documents: DataFrame, sizes: Sequence[int], text: str = "text") -> D
     n = F.ceil(F.size("w") / F.col("size")).cast("int")
     d = d.select("doc_id", "size", "w", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos"))
     return d.select("doc_id", "size", "pos", F.array_join(F.expr("slice(w, pos * size + 1, size)"), " ").alias("texto"))
+
+
+def taxonomy_graph(topics: DataFrame) -> DataFrame:
+    """Nodes and edges of topics (topic, subfield), both by their folded ids, so equal names collapse.
+
+    Columns: kind (node or edge), label (of the node, or the edge's type), id and to; the
+    display of a node is the smallest of its names.
+    """
+    from grafita.functions.text import taxonomy_id
+
+    t = topics.select("topic", "subfield", taxonomy_id(F.col("topic")).alias("t"), taxonomy_id(F.col("subfield")).alias("s"))
+    none = F.lit(None).cast("string")
+    node = lambda label, id_, name: t.groupBy(F.col(id_).alias("id")).agg(F.min(name).alias("display")).select(F.lit("node").alias("kind"), F.lit(label).alias("label"), "id", none.alias("to"), "display")
+    edges = t.select(F.lit("edge").alias("kind"), F.lit("PERTENECE_A_SUBCAMPO").alias("label"), F.col("t").alias("id"), F.col("s").alias("to"), none.alias("display")).distinct()
+    return node("Topico", "t", "topic").unionByName(node("Subcampo", "s", "subfield")).unionByName(edges)

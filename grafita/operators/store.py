@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,6 +68,30 @@ def upsert(stored: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFram
     return both.select(*keys, props.alias("props"), F.col("in_store").isNull().alias("created"))
 
 
+def upsert_edges(stored: DataFrame, batch: DataFrame, nodes: DataFrame) -> DataFrame:
+    """MERGE of edges (type, source_id, target_id, props); those of the batch with an end that is no node are left out."""
+    ids = nodes.select("id").distinct()
+    ends = batch.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    return upsert(stored, ends, ["type", "source_id", "target_id"])
+
+
+def admit(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files of known projects, report of the others: path, year, form); both tables have year and form."""
+    keys = ["year", "form"]
+    return files.join(known.select(*keys).distinct(), keys, "left_semi"), files.join(known.select(*keys), keys, "left_anti").select("path", *keys)
+
+
+def ingest_report(skipped: DataFrame, errors: DataFrame) -> DataFrame:
+    """outcome, type and n: skipped paths, each counted once, and errors by type."""
+    one = skipped.select("path").distinct().agg(F.count("*").alias("n")).select(F.lit("skipped").alias("outcome"), F.lit(None).cast("string").alias("type"), "n")
+    return one.unionByName(errors.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("error").alias("outcome"), "type", "n"))
+
+
+def health(stores: dict[str, DataFrame]) -> DataFrame:
+    """store, n and empty of each named table."""
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("store"), "n", (F.col("n") == 0).alias("empty")) for name, df in stores.items()])
+
+
 def delete_node(nodes: DataFrame, edges: DataFrame, node_id: str) -> tuple[DataFrame, DataFrame]:
     """The graph without a node and its edges."""
     return nodes.where(F.col("id") != node_id), edges.where((F.col("source_id") != node_id) & (F.col("target_id") != node_id))

@@ -34,18 +34,25 @@ def f01(s, d):  # noqa: ANN001, ANN201
 NC = ", ne as (select e.* from edges e where source_id in (select id from nodes where label <> 'Chunk') and target_id in (select id from nodes where label <> 'Chunk'))"
 
 
-@reg("f02", NC + """, t as (select * from ne where source_id = 'inv_3' or target_id = 'inv_3'), k as (select * from t order by type, source_id, target_id limit 200),
-deg as (select id, count(*) as degree from (select unnest([source_id, target_id]) as id from k) group by id)
-select label, id, display, coalesce(degree, 0) as degree from nodes left join deg using (id) where label <> 'Chunk' and id in (select unnest([source_id, target_id]) from t)""")
+PROJ = """with nn as (select count(*) as n from documents), proj as (select o_orderkey as okey, case when o_orderpriority = '1-URGENT' then 'Grupo' else 'Proyecto' end as label, case when o_orderpriority = '1-URGENT' then 'gi_' else 'proy_' end || year(o_orderdate) || '_' || o_orderkey as pid from orders)"""
+
+
+# around a researcher are their projects, and chunks, which are left out
+ORACLE["op_f02"] = PROJ + """, t as (select distinct label, pid from lineitem join proj on l_orderkey = okey where l_suppkey = 3), k as (select pid from t order by pid limit 1200)
+select label, pid as id, pid as display, case when k.pid is null then 0 else 1 end as degree from t left join k using (pid)
+union all select 'Investigador', 'inv_3', s_name, (select count(*) from k) from supplier where s_suppkey = 3 and (select count(*) from t) > 0"""
+
+
+@reg("f02")
 def f02(s, d):  # noqa: ANN001, ANN201
-    return m.neighborhood(graph(s, d), "inv_3", 200)[0]
+    return m.neighborhood(graph(s, d), "inv_3", 1200)[0]
 
 
 @reg("f03", NC + """, deg as (select id, count(*) as degree from (select unnest([source_id, target_id]) as id from ne) group by id),
-top as (select label, id, coalesce(degree, 0) as degree from nodes left join deg using (id) where label <> 'Chunk' order by degree desc, id limit 100)
+top as (select label, id, coalesce(degree, 0) as degree from nodes left join deg using (id) where label <> 'Chunk' order by degree desc, id limit 500)
 select type, source_id, target_id from ne where source_id in (select id from top) and target_id in (select id from top) order by 1, 2, 3 limit 1200""")
 def f03(s, d):  # noqa: ANN001, ANN201
-    return m.snapshot(graph(s, d), 100, 1200)[1]
+    return m.snapshot(graph(s, d), 500, 1200)[1]
 
 
 @reg("f04", "select label, id from nodes where id = 'area_machinery' order by label limit 5")
@@ -58,8 +65,12 @@ def f05(s, d):  # noqa: ANN001, ANN201
     return m.discover_schema(graph(s, d))
 
 
-@reg("f06", """select i.id as inv, p.id as pid, t.id as topic from nodes i join edges a on a.source_id = i.id and a.type = 'PARTICIPO_EN' join nodes p on p.id = a.target_id and p.label in ('Proyecto', 'Grupo')
-left join (edges b join nodes t on t.id = b.target_id and contains(t.name, 'ring')) on b.source_id = p.id and b.type = 'TIENE_TOPICO' where i.label = 'Investigador' and i.name like '%00001'""")
+ORACLE["op_f06"] = PROJ + """, a as (select distinct 'inv_' || s_suppkey as inv, pid, okey from supplier join lineitem on l_suppkey = s_suppkey join proj on l_orderkey = okey where lower(s_name) like '%00001'),
+t as (select distinct l_orderkey as okey, replace(p_name, ' ', '_') as topic from lineitem join part on l_partkey = p_partkey where contains(p_name, 'ring'))
+select inv, pid, topic from a left join t using (okey)"""
+
+
+@reg("f06")
 def f06(s, d):  # noqa: ANN001, ANN201
     spec = PathSpec("inv", ("Investigador",), F.col("name").endswith("00001"), [Step("PARTICIPO_EN", "pid", PROJECTS), Step("TIENE_TOPICO", "topic", ("Topico",), where=F.col("name").contains("ring"), optional=True)])
     return m.match(graph(s, d), spec).select("inv", "pid", "topic")

@@ -9,6 +9,7 @@ from grafita import schema
 from grafita.functions import text as tx
 from grafita.operators import checks as ck
 from grafita.operators import evaluate as ev
+from grafita.operators import extract as ex
 from grafita.operators import store as st
 from grafita.operators import tabular as tb
 from grafita.operators import vectors as vc
@@ -80,9 +81,10 @@ def c08(s, d):
     return table(s, d, "events").select("event_id", tx.role(F.when(F.col("user_id") % 5 == 0, " ").otherwise(F.upper("event_type"))).alias("role"))
 
 
-@reg("c09", "select o_orderkey, 'proy' as grupo, cast(year(o_orderdate) as varchar) as anio, cast(o_orderkey as varchar) as sub_id, 'informe' as tipo from orders")
+@reg("c09", "with c as (select *, o_orderkey % 4 <> 0 as ok from orders) select o_orderkey, case when ok then 'proy' end as grupo, case when ok then cast(year(o_orderdate) as varchar) end as anio, case when ok then cast(o_orderkey as varchar) end as sub_id, case when ok then 'informe' end as tipo from c")
 def c09(s, d):
-    n = tx.document_name(F.concat(F.lit("PROY_"), F.year("o_orderdate").cast("string"), F.lit("_"), F.col("o_orderkey").cast("string"), F.lit("_Informe.PDF")))
+    whole = F.concat(F.lit("PROY_"), F.year("o_orderdate").cast("string"), F.lit("_"), F.col("o_orderkey").cast("string"), F.lit("_Informe.PDF"))
+    n = tx.document_name(F.when(F.col("o_orderkey") % 4 == 0, "notes of the year.pdf").otherwise(whole))
     return table(s, d, "orders").select("o_orderkey", n.alias("n")).select("o_orderkey", "n.*")
 
 
@@ -124,7 +126,7 @@ def i02(s, d):
     return ck.endpoint_issues(turned, union(g.nodes_of("Proyecto", "Grupo"), g.nodes_of("Anio")), schema.edge_endpoints(s))
 
 
-@reg("i03", ", c as (select id, label, count(t) as n from nodes left join (select source_id, 1 as t from edges where type = 'TIENE_TOPICO') on source_id = id where label in ('Proyecto', 'Grupo') group by 1, 2) select label as src_label, 'TIENE_TOPICO' as type, count(*) as offenders, min(id) as example from c where n < 1 group by label", True)
+@reg("i03", ", c as (select id, label, count(t) as n from nodes left join (select source_id, 1 as t from edges where type = 'TIENE_TOPICO') on source_id = id where label in ('Proyecto', 'Grupo') group by 1, 2), b as (select *, row_number() over (partition by label order by id) as k from c where n < 1) select label as src_label, 'TIENE_TOPICO' as type, count(*) as offenders, string_agg(id, ';' order by id) filter (k <= 5) as examples from b group by label", True)
 def i03(s, d):
     g = graph(s, d)
     rules = schema.edge_cardinality(s).where("type in ('TIENE_TOPICO', 'PERTENECE_A_AREA', 'INICIO_EN')")
@@ -152,16 +154,18 @@ def i07(s, d):
     return ck.chunks_on_cycles(graph(s, d))
 
 
-WITHOUT = """, proof as (select distinct e.c, c.target_id as doc, e.t from evid e join edges c on c.type = 'DE_DOCUMENTO' and c.source_id = e.c)
-select {pid} as pid, {what} as what from edges x where type = '{type}' and not exists (select 1 from edges d join proof on proof.doc = d.target_id where d.type = 'ES_DESCRITO_POR' and d.source_id = {pid} and proof.t = {what})"""
+WITHOUT = """with nn as (select count(*) as n from documents), claim as (select distinct l_orderkey as okey, {what} as what from lineitem{more}),
+told as (select distinct l_orderkey % n as doc, {what} as what from lineitem{more}, nn where l_returnflag <> 'N' and l_orderkey % n in (select doc_id from documents where text is not null)),
+proj as (select o_orderkey as okey, case when o_orderpriority = '1-URGENT' then 'gi_' else 'proy_' end || year(o_orderdate) || '_' || o_orderkey as pid from orders)
+select pid, what from (select pid, okey % n as doc, what from claim join proj using (okey), nn) c anti join told on told.doc = c.doc and told.what = c.what"""
 
 
-@reg("i08", WITHOUT.format(pid="x.target_id", what="x.source_id", type="PARTICIPO_EN"), True)
+@reg("i08", WITHOUT.format(what="'inv_' || l_suppkey", more=""))
 def i08(s, d):
     return ck.participation_without_evidence(graph(s, d))
 
 
-@reg("i09", WITHOUT.format(pid="x.source_id", what="x.target_id", type="TIENE_TOPICO"), True)
+@reg("i09", WITHOUT.format(what="replace(p_name, ' ', '_')", more=" join part on l_partkey = p_partkey"))
 def i09(s, d):
     return ck.topic_without_evidence(graph(s, d))
 
@@ -174,22 +178,31 @@ def i10(s, d):
     return ck.foreign_titles(graph(s, d))
 
 
-@reg("i11", f", bad as ({I10}) select 'foreign_title' as rule, count(*) as offenders, min(pid || '|' || chunk) as example from bad union all select 'no_topic', count(*), min(id) from nodes where label = 'Proyecto' and id not in (select source_id from edges where type = 'TIENE_TOPICO')", True)
+@reg("i11", f""", bad as ({I10}), o as (select 'foreign_title' as rule, pid || '|' || chunk as id from bad union all select 'no_topic', id from nodes where label = 'Proyecto' and id not in (select source_id from edges where type = 'TIENE_TOPICO')),
+k as (select *, row_number() over (partition by rule order by id) as k from o)
+select r.rule, case when r.rule <> 'broken' then count(k.id) end as offenders, coalesce(string_agg(k.id, ';' order by k.id) filter (k.k <= 5), '') as examples, case when r.rule = 'broken' then 'AnalysisException' end as error
+from (values ('foreign_title'), ('no_topic'), ('broken')) r(rule) left join k on k.rule = r.rule group by r.rule""", True)
 def i11(s, d):
     g = graph(s, d)
-    return ck.run_checks({"foreign_title": ck.foreign_titles(g), "no_topic": ck.without_topic(g)})
+    return ck.run_checks(s, {"foreign_title": lambda: ck.foreign_titles(g), "no_topic": lambda: ck.without_topic(g), "broken": lambda: g.nodes.select("absent")})
 
 
-@reg("i14", "select penalty, greatest(0, 100 - penalty) as score, case when 100 - penalty >= 95 then 'excellent' when 100 - penalty >= 80 then 'good' when 100 - penalty >= 60 then 'fair' else 'poor' end as verdict from (select sum(case when event_type = 'error' then 5 else 1 end) as penalty from (select distinct event_type from events))")
+@reg("i17", "select doc_id, case when doc_id % 50 = 0 then lang || '2' else lang end as lang, 'b' as side from documents where doc_id % 50 = 0 union all select doc_id, lang, 'a' from documents where doc_id % 50 = 0")
+def i17(s, d):
+    a = table(s, d, "documents").select("doc_id", "lang")
+    return ck.graph_difference(a, a.withColumn("lang", F.when(F.col("doc_id") % 50 == 0, F.concat("lang", F.lit("2"))).otherwise(F.col("lang"))).orderBy(F.desc("doc_id")))
+
+
+@reg("i14", "select penalty, greatest(0, 100 - penalty) as score, case when 100 - penalty >= 95 then 'excellent' when 100 - penalty >= 80 then 'good' when 100 - penalty >= 60 then 'fair' else 'poor' end as verdict from (select coalesce(sum(case when event_type = 'error' then 5 when user_id % 3 = 0 then 2 else 1 end), 0) as penalty from events)")
 def i14(s, d):
     e = F.col("event_type") == "error"
-    i = table(s, d, "events").select("event_type").distinct().select(F.when(e, "error").otherwise("warning").alias("severity"), F.when(e, "structure").otherwise("value").alias("category"), F.lit(1).alias("n"))
-    return ck.score_issues(i)
+    severity, category = F.when(e, "error").otherwise("warning"), F.when(e, "structure").when(F.col("user_id") % 3 == 0, "constraint").otherwise("value")
+    return ck.score_issues(table(s, d, "events").groupBy(severity.alias("severity"), category.alias("category")).agg(F.count("*").alias("n")))
 
 
-@reg("i15", "select type, count(*) as n from edges where type in ('INICIO_EN', 'PARTICIPO_EN', 'EXTRAIDO_DE') group by type", True)
+@reg("i15", "select 'edge' as kind, type as name, count(*) as n from edges group by type union all select 'node', label, count(*) from nodes group by label union all select 'edge', 'all', count(*) from edges union all select 'node', 'all', count(*) from nodes", True)
 def i15(s, d):
-    return graph(s, d).edges_of("INICIO_EN", "PARTICIPO_EN", "EXTRAIDO_DE").groupBy("type").agg(F.count("*").alias("n"))
+    return ck.statistics(graph(s, d))
 
 
 @reg("i16", "select conv_id, turn, case when trim(coalesce(text, '')) = '' then 'blank' when regexp_matches(upper(text), '\\b(CREATE|MERGE|DELETE|SET|REMOVE|DROP)\\b') then 'write' when not regexp_matches(upper(text), '\\bMATCH\\b') or not regexp_matches(upper(text), '\\bRETURN\\b') then 'no_match_return' end as reason from conversations where role = 'user'")
@@ -254,10 +267,24 @@ def d16(s, d):
     return st.upsert(a, b, ["id"]).select("id", F.col("props")["x"].alias("x"), F.col("props")["y"].alias("y"), "created")
 
 
-@reg("d18", "select count(*) as n from edges where type = 'PARTICIPO_EN' and source_id <> 'inv_3'", True)
+@reg("d18", "select type as name, count(*) as n from edges where source_id <> 'inv_3' and target_id <> 'inv_3' group by type union all select label, count(*) from nodes where id <> 'inv_3' group by label", True)
 def d18(s, d):
     g = graph(s, d)
-    return st.delete_node(g.nodes_of("Investigador"), g.edges_of("PARTICIPO_EN"), "inv_3")[1].agg(F.count("*").alias("n"))
+    ns, es = st.delete_node(g.nodes, g.edges, "inv_3")
+    return es.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n")).unionByName(ns.groupBy(F.col("label").alias("name")).agg(F.count("*").alias("n")))
+
+
+@reg("d17", """with a as (select distinct l_suppkey as k, l_partkey as p from lineitem where l_returnflag = 'R'), b as (select distinct l_suppkey as k, l_partkey as p from lineitem where l_returnflag = 'A' and l_suppkey % 3 <> 0 and l_partkey % 5 <> 0)
+select 'X' as type, coalesce(a.k, b.k) as source_id, coalesce(a.p, b.p) as target_id, case when a.k is not null then 'old' end as x, case when b.k is not null then 'new' end as y, a.k is null as created from a full join b on a.k = b.k and a.p = b.p""")
+def d17(s, d):
+    li = table(s, d, "lineitem").select(F.lit("X").alias("type"), F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("target_id"), "l_returnflag")
+    of = lambda flag, k, v: li.where(F.col("l_returnflag") == flag).drop("l_returnflag").distinct().withColumn("props", F.create_map(F.lit(k), F.lit(v)))
+    # sources and targets share one table of ids here, told apart by their kind
+    kind = lambda e: e.withColumns({"source_id": F.concat(F.lit("s"), F.col("source_id")), "target_id": F.concat(F.lit("t"), F.col("target_id"))})
+    ids = union(table(s, d, "supplier").where("s_suppkey % 3 <> 0").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id")), table(s, d, "part").where("p_partkey % 5 <> 0").select(F.concat(F.lit("t"), F.col("p_partkey")).alias("id")))
+    out = st.upsert_edges(kind(of("R", "x", "old")), kind(of("A", "y", "new")), ids)
+    back = lambda c: F.expr(f"cast(substr({c}, 2) as bigint)").alias(c)
+    return out.select("type", back("source_id"), back("target_id"), F.col("props")["x"].alias("x"), F.col("props")["y"].alias("y"), "created")
 
 
 @reg("d19", "select 'INICIO_EN' as type, pid as source_id, cast(year as varchar) as target_id, okey % 2 = 0 as turned from proj", True)
@@ -283,16 +310,26 @@ def d02(s, d):
     return tb.chunk_edges(chunks(s, d).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("doc"), "pos", "chunk_id"))
 
 
-@reg("d04", "select okey % 2 = 0 as admitted, count(*) as n from proj group by 1", True)
+@reg("d04", PATHS + "select path, y as year, k as form from p where k % 2 <> 0")
 def d04(s, d):
-    p = projects(s, d)
-    known = p.where("okey % 2 = 0").select("pid").withColumn("k", F.lit(True))
-    return p.join(known, "pid", "left").groupBy(F.col("k").isNotNull().alias("admitted")).agg(F.count("*").alias("n"))
+    files = paths(s, d).select("path", F.col("y").cast("long").alias("year"), F.col("k").alias("form"))
+    known = table(s, d, "orders").where("o_orderkey % 2 = 0").select(F.year("o_orderdate").cast("long").alias("year"), F.col("o_orderkey").alias("form"))
+    return st.admit(files, known)[1]
 
 
-@reg("d20", "select distinct replace(p_name, ' ', '_') as source_id, lower(p_type) as target_id from part")
+@reg("c11_c12", PATHS + """, m as (select k, lower(path) as low from p)
+select k, (select min(nullif(strpos(low, w), 0)) - 1 from (values ('informe'), ('propuesta'), ('resumen')) x(w)) as at, case when contains(low, 'informe') or contains(low, 'propuesta') or contains(low, 'resumen') then 'narrative' else 'tabular' end as class from m""")
+def c11_c12(s, d):
+    return paths(s, d).select("k", tx.kind_position(F.col("path")).alias("at"), tx.narrative(F.col("path")).alias("class"))
+
+
+@reg("d20", """with t as (select p_name, p_type, replace(p_name, ' ', '_') as t, replace(lower(p_type), ' ', '_') as s from part)
+select 'node' as kind, 'Topico' as label, t as id, null as to, min(p_name) as display from t group by t union all select 'node', 'Subcampo', s, null, min(p_type) from t group by s
+union all select distinct 'edge', 'PERTENECE_A_SUBCAMPO', t, s, null from t""")
 def d20(s, d):
-    return table(s, d, "part").select(tx.taxonomy_id(F.col("p_name")).alias("source_id"), tx.taxonomy_id(F.col("p_type")).alias("target_id")).distinct()
+    # every topic twice, once in capitals: equal names collapse
+    p = table(s, d, "part").select(F.col("p_name").alias("topic"), F.col("p_type").alias("subfield"))
+    return ex.taxonomy_graph(union(p, p.withColumn("topic", F.initcap("topic")))).withColumn("display", F.when(F.col("label") == "Topico", F.lower("display")).otherwise(F.col("display")))
 
 
 # --- A, B: sources and chunks
@@ -317,10 +354,12 @@ def a08(s, d):
     return m.agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("keys"))
 
 
-@reg("a20", "select 'documents' as store, count(*) as n, count(*) = 0 as empty from documents union all select 'embeddings', count(*), count(*) = 0 from embeddings")
+STORES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@reg("a20", " union all ".join(f"select '{t}' as store, count(*) as n, count(*) = 0 as empty from {t}" for t in STORES))
 def a20(s, d):
-    one = lambda t: table(s, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("store"), "n", (F.col("n") == 0).alias("empty"))
-    return union(one("documents"), one("embeddings"))
+    return st.health({t: table(s, d, t) for t in STORES})
 
 
 @reg("b03", "select doc_id, pos, chunk_id, texto, last from chunk", True)
@@ -504,9 +543,11 @@ def k03(s, d):
     return tb.search_history(tb.turns(table(s, d, "conversations")), "the").select("conv_id", "turn")
 
 
-@reg("k04", "select event_type, count(*) as n from (select distinct event_type, user_id from events) group by 1")
+@reg("k04", "select 'skipped' as outcome, null as type, count(distinct user_id) as n from events where event_type <> 'error' union all select 'error', 't' || (user_id % 3), count(*) from events where event_type = 'error' group by 2")
 def k04(s, d):
-    return table(s, d, "events").select("event_type", "user_id").distinct().groupBy("event_type").agg(F.count("*").alias("n"))
+    e = table(s, d, "events")
+    skipped = e.where("event_type <> 'error'").select(F.col("user_id").cast("string").alias("path"))
+    return st.ingest_report(skipped, e.where("event_type = 'error'").select(F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("type")))
 
 
 @reg("l01", "select 'd' || doc_id as path, n_chars as size, case when doc_id % 3 = 0 then 'new' when doc_id % 3 = 1 then 'changed' else 'skip' end as action from documents")
