@@ -263,10 +263,11 @@ class _Best:
         for at in range(0, len(who), 1024):
             rows = who[at : at + 1024]
             score = self.q[rows] @ self.x[a:b].T
-            # a product over the edge by less than the rounding counts as a tie
-            i, j = np.nonzero(score >= (self.edge[rows] - 1e-10)[:, None])
-            other = self.query_id[rows[i]] != self.ids[a + j]
-            i, j = i[other], j[other]
+            score[self.query_id[rows][:, None] == self.ids[None, a:b]] = -np.inf
+            if b - a > self.k:  # these rows alone hold k that reach their k-th score
+                self.edge[rows] = np.maximum(self.edge[rows], np.partition(score, -self.k, axis=1)[:, -self.k])
+            # a product under the edge by less than the rounding counts as a tie
+            i, j = np.nonzero((score >= (self.edge[rows] - 1e-10)[:, None]) & (score > -np.inf))
             self.held.append((rows[i], a + j, np.round(score[i, j], 11)))
             self.size += len(i)
             if self.size > 300_000:
@@ -281,7 +282,7 @@ class _Best:
         who, row, score = who[new], row[new], score[new]
         rank = np.arange(len(who)) - np.searchsorted(who, who)
         last = rank == self.k - 1
-        self.edge[who[last]] = score[last]
+        self.edge[who[last]] = np.maximum(self.edge[who[last]], score[last] - 1e-11)
         keep = rank < self.k
         self.held = [(who[keep], row[keep], score[keep])]
         self.size = int(keep.sum())
