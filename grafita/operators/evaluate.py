@@ -98,5 +98,6 @@ def sweep(scored: DataFrame, totals: DataFrame, gold: DataFrame, grid: DataFrame
 
 def best_combo(summary: DataFrame, label: str, quality: str) -> DataFrame:
     """Combos by quality, best first, with the display floor."""
-    low = F.least(F.lit(0.95), F.greatest(F.lit(0.0), F.floor((F.min(quality).over(Window.partitionBy(F.lit(1))) - 0.03) / 0.05) * 0.05))
-    return summary.select(label, quality, F.round(low, 2).alias("floor"))
+    floor = F.least(F.lit(0.95), F.greatest(F.lit(0.0), F.floor((F.min(quality) - 0.03) / 0.05) * 0.05))
+    low = summary.agg(F.round(floor, 2).alias("floor"))  # one row
+    return summary.select(label, quality).crossJoin(F.broadcast(low))

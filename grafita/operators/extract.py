@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,24 +149,89 @@ def promote_headings(items: DataFrame) -> DataFrame:
     return t.withColumn("new_level", F.when(F.col("__h"), F.first("level").over(r) + F.row_number().over(r) - 1).otherwise(F.col("level"))).drop("__h", "__run")
 
 
-def order_layout(items: DataFrame, boxes: DataFrame, depth: int = 4) -> DataFrame:
+def nesting(items: DataFrame, limit: int = 64) -> int:
+    """How many levels of groups the items (doc, item, parent) have; an error beyond ``limit``, as in a cycle."""
+    links = items.where("parent is not null").select("doc", "item", "parent")
+    level, depth = links, 0
+    while not level.isEmpty():
+        depth += 1
+        if depth > limit:
+            raise ValueError(f"items are nested more than {limit} levels deep, or in a cycle")
+        level = links.join(level.select("doc", F.col("item").alias("parent")).distinct(), ["doc", "parent"], "left_semi")
+    return depth
+
+
+def order_layout(items: DataFrame, boxes: DataFrame) -> DataFrame:
     """items (doc, item, parent, pos) with place: top-level items by (page, -top, left) of their highest box.
 
-    boxes: doc, item, page, top, left.  A group takes the least key of what it holds, to
-    ``depth`` levels of nesting; items without any key come last, in their own order.
+    boxes: doc, item, page, top, left.  A group without a box takes the least key of what
+    it holds, at whatever depth; items without any key come last, in their own order.
     """
     key = F.struct("page", (-F.col("top")).alias("up"), "left")
-    own = boxes.groupBy("doc", "item").agg(F.max_by(key, F.struct("top", (-F.col("page")).alias("p"), (-F.col("left")).alias("l"))).alias("key"))
-    t = items.join(own, ["doc", "item"], "left")
-    keys = t.select("doc", "item", "parent", "key")
-    for _ in range(depth):
+    own = boxes.groupBy("doc", "item").agg(F.max_by(key, F.struct("top", (-F.col("page")).alias("p"), (-F.col("left")).alias("l"))).alias("own"))
+    keys = items.select("doc", "item", "parent").join(own, ["doc", "item"], "left").withColumn("key", F.col("own"))
+    for _ in range(nesting(items)):
         up = keys.where("parent is not null").groupBy("doc", F.col("parent").alias("item")).agg(F.min("key").alias("below"))
-        keys = keys.join(up, ["doc", "item"], "left").select("doc", "item", "parent", F.coalesce("key", "below").alias("key"))
+        keys = keys.drop("key").join(up, ["doc", "item"], "left").select("doc", "item", "parent", "own", F.coalesce("own", "below").alias("key"))
     top = items.where("parent is null").join(keys.select("doc", "item", "key"), ["doc", "item"])
     w = Window.partitionBy("doc").orderBy(F.col("key").asc_nulls_last(), "pos")
     return top.select("doc", "item", (F.row_number().over(w) - 1).alias("place"))
 
 
+def _bins(most: int):  # noqa: ANN202
+    """Adds bin to a document's pieces: a new one for each heading, and where a piece would go beyond ``most`` tokens."""
+
+    def run(pieces: pd.DataFrame) -> pd.DataFrame:
+        pieces = pieces.sort_values(["scope", "pos", "part"])
+        out, number, scope, used = [], -1, None, 0
+        for s, n in zip(pieces["scope"], pieces["tokens"], strict=True):
+            if s != scope or used + n > most:
+                number, scope, used = number + 1, s, 0
+            used += n
+            out.append(number)
+        return pieces.assign(bin=out)
+
+    return run
+
+
+def chunk_items(items: DataFrame, most: int = 300) -> DataFrame:
+    """doc, chunk_id, text, tokens, pages, heading and element of chunks of at most ``most`` tokens.
+
+    items: doc, pos, label, text, page.  A section_header opens a scope, is the heading of
+    its chunks and not part of their text.  An item with more tokens than ``most`` is cut;
+    neighbours of one scope are merged as long as they fit.  element is the label of the
+    first item (text if it has none).  Tokens are runs without white space.  A task gets
+    one document, as a row of the documents table does.
+    """
+    w = Window.partitionBy("doc").orderBy("pos")
+    head = F.coalesce(F.col("label") == "section_header", F.lit(False))
+    t = items.withColumn("scope", F.sum(head.cast("int")).over(w)).withColumn("heading", F.last(F.when(head, F.col("text")), ignorenulls=True).over(w))
+    t = t.where(~head).withColumn("w", F.regexp_extract_all("text", F.lit(r"([^ \t\n\r]+)"), F.lit(1))).where("size(w) > 0")
+    t = t.select("doc", "scope", "heading", "pos", F.coalesce("label", F.lit("text")).alias("label"), "page", "w", F.explode(F.sequence(F.lit(0), F.ceil(F.size("w") / most).cast("int") - 1)).alias("part"))
+    t = t.withColumn("w", F.slice("w", F.col("part") * most + 1, F.lit(most)))
+    t = t.select("doc", "scope", "heading", "pos", "label", "page", "part", F.array_join("w", " ").alias("piece"), F.size("w").alias("tokens"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema)
+    t = t.groupBy("doc").applyInPandas(_bins(most), f"{fields}, bin int")
+    place = F.struct("pos", "part")
+    c = t.groupBy("doc", "bin").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part", "piece"))), lambda x: x["piece"]), " ").alias("text"),
+        F.sum("tokens").alias("tokens"), F.array_sort(F.collect_set("page")).alias("pages"), F.min_by("heading", place).alias("heading"), F.min_by("label", place).alias("element"),
+    )
+    return c.select("doc", F.concat(F.col("doc"), F.lit("#chunk"), F.col("bin").cast("string")).alias("chunk_id"), "text", "tokens", "pages", "heading", "element")
+
+
+def participation_edges(rows: DataFrame) -> DataFrame:
+    """type, source_id, target_id, calidad and texto of rows (project, researcher, calidad, chunk, texto, seq).
+
+    Each row tells that a researcher took part in a project and which chunk of a table says
+    so; of edges with the same type, ends and role the first by seq stays, of several the smallest text.
+    """
+    none = F.lit(None).cast("string")
+    took = rows.select(F.lit("PARTICIPO_EN").alias("type"), F.col("researcher").alias("source_id"), F.col("project").alias("target_id"), tx.role(F.col("calidad")).alias("calidad"), none.alias("texto"), "seq")
+    told = rows.where("chunk is not null").select(F.lit("EXTRAIDO_DE").alias("type"), F.col("chunk").alias("source_id"), F.col("researcher").alias("target_id"), none.alias("calidad"), "texto", "seq")
+    return took.unionByName(told).groupBy("type", "source_id", "target_id", "calidad").agg(F.min(F.struct("seq", "texto"))["texto"].alias("texto"))
+
+
 def rechunk(documents: DataFrame, sizes: Sequence[int], text: str = "text") -> DataFrame:
     """doc_id, size, pos, n_words: the documents cut anew at each size, from one scan."""
     d = documents.select("doc_id", F.split(text, " ").alias("w")).withColumn("size", F.explode(F.array(*[F.lit(int(x)) for x in sizes])))

@@ -108,9 +108,9 @@ def repair_directions(edges: DataFrame, nodes: DataFrame, endpoints: DataFrame)
     return e.select("type", F.when(swap, F.col("target_id")).otherwise(F.col("source_id")).alias("source_id"), F.when(swap, F.col("source_id")).otherwise(F.col("target_id")).alias("target_id"), swap.alias("turned"))
 
 
-def insert_if_new(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Rows of the batch whose key is not stored, the first of each."""
-    return batch.join(stored.select(key), key, "left_anti").dropDuplicates([key])
+def insert_if_new(stored: DataFrame, batch: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Rows of the batch whose key is not stored, the first of each by ``order``."""
+    return first_by(batch.join(stored.select(key), key, "left_anti"), [key], order)
 
 
 def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:

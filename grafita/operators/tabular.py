@@ -9,20 +9,45 @@ from pyspark.sql import functions as F
 
 from grafita.functions import text as tx
 from grafita.operators.store import first_by
+from grafita.sources.shared import cut
 
 
 def repair_csv(lines: DataFrame) -> DataFrame:
-    """Logical rows of (file, line_no, line): a line starts a row if its first field is all digits, others continue it."""
-    t = lines.where(F.trim("line") != "").withColumn("starts", F.col("line").rlike(r"^\d+(,|$)").cast("int"))
-    t = t.withColumn("row", F.sum("starts").over(Window.partitionBy("file").orderBy("line_no"))).where("row > 0")
+    """Logical rows of (file, line_no, line): a line starts a row if its first field is all digits, others continue it.
+
+    Lines lie in range partitions of (file, line_no), so a long file is many tasks.  Each
+    partition tells its last start; a continuation takes the last start of its own
+    partition, or that of the nearest one before.  Lines before a file's first start go.
+    """
+    order = ["file", "line_no"]
+    t = lines.where(F.trim("line") != "").withColumn("__start", F.when(F.col("line").rlike(r"^\d+(,|$)"), F.col("line_no")))
+    t = cut(t.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    here = Window.partitionBy("__p", "file").orderBy("line_no")
+    t = t.withColumn("row", F.last("__start", ignorenulls=True).over(here))
+    # a row for each partition and file
+    ends = t.groupBy("file", "__p").agg(F.max("__start").alias("__last"))
+    before = Window.partitionBy("file").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file", "__p", F.last("__last", ignorenulls=True).over(before).alias("__before"))
+    t = t.join(ends, ["file", "__p"]).withColumn("row", F.coalesce("row", "__before")).where("row is not null")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.trim(x["line"]))
     return t.groupBy("file", "row").agg(F.array_join(parts, " ").alias("line"))
 
 
-def audit_csv(lines: DataFrame, expected: int) -> DataFrame:
-    """file, rows, rows of wrong arity and the first of them."""
+def audit_csv(lines: DataFrame, expected: int, most: int = 5) -> DataFrame:
+    """file, rows, columns (expected), wrong, valid and the first ``most`` offenders as line, found, expected."""
     n = F.size(F.split("line", ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
-    return lines.withColumn("n", n).groupBy("file").agg(F.count("*").alias("rows"), F.count_if(F.col("n") != expected).alias("wrong"), F.min(F.when(F.col("n") != expected, F.col("line_no"))).alias("first_wrong"))
+    t = lines.select("file", "line_no", n.alias("found"))
+    counts = t.groupBy("file").agg(F.count("*").alias("rows"), F.count_if(F.col("found") != expected).alias("wrong"))
+    w = Window.partitionBy("file").orderBy("line_no")
+    bad = t.where(F.col("found") != expected).withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most)
+    bad = bad.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("line"), "found", F.lit(expected).alias("expected")))).alias("offenders"))
+    return counts.join(bad, "file", "left").select("file", "rows", F.lit(expected).alias("columns"), "wrong", (F.col("wrong") == 0).alias("valid"), "offenders")
+
+
+def sample_csv(lines: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
+    """n lines of each file, drawn by a seeded hash of their place, so the same at every run."""
+    w = Window.partitionBy("file").orderBy(F.xxhash64("file", "line_no", F.lit(seed)), "line_no")
+    return lines.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")
 
 
 def merge_csv(existing: DataFrame, incoming: DataFrame, generated: Sequence[str] = ("row_id", "tipo_archivo", "id_archivo")) -> DataFrame:

@@ -10,21 +10,33 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, where: Column | None = None) -> DataFrame:
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, where: Column | None = None, block: int = 4096, rows: int = 65_536) -> DataFrame:
     """query_id, vec_id, score (6 digits) of the k best of each query, ties by vec_id.
 
-    A stated set of queries against all vectors: the query side is broadcast, so it must be
-    small; the payload filter runs before the scores, the threshold is inclusive.
+    A stated set of queries against all vectors.  The queries are counted: up to ``block``
+    of them are broadcast; more are dealt into blocks, the vectors into slices of about
+    ``rows``, and a task gets one block and one slice.  The payload filter runs before the
+    scores, the threshold is inclusive.
     """
     v = vectors if where is None else vectors.where(where)
     unit = lambda c: F.sqrt(dot(c, c))
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), unit(F.col("embedding")).alias("qn"))
-    s = F.broadcast(q).crossJoin(v.select("vec_id", "embedding", unit(F.col("embedding")).alias("n"))).where("query_id <> vec_id")
+    v = v.select("vec_id", "embedding", unit(F.col("embedding")).alias("n"))
+    blocks = -(-queries.count() // block)
+    if blocks <= 1:
+        s = F.broadcast(q).crossJoin(v)
+    else:
+        deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        slices = max(1, -(-v.count() // rows))
+        q = q.withColumn("__block", deal("query_id", blocks)).withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        v = v.withColumn("__slice", deal("vec_id", slices)).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        s = q.join(v, ["__block", "__slice"])
+    s = s.where("query_id <> vec_id")
     s = s.withColumn("score", F.round(dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("n")), 6))
     if least is not None:
         s = s.where(F.col("score") >= least)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return s.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def validate(vectors: DataFrame, dim: int) -> DataFrame:

@@ -127,16 +127,17 @@ def a13(s, d):
     return fs.embedding_report(v, meta).join(fs.align_embeddings(v, meta).select("file").distinct(), "file", "left").select("file", "n_vectors", "n_meta", "equal", "one_dim")
 
 
-@reg("a14_a15", "select label, count(*) * 2 as n from nodes where label in ('Investigador', 'Anio') group by 1", True)
+@reg("a14_a15", "select 'node' as kind, label as name, count(*) * 2 as n, count(*) as ids from nodes group by label union all select 'edge', type, count(*) * 2, count(distinct (source_id, target_id)) from edges group by type", True)
 def a14_a15(s, d):
     root = shared_folder(s, "export")
     g = graph(s, d)
-    props = F.create_map(F.lit("created_at"), F.lit("x"), F.lit("valor"), F.col("name"))
-    n = g.nodes_of("Investigador", "Anio").select("id", "label", props.alias("props"))
-    e = g.edges_of("INICIO_EN").select("type", "source_id", "target_id", F.create_map(F.lit("updated_at"), F.lit("x")).alias("props"))
+    n = g.nodes.select("id", "label", F.create_map(F.lit("created_at"), F.lit("x"), F.lit("valor"), F.col("name")).alias("props"))
+    e = g.edges.select("type", "source_id", "target_id", F.create_map(F.lit("updated_at"), F.lit("x")).alias("props"))
     fs.export_graph(n, e, root)
     fs.append_graph(n, e, root)
-    return fs.import_graph(s, root)[0].groupBy("label").agg(F.count("*").alias("n"))
+    nodes, edges = fs.import_graph(s, root)
+    count = lambda df, kind, name, *key: df.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n"), F.countDistinct(*key).alias("ids")).select(F.lit(kind).alias("kind"), "name", "n", "ids")
+    return count(nodes, "node", "label", "id").unionByName(count(edges, "edge", "type", "source_id", "target_id"))
 
 
 @reg("a18_a19", "select conv_id || '-' || turn as id, trim(text, ' ') as question, true as ok from conversations where role = 'user' and trim(text, ' ') <> ''")
@@ -204,10 +205,30 @@ def l02(s, d):
     return ig.stored(s, f"{root}/store", ["event_type", "user_id"], "value", "event_id").select("event_type", "user_id", "value")
 
 
-@reg("l03", "select distinct event_type, user_id from events")
+@reg("l03", "select event_type, user_id, min(event_id) as event_id from events group by all")
 def l03(s, d):
     root = shared_folder(s, "first")
-    table(s, d, "events").select("event_type", "user_id").write.parquet(f"{root}/in")
-    t = ig.dedup_stream(ig.stream_rows(s, f"{root}/in", "event_type string, user_id long", "parquet"), ["event_type", "user_id"])
-    t.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
-    return s.read.parquet(f"{root}/out")
+    table(s, d, "events").select("event_id", "event_type", "user_id").repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(f"{root}/in")
+    t = ig.stream_rows(s, f"{root}/in", "event_id long, event_type string, user_id long", "parquet")
+    ig.keep_first(t, f"{root}/out", f"{root}/state", ["event_type", "user_id"], ["event_id"]).awaitTermination()
+    return s.read.parquet(f"{root}/out").select("event_type", "user_id", "event_id")
+
+
+@reg("l02_graph", """with r as (select case when event_id % 11 <> 0 then user_id end as project, event_type as topic, value as score, event_id as seq from events), k as (select * from r where project is not null and project % 9 <> 0),
+e as (select project, topic, last(score order by seq) as score from k group by all), f as (select * from e where score >= 50)
+select 'error' as kind, case when project is null then 'missing_key' else 'not_admitted' end as name, count(*) as n from r where project is null or project % 9 = 0 group by 2
+union all select 'node', 'Proyecto', count(distinct project) from k union all select 'node', 'Topico', count(distinct topic) from k
+union all select 'edge', topic, count(*) from f group by topic union all select 'issue', 'project_without_topic', (select count(distinct project) from k where project not in (select project from f))""")
+def l02_graph(s, d):
+    """Events as scored rows in several batches; projects whose number 9 divides are not admitted."""
+    root = shared_folder(s, "graph")
+    e = table(s, d, "events")
+    rows = e.select(F.when(F.col("event_id") % 11 != 0, F.col("user_id")).cast("string").alias("project"), F.col("event_type").alias("topic"), F.col("value").alias("score"), F.col("event_id").alias("seq"))
+    rows.repartition(3, "seq").write.parquet(f"{root}/in")
+    t = ig.stream_rows(s, f"{root}/in", "project string, topic string, score double, seq long", "parquet", files_a_batch=1)
+    known = e.where("user_id % 9 <> 0").select(F.col("user_id").cast("string").alias("project")).distinct()
+    ig.ingest_graph(t, f"{root}/store", f"{root}/state", known).awaitTermination()
+    nodes, edges, errors = ig.graph_of(s, f"{root}/store", 50.0)
+    count = lambda df, kind, name: df.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+    issue = ig.topicless(nodes, edges).agg(F.count("*").alias("n")).select(F.lit("issue").alias("kind"), F.lit("project_without_topic").alias("name"), "n")
+    return union(count(errors, "error", "error"), count(nodes, "node", "label"), count(edges, "edge", "topic"), issue)

@@ -219,6 +219,18 @@ def d08(s, d):
     return participation(s, d).select("okey", "suppkey", "calidad")
 
 
+@reg("d08_evidence", """with r as (select *, case l_returnflag when 'R' then 'responsable' when 'A' then 'integrante' else 'otros' end as calidad from lineitem)
+select 'PARTICIPO_EN' as type, 'inv_' || l_suppkey as source_id, 'p_' || l_orderkey as target_id, calidad, null as texto from r group by all
+union all select 'EXTRAIDO_DE', 't_' || l_orderkey || '#Chunk0', 'inv_' || l_suppkey, null, first(calidad || ' ' || l_linenumber order by l_linenumber, calidad) from r group by l_orderkey, l_suppkey""")
+def d08_evidence(s, d):
+    li = table(s, d, "lineitem")
+    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    role = F.when(F.col("l_returnflag") == "R", " Responsable").when(F.col("l_returnflag") == "A", "").otherwise("OTROS ")
+    told = F.concat_ws(" ", tx.role(F.col("calidad")), F.col("seq").cast("string"))
+    rows = li.select(key("p_", "l_orderkey").alias("project"), key("inv_", "l_suppkey").alias("researcher"), role.alias("calidad"), F.concat(key("t_", "l_orderkey"), F.lit("#Chunk0")).alias("chunk"), F.col("l_linenumber").alias("seq"))
+    return ex.participation_edges(rows.withColumn("texto", told))
+
+
 @reg("d12", ROLES + "select okey, suppkey, last(calidad order by seq, calidad) as calidad from r group by all")
 def d12(s, d):
     p = participation(s, d).withColumn("at", F.struct("seq", "calidad"))
@@ -333,18 +345,21 @@ def d20(s, d):
 
 
 # --- A, B: sources and chunks
-@reg("a05", "select 'f' as file, count(*) as n, sum(length(line)) as chars from (select o_orderkey || ',a b' as line from orders)")
+@reg("a05", "select 'f' as file, o_orderkey * 2 as row, o_orderkey || ',a b' as line from orders")
 def a05(s, d):
     k = F.col("o_orderkey")
     lines = table(s, d, "orders").select(F.lit("f").alias("file"), F.explode(F.array(F.struct((k * 2).alias("line_no"), F.concat(k.cast("string"), F.lit(",a")).alias("line")), F.struct((k * 2 + 1).alias("line_no"), F.lit("b").alias("line")))).alias("x")).select("file", "x.*")
-    return tb.repair_csv(lines).groupBy("file").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+    return tb.repair_csv(lines)
 
 
-@reg("a07", "select 'f' || (o_orderkey % 4) as file, count(*) as rows, count(*) filter (o_orderkey % 9 = 0) as wrong, min(o_orderkey) filter (o_orderkey % 9 = 0) as first_wrong from orders group by 1")
+@reg("a07", """with l as (select 'f' || (o_orderkey % 4) as file, o_orderkey as k, o_orderkey % 9 = 0 as bad from orders), b as (select *, row_number() over (partition by file order by k) as i from l where bad),
+c as (select file, count(*) as rows, count(*) filter (bad) as wrong from l group by file), o as (select file, string_agg(k || ':2:3', ';' order by k) as offenders from b where i <= 5 group by file)
+select file, rows, 3 as columns, wrong, wrong = 0 as valid, offenders, least(rows, 5) as sampled from c left join o using (file)""")
 def a07(s, d):
     k = F.col("o_orderkey")
     lines = table(s, d, "orders").select(F.concat(F.lit("f"), (k % 4).cast("string")).alias("file"), k.alias("line_no"), F.when(k % 9 == 0, "1,2").otherwise('1,"a,b",3').alias("line"))
-    return tb.audit_csv(lines, 3)
+    told = F.array_join(F.transform("offenders", lambda x: F.concat_ws(":", x["line"].cast("string"), x["found"].cast("string"), x["expected"].cast("string"))), ";")
+    return tb.audit_csv(lines, 3).withColumn("offenders", told).join(tb.sample_csv(lines).groupBy("file").agg(F.count("*").alias("sampled")), "file")
 
 
 @reg("a08", "select count(*) as n, count(distinct o_orderkey) as keys from orders where o_orderstatus in ('F', 'O')")
@@ -367,6 +382,20 @@ def b03(s, d):
     return chunks(s, d)
 
 
+@reg("b03_chunks", """with recursive i as (select 'c' || conv_id as doc, turn as pos, text, turn % 3 as page from conversations union all select 'd' || doc_id, 1, text, 0 from documents),
+t as (select doc, pos, page, regexp_extract_all(text, '[^ \t\n\r]+') as w from i where pos > 0),
+x as (select doc, pos, page, unnest(range(0, (len(w) + 299) // 300)) as part, w from t where len(w) > 0),
+p as (select doc, pos, page, part, w[part * 300 + 1 : part * 300 + 300] as piece, row_number() over (partition by doc order by pos, part) as k from x),
+g as (select doc, k, 0 as bin, len(piece) as used from p where k = 1 union all select p.doc, p.k, case when g.used + len(piece) > 300 then g.bin + 1 else g.bin end, case when g.used + len(piece) > 300 then len(piece) else g.used + len(piece) end from g join p on p.doc = g.doc and p.k = g.k + 1)
+select doc, doc || '#chunk' || bin as chunk_id, string_agg(array_to_string(piece, ' '), ' ' order by k) as text, sum(len(piece))::bigint as tokens, array_to_string(list_sort(list(distinct page)), ',') as pages, any_value(h.text) as heading, 'text' as element
+from g join p using (doc, k) left join (select doc, text from i where pos = 0) h using (doc) group by doc, bin""")
+def b03_chunks(s, d):
+    """Turns of a conversation below its first one, and whole documents, in chunks of 300 tokens."""
+    c = table(s, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc"), F.col("turn").alias("pos"), F.when(F.col("turn") == 0, "section_header").alias("label"), "text", (F.col("turn") % 3).alias("page"))
+    o = table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc"), F.lit(1).cast("long").alias("pos"), F.lit(None).cast("string").alias("label"), "text", F.lit(0).cast("long").alias("page"))
+    return ex.chunk_items(union(c, o)).withColumn("pages", F.array_join(F.transform("pages", lambda x: x.cast("string")), ","))
+
+
 @reg("b04", "select 'part#Chunk' || p_partkey as chunk_id, 'p_name: ' || p_name || ' | p_brand: ' || p_brand as text, 5 + length(p_name) - length(replace(p_name, ' ', '')) + 1 - 1 as tokens from part")
 def b04(s, d):
     p = table(s, d, "part").withColumns({"file": F.lit("part"), "p_empty": F.lit(" ")})
@@ -516,10 +545,11 @@ def h04(s, d):
     return vc.knn_join(e.where("vec_id % 100 = 0"), e, 3)
 
 
-@reg("h06_h07", "select count(*) as n from embeddings where vec_id % 3 = 0 and vec_id % 2 <> 0")
+@reg("h06_h07", "select vec_id, 'first' as source from embeddings where vec_id % 3 = 0 and vec_id % 2 <> 0")
 def h06_h07(s, d):
     e = table(s, d, "embeddings")
-    return st.insert_if_new(e.where("vec_id % 2 = 0"), union(e, e).where("vec_id % 3 = 0"), "vec_id").agg(F.count("*").alias("n"))
+    copy = lambda name, seq: e.where("vec_id % 3 = 0").select("vec_id", F.lit(seq).alias("seq"), F.lit(name).alias("source"))
+    return st.insert_if_new(e.where("vec_id % 2 = 0"), union(copy("second", 2), copy("first", 1)), "vec_id", ["seq"]).select("vec_id", "source")
 
 
 @reg("h08", "select len(embedding) as dim, count(*) as n, len(embedding) = 64 as ok from embeddings group by 1")

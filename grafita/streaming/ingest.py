@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from grafita.operators.store import first_by
+
 
 def stream_rows(spark: SparkSession, folder: str, schema: str, form: str = "json", files_a_batch: int = 1000) -> DataFrame:
     """New files of a folder as a stream."""
@@ -45,6 +47,63 @@ def stored(spark: SparkSession, store: str, keys: Sequence[str], value: str, seq
     return spark.read.parquet(f"{store}/rows").groupBy(*keys).agg(F.max_by(value, seq).alias(value), F.max(seq).alias(seq))
 
 
+def keep_first(stream: DataFrame, store: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]) -> StreamingQuery:
+    """The first row of each key into the store, without state in the stream.
+
+    A batch keeps its own first rows whose key no earlier batch has stored, so what grows
+    is the store, a table, and not the memory of the stream.  A batch that is run again
+    overwrites its folder.  Null keys equal each other.
+    """
+
+    def put(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        new = first_by(batch, keys, order)
+        if n:
+            known = spark.read.schema(f"batch long, {', '.join(f'`{k}` {batch.schema[k].dataType.simpleString()}' for k in keys)}").parquet(store).where(F.col("batch") < n).select(*[F.col(k).alias(f"__{k}") for k in keys])
+            same = [new[k].eqNullSafe(known[f"__{k}"]) for k in keys]
+            new = new.join(known, same, "left_anti")
+        new.write.mode("overwrite").parquet(f"{store}/batch={n}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_graph(stream: DataFrame, store: str, checkpoint: str, known: DataFrame) -> StreamingQuery:
+    """Admit, extract, score and upsert each batch of rows (project, topic, score, seq).
+
+    admit    rows without a project or topic, and those of projects that aren't in known (project),
+             are errors, as data.
+    extract  a project node for each project, a topic node for each topic, an edge for each pair.
+    score    an edge carries the score of the pair's greatest seq.
+    upsert   nodes, edges and errors go to folders of the batch, overwritten if it is run again;
+             graph_of merges them, so a pair scored again in a later batch is replaced.
+    check    graph_of keeps the edges whose last score is at least a bound; topicless then names
+             the projects left without a topic.
+    """
+    missing = F.col("project").isNull() | F.col("topic").isNull()
+
+    def put(batch: DataFrame, n: int) -> None:
+        keyed = batch.where(~missing)
+        admitted = keyed.join(known.select("project").distinct(), "project", "left_semi")
+        errors = batch.where(missing).withColumn("error", F.lit("missing_key")).unionByName(keyed.join(known.select("project"), "project", "left_anti").select(*batch.columns, F.lit("not_admitted").alias("error")))
+        edges = admitted.groupBy("project", "topic").agg(F.max_by("score", "seq").alias("score"), F.max("seq").alias("seq"))
+        nodes = admitted.select(F.lit("Proyecto").alias("label"), F.col("project").alias("id")).unionByName(admitted.select(F.lit("Topico").alias("label"), F.col("topic").alias("id"))).distinct()
+        for name, df in (("errors", errors), ("edges", edges), ("nodes", nodes)):
+            df.write.mode("overwrite").parquet(f"{store}/{name}/batch={n}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def graph_of(spark: SparkSession, store: str, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges with at least a score of ``least``, and errors of what ingest_graph stored."""
+    edges = spark.read.parquet(f"{store}/edges").groupBy("project", "topic").agg(F.max_by("score", "seq").alias("score"))
+    return spark.read.parquet(f"{store}/nodes").select("label", "id").distinct(), edges.where(F.col("score") >= least), spark.read.parquet(f"{store}/errors")
+
+
+def topicless(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Projects of the store without a topic (L02's check)."""
+    return nodes.where("label = 'Proyecto'").join(edges.select(F.col("project").alias("id")), "id", "left_anti")
+
+
 def compact(spark: SparkSession, store: str, target: str, keys: Sequence[str], value: str, seq: str) -> None:
     """The store as one table with a row a key, sorted by it within files."""
     stored(spark, store, keys, value, seq).sortWithinPartitions(*keys).write.mode("overwrite").parquet(target)

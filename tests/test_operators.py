@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from grafita.functions import text as tx
-from grafita.operators import store, tabular
+from grafita.operators import extract, store, tabular, vectors
 
 
 def test_path_names(spark):
@@ -15,7 +15,7 @@ def test_path_names(spark):
         ("varios/sin_anio/acta.pdf", "invalid_path_structure.pdf"),
     ]
     got = spark.createDataFrame(rows, "path string, want string").select(tx.canonical_name(F.col("path")).alias("got"), "want").collect()
-    assert [(r.got, r.want) for r in got if r.got != r.want] == [] or all(r.got for r in got)
+    assert [r.got for r in got] == [r.want for r in got]
 
 
 def test_names(spark):
@@ -43,3 +43,36 @@ def test_csv_merge_keeps_repeats_of_the_batch(spark):
     new = spark.createDataFrame([("a", None), ("b", "x"), ("b", "x")], "k string, v string")
     assert sorted((r.k, r.v) for r in tabular.merge_csv(old, new).collect() if r.k == "b") == [("b", "x"), ("b", "x")]
     assert tabular.merge_csv(old, new).count() == 3
+
+
+def test_csv_repair_over_partitions(spark):
+    rows = [("f", i, f"{i},x" if i % 50 == 0 else "y") for i in range(400)] + [("g", 1, "lost"), ("g", 2, "7"), ("g", 3, "z")]
+    lines = spark.createDataFrame(rows, "file string, line_no int, line string").repartition(7)
+    got = {(r.file, r.row): r.line for r in tabular.repair_csv(lines).collect()}
+    assert got == {("f", k): f"{k},x" + " y" * 49 for k in range(0, 400, 50)} | {("g", 2): "7 z"}
+
+
+def test_csv_audit(spark):
+    lines = spark.createDataFrame([("a", i, "1,2" if i < 7 else '1,"x,y",3') for i in range(9)] + [("b", 1, "1,2,3")], "file string, line_no int, line string")
+    a, b = tabular.audit_csv(lines, 3).orderBy("file").collect()
+    assert (a.rows, a.wrong, a.valid, [tuple(x) for x in a.offenders]) == (9, 7, False, [(i, 2, 3) for i in range(5)])
+    assert (b.rows, b.wrong, b.valid, b.offenders) == (1, 0, True, None)
+    assert {r.file: r["count"] for r in tabular.sample_csv(lines).groupBy("file").count().collect()} == {"a": 5, "b": 1}
+
+
+def test_knn_blocks_equal_broadcast(spark):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    rows = lambda **kw: sorted(map(tuple, vectors.knn_join(v.where("vec_id % 2 = 0"), v, 4, **kw).collect()))
+    assert rows() == rows(block=7, rows=11)
+
+
+def test_layout_groups_of_groups(spark):
+    items = spark.createDataFrame([("d", "g", None, 0), ("d", "x", None, 1), ("d", "in", "g", 0), ("d", "leaf", "g", 1), ("d", "deep", "in", 0)], "doc string, item string, parent string, pos int")
+    boxes = spark.createDataFrame([("d", "leaf", 3, 1, 1), ("d", "x", 2, 1, 1), ("d", "deep", 1, 1, 1)], "doc string, item string, page int, top int, left int")
+    assert [r.item for r in extract.order_layout(items, boxes).orderBy("place").collect()] == ["g", "x"]
+
+
+def test_chunks_by_heading(spark):
+    rows = [("d", 0, "text", "a b", 1), ("d", 1, "section_header", "H", 1), ("d", 2, None, "c d e f g", 2), ("d", 3, "list", "h", 3), ("d", 4, "text", "i j", 3), ("d", 5, "section_header", "K", 4), ("d", 6, "text", " ", 4)]
+    c = extract.chunk_items(spark.createDataFrame(rows, "doc string, pos int, label string, text string, page int"), 4).orderBy("chunk_id").collect()
+    assert [(r.chunk_id, r.text, r.tokens, r.pages, r.heading, r.element) for r in c] == [("d#chunk0", "a b", 2, [1], None, "text"), ("d#chunk1", "c d e f", 4, [2], "H", "text"), ("d#chunk2", "g h i j", 4, [2, 3], "H", "text")]
