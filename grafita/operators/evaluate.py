@@ -88,12 +88,21 @@ def select_topics(pt: DataFrame, coverage: float, confidence: float, least: int)
 def sweep(scored: DataFrame, totals: DataFrame, gold: DataFrame, grid: DataFrame) -> DataFrame:
     """Scores of every configuration (cfg, floor, cov, conf) in one job over the same raw scores.
 
-    The grid is small by nature and goes to every task.
+    The grid is small by nature.  A raw row is counted once, in the band of the highest
+    floor it reaches; a configuration adds up the bands from its own floor on.
     """
-    s = scored.join(F.broadcast(grid), F.col("score") >= F.col("floor"))
-    by = s.groupBy("cfg", "cov", "conf", "project", "topic").agg(F.count("*").alias("mentions"), F.sum("logit").alias("logit")).join(totals, "project")
+    floors = [r[0] for r in grid.select("floor").distinct().orderBy("floor").collect()]  # a value a floor
+    band = sum((F.when(F.col("score") >= x, 1).otherwise(0) for x in floors), F.lit(0))
+    own = sum((F.when(F.col("floor") >= x, 1).otherwise(0) for x in floors), F.lit(0))
+    bands = scored.groupBy("project", "topic", band.alias("band")).agg(F.count("*").alias("mentions"), F.sum("logit").alias("logit")).where("band > 0")
+    cfgs = F.broadcast(grid.select("cfg", "cov", "conf", own.alias("own")))
+    by = bands.join(cfgs, F.col("band") >= F.col("own")).groupBy("cfg", "cov", "conf", "project", "topic").agg(F.sum("mentions").alias("mentions"), F.sum("logit").alias("logit")).join(totals, "project")
     passing = by.where((F.col("mentions") / F.col("total") >= F.col("cov")) & (F.col("logit") / F.col("mentions") >= F.col("conf"))).select("cfg", "project", "topic")
-    return compare(passing, gold.join(F.broadcast(grid.select("cfg"))), ["cfg", "project", "topic"], ["cfg"])
+    g = gold.select("project", "topic").distinct().withColumn("g", F.lit(1))
+    hits = passing.join(g, ["project", "topic"], "left").groupBy("cfg").agg(F.count("g").alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"))
+    n = g.agg(F.count("*").alias("n"))  # one row
+    t = grid.select("cfg").join(hits, "cfg", "left").crossJoin(F.broadcast(n)).select("cfg", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("fp", F.lit(0)).alias("fp"), "n")
+    return t.select("cfg", "tp", "fp", (F.col("n") - F.col("tp")).alias("fn")).select("cfg", "tp", "fp", "fn", *prf())
 
 
 def best_combo(summary: DataFrame, label: str, quality: str) -> DataFrame:

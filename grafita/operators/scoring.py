@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from grafita.functions import text as tx
 from grafita.operators.evaluate import compare, safe
 from grafita.plans.derived import Graph
+from grafita.schema import EDGE_RULES
 
 #: Gold texts that stand for questions without an answer.
 SENTINELS = (
@@ -36,10 +37,11 @@ def parameter_report(sweep: DataFrame, parameters: Sequence[str]) -> DataFrame:
 def project_subgraphs(g: Graph, types: Sequence[str], documents: str = "Documento") -> DataFrame:
     """project_id, type, source_id, target_id: the edges that touch a project, all projects in one pass.
 
-    Edges to chunks and to documents of kind tabla stay out.
+    Edges to chunks stay out by their type, so no chunk is read; so do edges to documents of kind tabla.
     """
+    types = [t for t in types if "Chunk" not in EDGE_RULES[t][0] + EDGE_RULES[t][1]]
     p = g.nodes_of("Proyecto").select(F.col("id").alias("project_id"))
-    out = g.nodes_of("Chunk").select("id").unionByName(g.nodes_of(documents).where("name = 'tabla'").select("id"))
+    out = g.nodes_of(documents).where("name = 'tabla'").select("id")
     e = g.edges_of(*types).select("type", "source_id", "target_id")
     a = e.join(p, F.col("source_id") == F.col("project_id")).withColumn("id", F.col("target_id"))
     b = e.join(p, F.col("target_id") == F.col("project_id")).withColumn("id", F.col("source_id"))
