@@ -169,3 +169,32 @@ def ratio(a: Column, b: Column) -> Column:
 
 def primary_label(labels: Column, known: list[str]) -> Column:
     return F.coalesce(F.get(F.filter(labels, lambda x: x.isin(known)), F.lit(0)), F.get(labels, F.lit(0)), F.lit("Entidad"))
+
+
+#: The properties that a label's display comes from, the first that isn't blank; other labels take id, valor.
+DISPLAY_FIELDS = {
+    "Investigador": ("nombre_de_despliegue", "nombre", "id"),
+    "Proyecto": ("titulo_de_despliegue", "titulo", "id"),
+    "Grupo": ("titulo_de_despliegue", "titulo", "id"),
+    "Topico": ("valor", "id"),
+    "Anio": ("anio", "id"),
+}
+#: The properties that name a node of any label in a text.
+MENTION_FIELDS = ("valor", "nombre_de_despliegue", "titulo_de_despliegue", "nombre", "titulo", "id")
+
+
+def _first_of(names: tuple[str, ...], props: Column, id_: Column, default: Column) -> Column:
+    return F.coalesce(*[F.nullif(id_ if n == "id" else props[n], F.lit("")) for n in names], default)
+
+
+def display_value(label: Column, props: Column, id_: Column) -> Column:
+    """What a node is shown as: its label's properties in turn, at last the label."""
+    shown = F.lit(None).cast("string")
+    for name, fields in DISPLAY_FIELDS.items():
+        shown = F.when(label == name, _first_of(fields, props, id_, label)).otherwise(shown)
+    return F.coalesce(shown, _first_of(("id", "valor"), props, id_, label))
+
+
+def mention(label: Column, props: Column, id_: Column) -> Column:
+    """A node in a text: its first name, then its label in brackets."""
+    return F.concat(_first_of(MENTION_FIELDS, props, id_, F.lit("")), F.lit(" ("), label, F.lit(")"))

@@ -35,9 +35,9 @@ def a02(s, d):
     return f.groupBy(F.regexp_extract("path", "^box/lang=([^/]+)/", 1).alias("lang")).agg(F.sum(F.length("content")).alias("bytes"))
 
 
-@reg("a03_a22", "select 'proyectos_' || year(o_orderdate) as root, count(*) filter (o_orderkey % 4 < 2 or o_orderkey % 3 <> 1) + count(*) filter (not (o_orderkey % 4 < 2 or o_orderkey % 3 <> 1)) as files, sum(length('orden ' || o_orderkey)) as bytes from orders group by 1")
+@reg("a03_a22", "select 'proyectos_' || year(o_orderdate) as root, count(*) filter (o_orderkey % 5 <> 0) as processed, count(*) filter (o_orderkey % 5 = 0) as ignored, sum(length('orden ' || o_orderkey)) as bytes from orders group by 1")
 def a03_a22(s, d):
-    """Archives of a customer's orders each, packed in tasks, opened again."""
+    """Archives of a customer's orders each, packed in tasks, opened again; every fifth order lies where no project's file may."""
     import io
     import zipfile
 
@@ -53,10 +53,11 @@ def a03_a22(s, d):
         return pd.DataFrame({"path": [f"{key[0]}.zip"], "content": [out.getvalue()]})
 
     k, y = F.col("o_orderkey").cast("string"), F.year("o_orderdate").cast("string")
-    path = F.concat(F.lit("proyectos_"), y, F.lit("/informes_"), y, F.lit("/"), k, F.lit("/Informe/a.pdf"))
+    below = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("/Informe/a"), k)).otherwise(F.concat(F.lit("/"), k, F.lit("/Informe/a")))
+    path = F.concat(F.lit("proyectos_"), y, F.lit("/informes_"), y, below, F.lit(".pdf"))
     t = table(s, d, "orders").select("o_custkey", path.alias("path"), F.concat(F.lit("orden "), k).alias("text"))
     inner = fs.expand_archives(t.groupBy("o_custkey").applyInPandas(pack, "path string, content binary")).where("error is null")
-    kept = fs.prepare_corpus(inner).select("root", (F.col("processed") + F.col("ignored")).alias("files"))
+    kept = fs.prepare_corpus(inner)
     return kept.join(inner.groupBy(F.get(F.split("path", "/"), 0).alias("root")).agg(F.sum(F.length("content")).alias("bytes")), "root")
 
 
@@ -120,11 +121,20 @@ def a12(s, d):
     return fs.read_taxonomy(s, root, multi_line=False).select("field", "subfield", "topic")
 
 
-@reg("a13", "select label as file, count(*) as n_vectors, count(*) filter (vec_id % 9 <> 0) as n_meta, count(*) = count(*) filter (vec_id % 9 <> 0) as equal, true as one_dim from embeddings group by 1")
+@reg("a13", """with v as (select label as file, vec_id as pos, case when vec_id % 200 = 7 then embedding[2:] else embedding end as e from embeddings),
+most as (select max(len(e)) as dim from v)
+select file, count(*) as n_vectors, count(*) filter (pos % 150 <> 1) as n_meta, count(*) = count(*) filter (pos % 150 <> 1) as equal, min(len(e)) = any_value(dim) and max(len(e)) = any_value(dim) as one_dim,
+count(*) filter (pos % 150 <> 1) as aligned, max(file || '_chunk_' || pos) filter (pos % 150 <> 1) as last_id, max(cast(e[1] as double)) filter (pos % 150 <> 1) as first_component
+from v, most group by file""")
 def a13(s, d):
+    """Some vectors have no row of meta, some lack a component: not every file agrees."""
     v = table(s, d, "embeddings").select(F.col("label").alias("file"), F.col("vec_id").alias("pos"), "embedding")
-    meta = v.where("pos % 9 <> 0").select("file", "pos")
-    return fs.embedding_report(v, meta).join(fs.align_embeddings(v, meta).select("file").distinct(), "file", "left").select("file", "n_vectors", "n_meta", "equal", "one_dim")
+    v = v.withColumn("embedding", F.when(F.col("pos") % 200 == 7, F.expr("slice(embedding, 2, size(embedding) - 1)")).otherwise(F.col("embedding")))
+    meta = v.where("pos % 150 <> 1").select("file", "pos")
+    aligned = fs.align_embeddings(v, meta).groupBy("file").agg(
+        F.count("*").alias("aligned"), F.max("semantic_id").alias("last_id"), F.max(F.get("embedding", F.lit(0)).cast("double")).alias("first_component")
+    )
+    return fs.embedding_report(v, meta).join(aligned, "file", "left").select("file", "n_vectors", "n_meta", "equal", "one_dim", "aligned", "last_id", "first_component")
 
 
 @reg("a14_a15", "select 'node' as kind, label as name, count(*) * 2 as n, count(*) as ids from nodes group by label union all select 'edge', type, count(*) * 2, count(distinct (source_id, target_id)) from edges group by type", True)
@@ -150,14 +160,16 @@ def a18_a19(s, d):
     return s.read.schema("id string, question string, answer string, ok boolean").json(f"{root}/out").select("id", "question", "ok")
 
 
-@reg("b06", "select doc_id, 2 as dim, true as unit from documents")
+@reg("b06", """with x as (select doc_id, length('passage: ' || coalesce(text, '')) as a, [unicode(c) for c in string_split(substr('passage: ' || coalesce(text, ''), 1, 18), '')] as u from documents),
+y as (select doc_id, a, list_sum(u) as b from x)
+select doc_id, 2 as dim, round(a / sqrt(a * a + b * b), 6) as x, round(b / sqrt(a * a + b * b), 6) as y from y""")
 def b06(s, d):
     def encoder(texts):
-        return [[len(t), sum(map(ord, t[:9]))] for t in texts]
+        return [[len(t), sum(map(ord, t[:18]))] for t in texts]
 
     v = fs.embed(table(s, d, "documents").select("doc_id", "text"), encoder)
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    return v.select("doc_id", F.size("embedding").alias("dim"), (F.abs(norm - 1) < 1e-9).alias("unit"))
+    at = lambda i: F.round(F.get("embedding", F.lit(i)), 6)
+    return v.select("doc_id", F.size("embedding").alias("dim"), at(0).alias("x"), at(1).alias("y"))
 
 
 @reg("i01", """, i as (select 'Topico' as label, replace(p_name, ' ', '_') as id, 'valor' as field, case when min(p_partkey) % 3 = 0 then 'missing' when min(p_partkey) % 3 = 1 then 'blank' end as issue from part group by 1, 2, 3)

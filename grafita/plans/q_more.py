@@ -81,19 +81,46 @@ def c08(s, d):
     return table(s, d, "events").select("event_id", tx.role(F.when(F.col("user_id") % 5 == 0, " ").otherwise(F.upper("event_type"))).alias("role"))
 
 
-@reg("c09", "with c as (select *, o_orderkey % 4 <> 0 as ok from orders) select o_orderkey, case when ok then 'proy' end as grupo, case when ok then cast(year(o_orderdate) as varchar) end as anio, case when ok then cast(o_orderkey as varchar) end as sub_id, case when ok then 'informe' end as tipo from c")
+@reg("c09", """with c as (select *, o_orderkey % 4 as r, cast(year(o_orderdate) as varchar) as y, cast(o_orderkey as varchar) as id from orders)
+select o_orderkey, case r when 3 then 'proy' when 1 then 'gi' end as grupo, case when r in (1, 3) then y end as anio, case r when 3 then id when 1 then id || '_a' end as sub_id, case r when 3 then 'informe' when 1 then 'propuesta' end as tipo from c""")
 def c09(s, d):
-    whole = F.concat(F.lit("PROY_"), F.year("o_orderdate").cast("string"), F.lit("_"), F.col("o_orderkey").cast("string"), F.lit("_Informe.PDF"))
-    n = tx.document_name(F.when(F.col("o_orderkey") % 4 == 0, "notes of the year.pdf").otherwise(whole))
-    return table(s, d, "orders").select("o_orderkey", n.alias("n")).select("o_orderkey", "n.*")
+    """Names with and without an ending, with an underscore in the id, with a short year, and no canonical name."""
+    r, y, k = F.col("o_orderkey") % 4, F.year("o_orderdate").cast("string"), F.col("o_orderkey").cast("string")
+    name = F.when(r == 0, "notes of the year.pdf").when(r == 1, F.concat(F.lit("GI_"), y, F.lit("_"), k, F.lit("_a_Propuesta")))
+    name = name.when(r == 2, F.concat(F.lit("proy_99_"), k, F.lit("_informe.pdf"))).otherwise(F.concat(F.lit("PROY_"), y, F.lit("_"), k, F.lit("_Informe.PDF")))
+    return table(s, d, "orders").select("o_orderkey", tx.document_name(name).alias("n")).select("o_orderkey", "n.*")
 
 
-@reg("c10_c16", PATHS + """select k, 'proy' as prefix, case when k % 4 = 0 or k % 3 = 0 then 'informe' when k % 4 = 1 or k % 3 = 2 then 'propuesta' else null end as kind, y || '_' || k as key, true as valid from p where y < 2000 or y >= 2000""")
+@reg("c10_c16", PATHS + """, x as (select *, k % 5 >= 3 and k % 7 <> 0 as valid from p)
+select k, case when k % 5 < 2 then 'gi' when k % 5 = 2 then '' else 'proy' end as prefix, case when k % 4 = 0 or k % 3 = 0 then 'informe' when k % 4 = 1 or k % 3 = 2 then 'propuesta' when k % 4 = 2 then 'resumen' end as kind,
+case when valid then y || '_' || k end as key, valid from x""")
 def c10_c16(s, d):
-    p = paths(s, d)
+    """Paths below five kinds of first folder; every seventh lacks the folder of digits."""
+    k, y = F.col("k"), F.col("y")
+    roots = F.array(F.concat(F.lit("GI_"), y), F.concat(F.lit("Grupos "), y), F.lit("varios"), F.concat(F.lit("PROYECTOS "), y), F.concat(F.lit("proyectos_"), y))
+    below = F.regexp_replace("path", "^[^/]+", "")
+    below = F.when(k % 4 == 2, F.replace(below, F.lit("/x/"), F.lit("/RESUMEN/"))).otherwise(below)
+    below = F.when(k % 7 == 0, F.regexp_replace(below, "/[0-9]+/", "/")).otherwise(below)
+    p = paths(s, d).select("k", F.concat(F.get(roots, (k % 5).cast("int")), below).alias("path"))
     return p.select("k", tx.path_group(F.col("path")).alias("prefix"), tx.document_kind(F.col("path")).alias("kind"), tx.path_project_key(F.col("path")).alias("key"), tx.valid_project_path(F.col("path")).alias("valid"))
 
 
+@reg("c21", """with c as (select c_custkey as k, case c_custkey % 5 when 0 then 'Investigador' when 1 then 'Grupo' when 2 then 'Topico' when 3 then 'Anio' else 'Documento' end as label, case c_custkey % 3 when 0 then c_name end as f, case when c_custkey % 2 = 0 then c_mktsegment end as g, case when c_custkey % 7 <> 0 then 'i' || c_custkey end as id from customer)
+select k, case when k % 5 < 2 then coalesce(f, g, id, label) when k % 5 < 4 then coalesce(f, id, label) else coalesce(id, f, label) end as display,
+case when k % 5 < 2 then coalesce(f, g, id, '') when k % 5 = 3 then coalesce(id, '') else coalesce(f, id, '') end || ' (' || label || ')' as mention from c""")
+def c21(s, d):
+    """Nodes of five labels whose first choice is there, blank or absent."""
+    k = F.col("c_custkey")
+    label = F.get(F.array(*map(F.lit, ["Investigador", "Grupo", "Topico", "Anio", "Documento"])), (k % 5).cast("int"))
+    first, second = F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, ""), F.when(k % 2 == 0, F.col("c_mktsegment"))
+    value = lambda name, of, v: (F.lit(name), F.when(k % 5 == of, v))
+    person = value("nombre_de_despliegue", 0, first) + value("nombre", 0, second) + value("titulo_de_despliegue", 1, first) + value("titulo", 1, second)
+    props = F.create_map(*person, F.lit("valor"), F.when((k % 5).isin(2, 4), first), *value("anio", 3, first))
+    n = table(s, d, "customer").select(k.alias("k"), label.alias("label"), props.alias("props"), F.when(k % 7 != 0, F.concat(F.lit("i"), k.cast("string"))).alias("id"))
+    args = F.col("label"), F.col("props"), F.col("id")
+    return n.select("k", tx.display_value(*args).alias("display"), tx.mention(*args).alias("mention"))
+
+
 @reg("c13_c14", PATHS + """, y as (select *, k % 4 in (0, 1) or k % 3 in (0, 2) as placed, case when y between 2000 and 2099 then cast(y as varchar) else coalesce(nullif(regexp_extract(cast(k as varchar), '20[0-9][0-9]'), ''), 'unknown') end as year from p)
 select k, year, case when placed then 'proy_' || year || '_' || k || '_' || (case when k % 4 = 0 or k % 3 = 0 then 'informe' else 'propuesta' end) || '.pdf' else 'invalid_path_structure.pdf' end as name from y""")
 def c13_c14(s, d):
