@@ -276,24 +276,27 @@ def d13(s, d):
     return st.duplicate_report(table(s, d, "supplier").select((F.col("s_suppkey") % 50).alias("id"), F.when(F.col("s_suppkey") % 3 == 0, "A").otherwise("B").alias("label")))
 
 
-@reg("d14", "select status, count(*) as n from (select case when l_suppkey % 4 = 3 then 'inexistente' when l_suppkey % 4 = 2 then 'ambiguo' else 'ok' end as status from lineitem) group by status")
+@reg("d14", """with w as (select s_suppkey as id, s_suppkey % 4 = 2 as twice from supplier where s_suppkey % 4 <> 3)
+select l_suppkey as source_id, l_suppkey + l_linenumber as target_id, case when a.id is null or z.id is null then 'inexistente' when a.twice or z.twice then 'ambiguo' else 'ok' end as status, count(*) as n
+from lineitem left join w a on a.id = l_suppkey left join w z on z.id = l_suppkey + l_linenumber group by 1, 2, 3""")
 def d14(s, d):
+    """Ids in the batch and stored with two labels, stored with one, stored with two, and nowhere."""
     p = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"))
     batch = p.where("id % 4 = 0")
-    stored = union(p.where("id % 4 in (1, 2)").withColumn("label", F.lit("A")), p.where("id % 4 = 2").withColumn("label", F.lit("B")))
-    e = table(s, d, "lineitem").select(F.lit("X").alias("type"), F.col("l_suppkey").alias("source_id"), F.col("l_suppkey").alias("target_id"))
-    return st.resolve(e, batch, stored).groupBy("status").agg(F.count("*").alias("n"))
+    stored = union(p.where("id % 4 <> 3").withColumn("label", F.lit("A")), p.where("id % 4 in (0, 2)").withColumn("label", F.lit("B")))
+    e = table(s, d, "lineitem").select(F.lit("X").alias("type"), F.col("l_suppkey").alias("source_id"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("target_id"))
+    return st.resolve(e, batch, stored).groupBy("source_id", "target_id", "status").agg(F.count("*").alias("n"))
 
 
-@reg("d15", """, raw as (select 'PARTICIPO_EN' as type, 'inv_' || l_suppkey as source_id, case when l_suppkey = l_partkey then 'inv_' || l_suppkey when l_tax = 0 then 'inv_0' else pid end as target_id, row(l_linestatus, l_linenumber, l_partkey, l_extendedprice) as seq from lineitem join proj on okey = l_orderkey),
+@reg("d15", """, raw as (select 'PARTICIPO_EN' as type, 'inv_' || l_suppkey as source_id, case when l_suppkey = l_partkey then 'inv_' || l_suppkey when l_tax = 0 then 'inv_0' else pid end as target_id, row(l_linestatus, l_linenumber, l_partkey, l_extendedprice) as seq, l_partkey from lineitem join proj on okey = l_orderkey),
 v as (select *, case when source_id = target_id then 'self' when target_id like 'inv_%' then 'illegal' end as bad, row_number() over (partition by type, source_id, target_id order by seq) as n from raw)
-select coalesce(bad, case when n > 1 then 'repeated' else 'kept' end) as verdict, count(*) as n from v group by 1""", True)
+select coalesce(bad, case when n > 1 then 'repeated' else 'kept' end) as verdict, source_id, count(*) as n, cast(sum(l_partkey) as bigint) as parts from v group by 1, 2""", True)
 def d15(s, d):
     li, p = table(s, d, "lineitem"), projects(s, d)
     inv = F.concat(F.lit("inv_"), F.col("l_suppkey").cast("string"))
     e = li.join(p, li.l_orderkey == p.okey).select(F.lit("PARTICIPO_EN").alias("type"), inv.alias("source_id"), F.when(F.col("l_suppkey") == F.col("l_partkey"), inv).when(F.col("l_tax") == 0, "inv_0").otherwise(F.col("pid")).alias("target_id"), F.struct("l_linestatus", "l_linenumber", "l_partkey", "l_extendedprice").alias("seq"))
     g = graph(s, d)
-    return st.clean_edges(e, union(g.nodes_of("Proyecto", "Grupo"), g.nodes_of("Investigador")), schema.edge_endpoints(s), "seq").groupBy("verdict").agg(F.count("*").alias("n"))
+    return st.clean_edges(e, union(g.nodes_of("Proyecto", "Grupo"), g.nodes_of("Investigador")), schema.edge_endpoints(s), "seq").groupBy("verdict", "source_id").agg(F.count("*").alias("n"), F.sum("seq.l_partkey").alias("parts"))
 
 
 @reg("d16", """with a as (select distinct l_suppkey as k from lineitem where l_linestatus = 'F' and l_returnflag = 'R'), b as (select distinct l_suppkey as k from lineitem where l_linestatus = 'O')
@@ -389,11 +392,11 @@ def a07(s, d):
     return tb.audit_csv(lines, 3).withColumn("offenders", told).join(tb.sample_csv(lines).groupBy("file").agg(F.count("*").alias("sampled")), "file")
 
 
-@reg("a08", "select count(*) as n, count(distinct o_orderkey) as keys from orders where o_orderstatus in ('F', 'O')")
+@reg("a08", "select o_orderkey, o_orderstatus, case when o_orderstatus = 'F' then 1 end as row_id from orders where o_orderstatus in ('F', 'O')")
 def a08(s, d):
     o = table(s, d, "orders").select("o_orderkey", "o_orderstatus")
     m = tb.merge_csv(o.where("o_orderstatus = 'F'").withColumn("row_id", F.lit(1)), o.where("o_orderstatus in ('F', 'O')"))
-    return m.agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("keys"))
+    return m.select("o_orderkey", "o_orderstatus", "row_id")
 
 
 STORES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -515,9 +518,9 @@ def j02(s, d):
     return ev.compare(*pair(s, d), ["k", "v", "y"], ["y"])
 
 
-@reg("j03", PG + "select case when p.k is null then 'FALTA EN PRED' when g.k is null then 'SOBRA EN PRED' else 'MATCH' end as status, count(*) as n from (select k, v from p) p full join (select k, v from g) g on p.k = g.k and p.v = g.v group by 1")
+@reg("j03", PG + "select coalesce(p.k, g.k) as k, coalesce(p.v, g.v) as v, case when p.k is null then 'FALTA EN PRED' when g.k is null then 'SOBRA EN PRED' else 'MATCH' end as status from p full join g on p.k = g.k and p.v = g.v")
 def j03(s, d):
-    return ev.diff(*pair(s, d), ["k", "v"]).groupBy("status").agg(F.count("*").alias("n"))
+    return ev.diff(*pair(s, d), ["k", "v"])
 
 
 @reg("j04", PG + "select round(avg(precision), 4) as precision, round(avg(recall), 4) as recall, round(avg(f1), 4) as f1, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from j")

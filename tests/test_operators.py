@@ -76,3 +76,17 @@ def test_chunks_by_heading(spark):
     rows = [("d", 0, "text", "a b", 1), ("d", 1, "section_header", "H", 1), ("d", 2, None, "c d e f g", 2), ("d", 3, "list", "h", 3), ("d", 4, "text", "i j", 3), ("d", 5, "section_header", "K", 4), ("d", 6, "text", " ", 4)]
     c = extract.chunk_items(spark.createDataFrame(rows, "doc string, pos int, label string, text string, page int"), 4).orderBy("chunk_id").collect()
     assert [(r.chunk_id, r.text, r.tokens, r.pages, r.heading, r.element) for r in c] == [("d#chunk0", "a b", 2, [1], None, "text"), ("d#chunk1", "c d e f", 4, [2], "H", "text"), ("d#chunk2", "g h i j", 4, [2, 3], "H", "text")]
+
+
+def test_display_by_label(spark):
+    rows = [
+        ("Investigador", {"nombre_de_despliegue": "", "nombre": "ana"}, "inv_1", "ana", "ana (Investigador)"),
+        ("Grupo", {"valor": "v"}, "gi_1", "gi_1", "v (Grupo)"),
+        ("Anio", {"anio": "2001"}, "a", "2001", "a (Anio)"),
+        ("Chunk", {"valor": "v"}, None, "v", "v (Chunk)"),
+        ("Topico", None, None, "Topico", " (Topico)"),
+    ]
+    t = spark.createDataFrame(rows, "label string, props map<string,string>, id string, display string, mention string")
+    args = F.col("label"), F.col("props"), F.col("id")
+    got = t.select(tx.display_value(*args).alias("a"), tx.mention(*args).alias("b"), "display", "mention").collect()
+    assert [(r.a, r.b) for r in got] == [(r.display, r.mention) for r in got]
