@@ -93,6 +93,12 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grafita.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
 OP7_SQL = r"""
 with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, regexp_extract(rest, '^[^?#]*') as whole from u),
@@ -106,7 +112,11 @@ from p left join m on p.page_id = m.page_id and m.n = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multiprobe_ann, op2_substring_dedup, op3_warc, op4_toxicity, op5_embedding_dedup, op6_html_text, op7_url_filter, op8_sum_of_squares_packing, op9_temperature_mixing, op10_bag_minhash)}
+    found = (
+        op1_multiprobe_ann, op2_substring_dedup, op3_warc, op4_toxicity, op5_embedding_dedup, op6_html_text, op7_url_filter,
+        op8_sum_of_squares_packing, op9_temperature_mixing, op10_bag_minhash, op12_embedding_whitening,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
