@@ -93,6 +93,12 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8)
 
 
+def op11_prefix_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grafita.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=10, min_words=20)
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grafita.llm.whitening import whiten
 
@@ -110,14 +116,34 @@ select p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') as verdic
 from p left join m on p.page_id = m.page_id and m.n = 1
 """
 
+OP11_SQL = r"""
+with bits as (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i)),
+step as (select list(c order by i) as t from bits),
+texts as (select 's' as side, row_number() over () as r, doc_id, text from documents union all select 't', row_number() over (), null, text from benchmark),
+found as (select side, r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as ws from texts),
+each as (select side, r, w, count(*) as k from (select side, r, unnest(ws) as w from found) group by all),
+vocabulary as (select w, hex(encode(w)) as x from (select distinct w from each)),
+crc as (select w, xor(list_reduce([4294967295]::bigint[] || list_transform(range(length(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::bigint), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket from vocabulary, step),
+held as (select side, r, bucket, k from each join crc using (w)),
+buckets as (select bucket, coalesce(sum(k) filter (side = 's'), 0)::double as s, coalesce(sum(k) filter (side = 't'), 0)::double as t from held group by 1),
+whole as (select coalesce(sum(s), 0)::double as S_, coalesce(sum(t), 0)::double as T_ from buckets),
+gains as (select bucket, floor(1000 * ln(((t + 1) * (S_ + 10000)) / ((s + 1) * (T_ + 10000))))::bigint as gain from buckets, whole),
+means as (select r, sum(k * gain) as total, sum(k) as n from held join gains using (bucket) where side = 's' group by 1),
+scored as (select r, doc_id, len(ws) as n_features, case when n is null then 0 else floor(total::double / n)::bigint end as weight,
+           ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from found left join means using (r) where side = 's'),
+final as (select r, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from scored),
+drawn as (select r, row_number() over (order by score desc, doc_id nulls last, n_features, weight) as rank, count(*) over () as n from final where n_features >= 20)
+select doc_id, n_features::bigint as n_features, weight, score, case when rank <= 10 * n // 100 then rank end as rank from final left join drawn using (r)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_multiprobe_ann, op2_substring_dedup, op3_warc, op4_toxicity, op5_embedding_dedup, op6_html_text, op7_url_filter,
-        op8_sum_of_squares_packing, op9_temperature_mixing, op10_bag_minhash, op12_embedding_whitening,
+        op8_sum_of_squares_packing, op9_temperature_mixing, op10_bag_minhash, op11_prefix_crc_resampling, op12_embedding_whitening,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL}
+    return {"op7_url_filter": OP7_SQL, "op11_prefix_crc_resampling": OP11_SQL}
