@@ -105,6 +105,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), components=8)
 
 
+def op13_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grafita.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, regexp_extract(rest, '^[^?#]*') as whole from u),
@@ -140,7 +146,7 @@ select doc_id, n_features::bigint as n_features, weight, score, case when rank <
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_multiprobe_ann, op2_substring_dedup, op3_warc, op4_toxicity, op5_embedding_dedup, op6_html_text, op7_url_filter,
-        op8_sum_of_squares_packing, op9_temperature_mixing, op10_bag_minhash, op11_prefix_crc_resampling, op12_embedding_whitening,
+        op8_sum_of_squares_packing, op9_temperature_mixing, op10_bag_minhash, op11_prefix_crc_resampling, op12_embedding_whitening, op13_contextual_pii,
     )
     return {f.__name__: f for f in found}
 
