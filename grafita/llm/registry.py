@@ -142,6 +142,67 @@ drawn as (select r, row_number() over (order by score desc, doc_id nulls last, n
 select doc_id, n_features::bigint as n_features, weight, score, case when rank <= 10 * n // 100 then rank end as rank from final left join drawn using (r)
 """
 
+_ROUND = """
+good{n} as (select pattern, round(count(*) filter (known) / (count(*) + 1), 9) as s from edges{m} group by 1 having count(*) filter (known) >= 3 and round(count(*) filter (known) / (count(*) + 1), 9) >= 0.7),
+scores{n} as (select instance, round(1 - exp(sum(ln(1 - s))), 9) as score from edges{m} join good{n} using (pattern) group by 1 having round(1 - exp(sum(ln(1 - s))), 9) >= 0.9),
+edges{n} as (select pattern, instance, known or score is not null as known from edges{m} left join scores{n} using (instance)),
+"""
+_LUHN = "list_sum(list_transform(range(length(g)), lambda i: case when i % 2 = 0 then substr(g, length(g) - i, 1)::int else (substr(g, length(g) - i, 1)::int * 2) // 10 + (substr(g, length(g) - i, 1)::int * 2) % 10 end)) % 10 = 0"
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"string_split_regex(regexp_replace(" + _LOW + r", '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+')"
+_FITS = r"""list_filter([case when seed = 'email' or regexp_matches(instance, '^[^@ ]+@[^@ ]+$') then 'email' end,
+    case when seed = 'ip' or (regexp_matches(instance, '^[0-9a-f]*(?:[.:][0-9a-f]*){3,7}$') and regexp_matches(instance, '[0-9]')) then 'ip' end,
+    case when seed = 'card' or (regexp_matches(instance, '^[0-9 .-]+$') and length(regexp_replace(instance, '[^0-9]', '', 'g')) between 12 and 19) then 'card' end,
+    case when seed = 'phone' or (regexp_matches(instance, '^[0-9 ()./+-]+$') and length(regexp_replace(instance, '[^0-9]', '', 'g')) between 7 and 15) then 'phone' end], lambda k: k is not null)"""
+
+OP13_SQL = (
+    r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+cut as (
+  select r, 'email' as kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') as f, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') as s from d
+  union all select r, 'ip', regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), string_split_regex(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') from d
+  union all select r, 'card', regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), string_split_regex(t, '[0-9](?:[\x20-]?[0-9])+') from d
+  union all select r, 'phone', regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') from d
+  union all select r, 'candidate', regexp_extract_all(t, '[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*(?:\x20[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*)*'),
+         string_split_regex(t, '[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*(?:\x20[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*)*') from d),
+each as (select r, kind, generate_subscripts(s, 1) as i, unnest(s) as piece, unnest(list_append(f, null)) as found from cut where len(f) > 0),
+placed as (select *, sum(length(piece) + coalesce(length(found), 0)) over w as e, lead(left(piece, 64)) over w as after, regexp_replace(found, '[^0-9]', '', 'g') as g from each window w as (partition by r, kind order by i)),
+spans as (select r, kind, e - length(found) as b, e, found, right(piece, 64) as tail, after from placed where found is not null and case kind when 'email' then true
+  when 'ip' then len(list_filter(string_split(found, '.'), lambda x: length(ltrim(x, '0')) > 3 or coalesce(try_cast(ltrim(x, '0') as int), 0) > 255)) = 0
+  when 'card' then length(g) between 12 and 19 and """
+    + _LUHN
+    + r""" when 'phone' then length(g) between 9 and 15 else length(found) <= 254 end),
+base as (select * from spans where kind <> 'candidate'),
+seeds as (select c.r, c.b, max_by(s.kind, (s.e, s.kind)) as seed from spans c join base s on c.r = s.r and s.b < c.e and s.e > c.b where c.kind = 'candidate' group by all),
+trimmed as (select r, b, seed, tail, after, regexp_extract(found, '^[^0-9A-Za-z+(\x{80}-\x{10FFFF}]*') as lead, found from spans left join seeds using (r, b) where kind = 'candidate'),
+bodies as (select *, regexp_replace(substr(found, length(lead) + 1), '[^0-9A-Za-z)\x{80}-\x{10FFFF}]+$', '') as body from trimmed),
+candidates as (select r, b + length(lead) as b, b + length(lead) + length(body) as e, seed, """
+    + _LOW.format("body")
+    + " as instance, "
+    + _WORDS.format("tail")
+    + " as lw, "
+    + _WORDS.format("after")
+    + r"""[1] as rw from bodies where body <> ''),
+wide as (select instance, seed, unnest(['before ' || coalesce(case when len(lw) > 1 then lw[-2] end, '') || ' ' || lw[-1], 'between ' || lw[-1] || ' _ ' || rw]) as pattern, """
+    + _FITS
+    + r""" as kinds from candidates),
+kinded as (select instance, seed, pattern, unnest(kinds) as kind from wide),
+edges0 as (select kind || ' ' || pattern as pattern, kind || ' ' || instance as instance, bool_or(coalesce(seed = kind, false)) as known from kinded group by 1, 2),
+"""
+    + "".join(_ROUND.format(n=n, m=n - 1) for n in (1, 2, 3))
+    + r"""open as (select r, b, e, instance, unnest("""
+    + _FITS.replace("seed = 'email' or ", "").replace("seed = 'ip' or ", "").replace("seed = 'card' or ", "").replace("seed = 'phone' or ", "")
+    + r""") as kind from candidates where seed is null),
+hit as (select r, b, e, max_by(kind, (score, kind = 'email', kind = 'ip', kind = 'card', kind = 'phone')) as kind from open join scores3 on scores3.instance = kind || ' ' || open.instance group by r, b, e),
+every as (select r, kind, b, e, true as base from base union all select r, kind, b, e, false from hit),
+said as (select r, count(*) filter (base and kind = 'email') as n_email, count(*) filter (base and kind = 'ip') as n_ip, count(*) filter (base and kind = 'card') as n_card, count(*) filter (base and kind = 'phone') as n_phone,
+  count(*) filter (not base) as n_found, string_agg(kind || ':' || b || ':' || e, ',' order by b, list_position(['email', 'ip', 'card', 'phone'], kind)) as spans,
+  string_agg(kind || ':' || b || ':' || e, ',' order by b, list_position(['email', 'ip', 'card', 'phone'], kind)) filter (base) as bases from every group by r)
+select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(bases, '')) as base_sha256,
+  coalesce(spans, '') as spans, coalesce(n_found, 0) as n_found from d left join said using (r)
+"""
+)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
@@ -152,4 +213,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL, "op11_prefix_crc_resampling": OP11_SQL}
+    return {"op7_url_filter": OP7_SQL, "op11_prefix_crc_resampling": OP11_SQL, "op13_contextual_pii": OP13_SQL}

@@ -6,9 +6,10 @@ import math
 import random
 import re
 
+import duckdb
 import pytest
 
-from grafita.llm import pii
+from grafita.llm import pii, registry
 
 KINDS = ("email", "ip", "card", "phone")
 PLAIN = {
@@ -145,3 +146,14 @@ def test_no_python_in_the_plan(spark):
     d = spark.createDataFrame([(1, "call +1 (743) 555-3824 now")], "doc_id long, text string")
     plan = pii.find(d)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_sql_gives_the_same_finds(spark, tmp_path):
+    docs = [(i, t) for i, t in cases()]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.OP13_SQL).fetchall()
+    got = registry.queries()["op13_contextual_pii"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
