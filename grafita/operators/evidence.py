@@ -1,4 +1,4 @@
-"""Evidence, contexts and messages for questions, and the history of them."""
+"""Evidence, contexts and messages for questions, and the history of them."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafita.sources.shared import cut
-
 #: Labels in the order of a context, with their headings.
 HEADINGS = {"Proyecto": "Proyectos", "Grupo": "Grupos", "Investigador": "Investigadores", "Topico": "Tópicos", "Documento": "Documentos", "Anio": "Año", "Area": "Áreas"}
 #: The head lines of contexts and what stands for no result.
@@ -126,30 +124,6 @@ def refresh_gold(questions: DataFrame, contexts: dict[str, DataFrame], missing:
     return q.select("id", F.when(~F.coalesce(known, F.lit(False)), missing).otherwise(F.coalesce("context", F.lit(empty))).alias("result"))
 
 
-def append_history(stored: DataFrame, batch: DataFrame, order: Sequence[str], key: str = "id") -> DataFrame:
-    """stored and the batch with ids after the greatest stored one, in an explicit order.
-
-    Ids are offsets of range partitions added to numbers within them, so no task sees the
-    whole batch.  The numbered batch is written once, as another run could draw other bounds.
-    """
-    b = batch.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()})
-    b = cut(b.withColumn("__n", (F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33)) + 1))
-    sizes = b.groupBy("__p").agg(F.max("__n").alias("__c"))
-    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offsets = sizes.select("__p", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__o"))
-    top = stored.agg(F.coalesce(F.max(key), F.lit(0)).alias("__t"))
-    new = b.join(F.broadcast(offsets), "__p").join(F.broadcast(top)).withColumn(key, F.col("__t") + F.col("__o") + F.col("__n"))
-    return stored.unionByName(new.drop("__p", "__m", "__n", "__o", "__t"), allowMissingColumns=True)
-
-
-def delete_history(queries: DataFrame, children: dict[str, DataFrame], ids: DataFrame | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """The history without some questions (id), or without any, and without their children (query_id)."""
-    if ids is None:
-        return queries.limit(0), {k: v.limit(0) for k, v in children.items()}
-    gone = ids.select("id").distinct()
-    return queries.join(gone, "id", "left_anti"), {k: v.join(gone.withColumnRenamed("id", "query_id"), "query_id", "left_anti") for k, v in children.items()}
-
-
 def normalize_history(history: DataFrame) -> DataFrame:
     """Kind of retrieval and defaults for what a row lacks.
 

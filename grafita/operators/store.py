@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grafita.sources.shared import cut
+from grafita.sources.versions import Store, ddl
+
 
 def last_wins(df: DataFrame, keys: Sequence[str], value: str, seq: str) -> DataFrame:
     """One row a key: the value of the greatest seq at the place (first) of the least."""
@@ -92,6 +95,11 @@ def health(stores: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("store"), "n", (F.col("n") == 0).alias("empty")) for name, df in stores.items()])
 
 
+def store_health(store: Store, names: Sequence[str]) -> DataFrame:
+    """store, n and empty of tables in a store of versions, from its manifest alone."""
+    return store.spark.createDataFrame([(n, store.rows(n), store.rows(n) == 0) for n in names], "store string, n long, empty boolean")
+
+
 def delete_node(nodes: DataFrame, edges: DataFrame, node_id: str) -> tuple[DataFrame, DataFrame]:
     """The graph without a node and its edges."""
     return nodes.where(F.col("id") != node_id), edges.where((F.col("source_id") != node_id) & (F.col("target_id") != node_id))
@@ -117,3 +125,30 @@ def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """path, size and what to do: new, changed or skip."""
     m = manifest.select("path", F.col("size").alias("known"))
     return files.join(m, "path", "left").select("path", "size", F.when(F.col("known").isNull(), "new").when(F.col("known") != F.col("size"), "changed").otherwise("skip").alias("action"))
+
+
+def ingest_changed(store: Store, files: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Works on new and changed files alone; path and action: new, changed, skip or failed.
+
+    work takes files (path, size, action) and gives rows with path and error (null if the
+    row is good).  Rows of a file without error replace its former ones, and the manifest
+    takes the file's size in the same version, so only after success: a file with an error,
+    or any file if work raises, is due again.  Errors are kept as rows of ``errors``.
+    """
+    base = store.version()
+    m = store.manifest(base)
+    known = store.read("files", base) if "files" in m["tables"] else files.limit(0)
+    told = cut(changed_files(files, known))
+    rows = cut(work(told.where("action <> 'skip'")))
+    failed = cut(rows.where("error is not null").select("path").distinct())
+    due = told.where("action <> 'skip'").join(failed, "path", "left_anti")
+    good, bad = rows.where("error is null").drop("error"), rows.where("error is not null").select("path", "error")
+    parts = {"rows": (good.join(failed, "path", "left_anti"), ["path"]), "files": (due.select("path", "size"), ["path"]), "errors": (bad, ["path"])}
+    again = cut(due.select("path"))
+    for name, (df, keys) in parts.items():
+        if name in m["tables"] and name != "errors":
+            store.without(m, name, again)
+        store.add(m, name, keys, ddl(df), store.part(df, keys))
+    store.commit(base, m)
+    lost = failed.withColumn("lost", F.lit(True))
+    return told.join(lost, "path", "left").select("path", F.when(F.col("lost"), "failed").otherwise(F.col("action")).alias("action"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from grafita.plans import q_evidence, q_extract, q_files, q_match, q_more, q_scores
+from grafita.plans import q_evidence, q_extract, q_files, q_history, q_match, q_more, q_scores
 
-_MODULES = (q_match, q_more, q_extract, q_evidence, q_scores, q_files)
+_MODULES = (q_match, q_more, q_extract, q_evidence, q_scores, q_files, q_history)
 
 
 def queries() -> dict:

@@ -76,14 +76,6 @@ def g08(s, d):
     return a.select(F.get_json_object("id", "$.conv_id").cast("long").alias("conv_id"), F.get_json_object("id", "$.turn").cast("long").alias("turn"), "answer", "ok")
 
 
-@reg("a16_a17", """with h as (select event_id as id, event_type from events where event_id % 2 = 0), b as (select event_id, event_type, row_number() over (order by event_id) as n from events where event_id % 2 = 1), a as (select id, event_type from h union all select (select max(id) from h) + n, event_type from b) select id, event_type from a where id % 5 <> 0""")
-def a16_a17(s, d):
-    e = table(s, d, "events").select(F.col("event_id").alias("id"), "event_type")
-    stored = e.where("id % 2 = 0")
-    all_ = ed.append_history(stored, e.where("id % 2 = 1").withColumnRenamed("id", "at"), ["at"]).select("id", "event_type")
-    return ed.delete_history(all_, {}, all_.where("id % 5 = 0").select("id"))[0]
-
-
 @reg("k02", "select event_id as id, case when event_type in ('click', 'view') then 'graphrag' else 'rag' end as type, '' as response, coalesce(nullif(event_type, 'error'), 'otro') as chunk_text, case when user_id % 2 = 0 then user_id else 0 end as page from events")
 def k02(s, d):
     t = F.col("event_type")

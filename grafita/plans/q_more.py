@@ -593,8 +593,8 @@ def g05(s, d):
     return tb.pack_context(chunks(s, d), "doc_id", "pos", "texto", 2000).select("doc_id", "pos", "used")
 
 
-@reg("k01", "with t as (select *, lead(role) over w as nr, lead(text) over w as nt from conversations window w as (partition by conv_id order by turn)) select conv_id, turn, text as query_text, case when nr = 'assistant' then nt end as response from t where role = 'user'")
-def k01(s, d):
+@reg("k01_turns", "with t as (select *, lead(role) over w as nr, lead(text) over w as nt from conversations window w as (partition by conv_id order by turn)) select conv_id, turn, text as query_text, case when nr = 'assistant' then nt end as response from t where role = 'user'")
+def k01_turns(s, d):
     return tb.turns(table(s, d, "conversations"))
 
 
