@@ -1,14 +1,16 @@
 """Main text of web pages by a recurrent block labeller.
 
-A page becomes its sequence of leaf blocks, each a vector: hashed tags, classes and ids
-of its path, hashed words, and a few plain figures.  A bidirectional LSTM, in numpy,
+A page becomes its sequence of leaf blocks, each a vector: the tags of its path, the parts
+of its classes and ids that training has met (all others are one and the same "unknown
+name"), hashed words, and a few plain figures.  A bidirectional LSTM, in numpy,
 reads the whole sequence in both directions and labels every block as text or not, so a
 block is judged in the light of the whole page.
 
 No table has labelled blocks, so the labeller is trained on pages it is given (a bounded
 sample) with noisy labels from their tags, and on copies of them into which menus,
-notices, forms, comments, headers and sidebars of many namings have been put.  Path
-features are dropped at random in training, so that words and neighbours count too.
+notices, forms, comments, headers and sidebars of many namings have been put.  In most
+copies the names of text, of furniture or of both are taken away or made unknown, so that
+a name nobody knows says nothing: tags, links, words, place and neighbours decide.
 """
 
 from __future__ import annotations
@@ -44,8 +46,12 @@ _ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:([\"']
 _UNQUOTED = re.compile(r"[^\s>]*+")
 _SAID = {"class", "id", "role"}
 _SPACE = re.compile(r"\s+")
-_PATH, _WORD = 256, 64
-_PLAIN = 6
+#: Places of a vector: one for each tag and one for others; one for each known part of a name, one for others, and spare ones; hashed words.
+_TAGS = {t: i for i, t in enumerate(sorted(_HIDDEN | _INLINE | _ENDS_P | _BOILER | {"html", "body", "figure", "figcaption", "blockquote", "pre", "details", "summary", "dl", "tbody", "thead", "tfoot", "hr", "center", "address", "fieldset", "caption"}))}
+_NAMED = 256
+_PATH, _WORD = len(_TAGS) + 1 + _NAMED + 1, 64
+_UNKNOWN = "class=\N{REPLACEMENT CHARACTER}"
+_PLAIN = 7
 _AT_ONCE = 2048
 WIDTH = _PATH + _WORD + _PLAIN
 
@@ -213,43 +219,63 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def _slot(text: str, size: int) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % size
+def _parts(name: str) -> list[str]:
+    """The words of a class, id or role."""
+    return re.findall(r"[a-z]+", name.partition("=")[2])
 
 
-_known: dict[str, int] = {}
+def known_names(pages: list[list[Block]]) -> dict[str, int]:
+    """The parts of names that most pages have, each with a place of its own."""
+    seen: dict[str, int] = {}
+    for blocks in pages:
+        for part in {p for b in blocks for n in b.path if "=" in n for p in _parts(n)}:
+            seen[part] = seen.get(part, 0) + 1
+    return {p: i for i, p in enumerate(sorted(seen, key=lambda p: (-seen[p], p))[:_NAMED])}
 
 
-def features(blocks: list[Block], start: int = 0, total: int | None = None) -> np.ndarray:
-    """(blocks, WIDTH) vectors; blocks are those from ``start`` on of a page that has ``total``."""
+def framed(blocks: list[Block]) -> bool:
+    """Whether a page says itself, by tags, where its text stands."""
+    return any("article" in b.path or "main" in b.path for b in blocks)
+
+
+def features(blocks: list[Block], names: dict[str, int], start: int = 0, total: int | None = None, frame: bool | None = None) -> np.ndarray:
+    """(blocks, WIDTH) vectors; blocks are those from ``start`` on of a page that has ``total``; frame: ``framed`` of the page.
+
+    However many elements of a tag or name a block lies in, they count as the nearest.
+    """
     total = len(blocks) if total is None else total
+    frame = framed(blocks) if frame is None else frame
     x = np.zeros((len(blocks), WIDTH), np.float32)
+    first, other = len(_TAGS) + 1, len(_TAGS) + 1 + _NAMED
     for i, b in enumerate(blocks):
-        for depth, name in enumerate(reversed(b.path)):
-            if name not in _known:
-                if len(_known) > 50_000:
-                    _known.clear()
-                _known[name] = _slot(name, _PATH)
-            x[i, _known[name]] += 1.0 / (1 + 0.15 * depth)
-            for part in re.findall(r"[a-z]+", name.partition("=")[2]):
-                x[i, _slot("~" + part, _PATH)] += 1.0
+        depth = 0
+        for name in reversed(b.path):
+            near = 1.0 / (1 + 0.1 * depth)
+            if "=" not in name:
+                at = _TAGS.get(name, len(_TAGS))
+                x[i, at] = max(x[i, at], near)
+                depth += 1
+            else:
+                for at in {first + names[p] if p in names else other for p in _parts(name)} or {other}:
+                    x[i, at] = max(x[i, at], near)
         words = b.text.lower().encode("utf-8", "surrogatepass").split()
         slots = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % _WORD
         x[i, _PATH : _PATH + _WORD] = np.bincount(slots, minlength=_WORD) / max(1, len(words))
         n = len(b.text)
-        x[i, _PATH + _WORD :] = (np.log1p(n) / 8, b.linked / max(1, n), (start + i) / total, b.text.count(",") * 10 / max(10, n), b.text[-1] in ".!?", min(1.0, n / 200))
+        x[i, _PATH + _WORD :] = (np.log1p(n) / 8, b.linked / max(1, n), (start + i) / total, b.text.count(",") * 10 / max(10, n), b.text[-1] in ".!?", min(1.0, n / 200), frame and "article" not in b.path and "main" not in b.path)
     return x
 
 
 @dataclass
 class Labeller:
-    """Weights of the two LSTMs and the output layer."""
+    """Weights of the two LSTMs and the output layer, and the parts of names it knows."""
 
     w: dict[str, np.ndarray]
     hidden: int
+    names: dict[str, int]
 
     @staticmethod
-    def fresh(hidden: int, rng: np.random.Generator) -> Labeller:
+    def fresh(hidden: int, rng: np.random.Generator, names: dict[str, int]) -> Labeller:
         w = {}
         for d in "fb":
             w["x" + d] = rng.standard_normal((WIDTH, 4 * hidden)).astype(np.float32) * 0.1
@@ -258,7 +284,7 @@ class Labeller:
             w["c" + d][hidden : 2 * hidden] = 1
             w["o" + d] = rng.standard_normal(hidden).astype(np.float32) * 0.2
         w["o"] = np.zeros(1, np.float32)
-        return Labeller(w, hidden)
+        return Labeller(w, hidden, names)
 
     def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
         """Logits (pages, blocks) of padded pages x (pages, blocks, WIDTH)."""
@@ -340,10 +366,10 @@ class Labeller:
             given = {d: np.zeros((len(rows), steps, 4 * self.hidden), np.float32) for d in "fb"}
             mask = np.zeros((len(rows), steps), bool)
             for k, i in enumerate(rows):
-                size = len(pages[i])
+                size, frame = len(pages[i]), framed(pages[i])
                 mask[k, :size] = True
                 for a in range(0, size, _AT_ONCE):
-                    x = features(pages[i][a : a + _AT_ONCE], a, size)
+                    x = features(pages[i][a : a + _AT_ONCE], self.names, a, size, frame)
                     for d in "fb":
                         given[d][k, a : a + len(x)] = self.gates(x, d)
             logits, _ = self.swept(given, mask)
@@ -371,16 +397,31 @@ def noisy_label(block: Block) -> bool:
     return len(block.text) >= 80 and block.linked < 0.3 * len(block.text)
 
 
+#: How the names of a copy's text and furniture are treated: kept, made unknown or taken away.
+_NAMINGS = [("kept", "kept"), ("unknown", "unknown"), ("unknown", "unknown"), ("none", "unknown"), ("unknown", "kept"), ("none", "none"), ("none", "none"), ("none", "none"), ("unknown", "none")]
+
+
+def _renamed(path: tuple[str, ...], how: str) -> tuple[str, ...]:
+    if how == "kept":
+        return path
+    return tuple(_UNKNOWN if "=" in n else n for n in path if how == "unknown" or "=" not in n)
+
+
 def _disturbed(blocks: list[Block], labels: list[bool], rng: random.Random) -> tuple[list[Block], list[bool]]:
-    """A copy of a page with other furniture around and inside its text."""
+    """A copy of a page with other furniture around and inside its text, and other names or none."""
     words = " ".join(b.text for b in blocks).split() or ["text"]
-    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    top = ("html", "body")
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n)) + rng.choice(["", "", ".", "!"])
+    of_text, of_rest = rng.choice(_NAMINGS)
+    nested = lambda: ("div", "class=container") * rng.choice([0, 0, 0, 1, 1, 2, 4])
+    top = ("html", "body", *nested())
+    wrap = rng.choice([("article",), ("main",), ("div", "class=content"), ("div", "class=content"), ("div", "id=main"), ("div", "class=post"), ("main", "article"), ("section", "class=entry-content"), ("div", "class=page", "article"), ("div", "class=richtext"), ("div",), ("div",), ("section",), ("table", "tr", "td"), ()])
+    # where neither names nor tags tell furniture from text, only what is linked, or stands in a tag of its own, can be learnt
+    told = of_rest == "kept" or "article" in wrap or "main" in wrap
 
     def some(kind: str) -> list[Block]:
         if kind == "menu":
-            path = (*top, *rng.choice([("nav",), ("div", "class=menu"), ("div", "id=navigation"), ("header", "class=site-header"), ("ul", "class=nav-links")]), "ul", "li", "a")
-            return [Block(t, path, len(t)) for t in (say(rng.randint(1, 3)) for _ in range(rng.randint(2, 8)))]
+            path = (*top, *rng.choice([("nav",), ("div", "class=menu"), ("div", "id=navigation"), ("header", "class=site-header"), ("ul", "class=nav-links"), ("table", "tr", "td"), ()]), *rng.choice([("ul", "li"), ("ul", "li"), (), ("p",), ("div",)]))  # the link itself has ended where its block does
+            return [Block(t, _renamed(path, of_rest), len(t)) for t in (say(rng.randint(1, 3)) for _ in range(rng.randint(2, 8)))]
         names = {
             "header": [("header",), ("div", "id=header"), ("div", "class=masthead"), ("header", "class=banner")],
             "footer": [("footer",), ("div", "class=footer"), ("div", "id=foot"), ("div", "class=copyright")],
@@ -390,37 +431,39 @@ def _disturbed(blocks: list[Block], labels: list[bool], rng: random.Random) -> t
             "form": [("form",), ("form", "class=subscribe"), ("div", "class=newsletter"), ("form", "id=search")],
             "comment": [("section", "class=comments"), ("div", "id=comments"), ("ol", "class=comment-list"), ("div", "class=comment"), ("div", "id=disqus_thread")],
         }[kind]
-        path = (*top, *rng.choice(names), *rng.choice([(), ("p",), ("div",), ("p", "span"), ("div", "p")]))
-        return [Block(say(rng.randint(2, 60)), path, 0) for _ in range(rng.randint(1, 5))]
+        own = [n for n in names if n[0] not in ("div", "section", "ol")]
+        if not told and not own:
+            return []
+        path = (*top, *rng.choice(names if told else own), *rng.choice([(), ("p",), ("div",), ("p", "span"), ("div", "p")]))
+        return [Block(say(rng.randint(2, 60)), _renamed(path, of_rest), 0) for _ in range(rng.randint(1, 5))]
 
-    wrap = rng.choice([("article",), ("main",), ("div", "class=content"), ("div", "id=main"), ("div", "class=post"), ("main", "article"), ("section", "class=entry-content")])
     body = []
+    deep = nested()
     for b in (b for b, t in zip(blocks, labels, strict=True) if t):
         tail = rng.choice([("h1",), ("h2",)]) if len(b.text) < 90 and rng.random() < 0.5 else rng.choice([("p",), ("p",), ("p",), ("li",), ("blockquote", "p"), ("div",), ("td",)])
-        body.append((Block(b.text, (*top, *wrap, *tail), 0), True))
-    for _ in range(rng.randint(0, 2)):
+        body.append((Block(b.text, _renamed((*top, *wrap, *deep, *tail), of_text), 0), True))
+    for _ in range(rng.randint(0, 2) if of_rest == "kept" else 0):
         at = rng.randint(0, len(body))
         inside = rng.choice(["advert", "notice", "form", "side"])
-        body[at:at] = [(Block(b.text, (*top, *wrap, *b.path[2:]), 0), False) for b in some(inside)]
+        body[at:at] = [(Block(b.text, _renamed((*top, *wrap), of_text) + b.path[len(top) :], 0), False) for b in some(inside)]
     before = [(b, False) for k in rng.sample(["menu", "header", "notice", "advert", "side"], rng.randint(0, 4)) for b in some(k)]
-    after = [(b, False) for k in rng.sample(["comment", "side", "form", "advert", "footer", "notice"], rng.randint(0, 4)) for b in some(k)]
+    after = [(b, False) for k in rng.sample(["comment", "side", "form", "advert", "footer", "notice", "menu"], rng.randint(0, 4)) for b in some(k)]
     both = before + body + after
     return [b for b, _ in both], [t for _, t in both]
 
 
-def fit(pages: list[str], hidden: int = 12, rounds: int = 160, seed: int = 4, longest: int = 60) -> Labeller:
-    """Trains a labeller on sample pages.  Training reads at most ``longest`` blocks in a row of a page."""
+def fit(pages: list[str], hidden: int = 16, rounds: int = 500, copies: int = 1_000, seed: int = 4, longest: int = 60) -> Labeller:
+    """Trains a labeller on sample pages and about ``copies`` disturbed ones.  Training reads at most ``longest`` blocks in a row of a page."""
     rng, draw = np.random.default_rng(seed), random.Random(seed)
-    model = Labeller.fresh(hidden, rng)
     base = [(b, [noisy_label(x) for x in b]) for b in (blocks_of(p) for p in pages) if b]
     if not base:
         base = [([Block("text of a page, with words.", ("html", "body", "article", "p"), 0)], [True])]
+    all_ = [p for p in base] + [p for blocks, labels in base for _ in range(-(-copies // len(base))) if (p := _disturbed(blocks, labels, draw))[0]]
+    model = Labeller.fresh(hidden, rng, known_names([b for b, _ in all_]))
     sets = []
-    for blocks, labels in base:
-        for b, y in ((blocks, labels), _disturbed(blocks, labels, draw)):
-            at = draw.randint(0, max(0, len(b) - longest)) if draw.random() < 0.5 else 0
-            if b:
-                sets.append((features(b)[at : at + longest], np.array(y[at : at + longest])))
+    for b, y in all_:
+        at = draw.randint(0, max(0, len(b) - longest)) if draw.random() < 0.5 else 0
+        sets.append((features(b[at : at + longest], model.names, at, len(b), framed(b)), np.array(y[at : at + longest])))
     first = {k: np.zeros_like(v) for k, v in model.w.items()}
     second = {k: np.zeros_like(v) for k, v in model.w.items()}
     for t in range(1, rounds + 1):
@@ -429,7 +472,10 @@ def fit(pages: list[str], hidden: int = 12, rounds: int = 160, seed: int = 4, lo
         y = np.zeros(mask.shape, bool)
         for k, (_, lab) in enumerate(chosen):
             y[k, : len(lab)] = lab
-        x[..., :_PATH] *= rng.random((*mask.shape, 1)) > 0.05
+        # words of a sample say little about other pages': on most copies they are other words
+        for i in np.flatnonzero(rng.random(len(x)) < 0.7):
+            x[i, :, _PATH : _PATH + _WORD] = x[i][:, _PATH + rng.permutation(_WORD)]
+        x[..., len(_TAGS) + 1 : _PATH] *= rng.random((len(x), 1, 1)) > 0.05  # now and then a page without names
         _, grad = model.gradients(x, mask, y)
         size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         rate = 0.02 * min(1, 2 * (1 - t / (rounds + 1)))
