@@ -85,7 +85,14 @@ def _head(data: bytes, start: int = 0, stop: int | None = None) -> tuple[dict[st
         if not colon:
             return None
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    return (fields, end + 4) if fields.get("content-length", "").isdigit() else None
+    # a length of more than 18 digits is no length: what follows would lie beyond any file
+    return (fields, end + 4) if re.fullmatch("[0-9]{1,18}", fields.get("content-length", "")) else None
+
+
+def _row_number(name: str) -> int | None:
+    """The 64-bit number of a record id or reference as this writer gives them, else None."""
+    m = re.fullmatch(r"<urn:row:(-?[0-9]{1,19})>", name)
+    return n if m and -(2**63) <= (n := int(m[1])) < 2**63 else None
 
 
 _CANDIDATE = "file string, block long, at long, next long, exit long, type string, id long, uri string, refers_to long, digest string, length long, sha1 string, payload binary, total long"
@@ -125,15 +132,14 @@ def _candidates(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
             # the last record of a file may end without the blank lines
             if whole and data[body + length : body + length + 4] not in (_END, _END[:2], b""):
                 continue
-            number = lambda k: int(m[1]) if (m := re.fullmatch(r"<urn:row:(-?\d+)>", fields.get(k, ""))) else None  # noqa: B023, E731
             at = base[i] - len(MAGIC)
             place[at] = len(rows)
             hashed += length if whole else 0
             known = whole and (hashed <= most or length < 1 << 10)
             payload = view[body : body + length] if known else b""
             rows.append({
-                "file": file, "block": block, "at": at, "next": body + length + 4, "exit": None, "type": fields.get("warc-type"), "id": number("warc-record-id"),
-                "uri": fields.get("warc-target-uri"), "refers_to": number("warc-refers-to"), "digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+                "file": file, "block": block, "at": at, "next": body + length + 4, "exit": None, "type": fields.get("warc-type"), "id": _row_number(fields.get("warc-record-id", "")),
+                "uri": fields.get("warc-target-uri"), "refers_to": _row_number(fields.get("warc-refers-to", "")), "digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
                 "length": length, "sha1": payload_digest(payload) if known else None, "payload": bytes(payload) if payloads and known else None, "total": None,
             })
         end = len(data)
