@@ -2,17 +2,81 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Callable, Iterable
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with accents and the letters without; n and a with a tilde stay.
-_ACCENTED = "áàâäéèêëíìîïóòôöúùûüçýÿ"
-_PLAIN = "aaaaeeeeiiiioooouuuucyy"
+_TILDE = "\u0303"
+#: Code points that may have a decomposition or be a mark; planes 4 to 13 have none.
+_RANGES = (range(0x80, 0xD800), range(0xE000, 0x32400), range(0xE0000, 0xE0200))
+_HANGUL = range(0xAC00, 0xD7A4)
+
+
+def _without_marks(s: str, form: str, mark: Callable[[str], bool]) -> str:
+    """s decomposed, without its marks other than tildes, composed again."""
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize(form, s) if c == _TILDE or not mark(c)))
+
+
+@lru_cache
+def _folding(form: str) -> tuple[str, str, dict[str, str], dict[str, str]]:
+    """What one character becomes, from the Unicode data (NFD: marks of category Mn go, NFKD: all that combine).
+
+    Characters that become one, then those that go, as a translation; those that become
+    several; and pairs of what stays that compose to one, such as n and a tilde.
+    """
+    mark = (lambda c: unicodedata.category(c) == "Mn") if form == "NFD" else (lambda c: unicodedata.combining(c) > 0)
+    one, gone, several, pairs = {}, [], {}, {}
+    for i in (i for r in _RANGES for i in r if i not in _HANGUL):
+        c = chr(i)
+        parts = unicodedata.decomposition(c)
+        if not parts and not unicodedata.combining(c) and unicodedata.category(c) != "Mn":
+            continue
+        to = _without_marks(c, form, mark)
+        if to == "":
+            gone.append(c)
+        elif len(to) == 1 and to != c:
+            one[c] = to
+        elif to != c:
+            several[c] = to
+        pair = unicodedata.normalize("NFD", c) if parts and not parts.startswith("<") else ""
+        if len(pair) == 2 and to == c and not (mark(pair[1]) and pair[1] != _TILDE):
+            pairs[pair] = c
+    pairs |= {unicodedata.normalize("NFD", x): x for x in map(str.upper, list(pairs.values())) if len(unicodedata.normalize("NFD", x)) == 2}
+    return "".join([*one, *gone]), "".join(one.values()), several, pairs
+
+
+def _any_of(chars: Iterable[str]) -> str:
+    """A pattern of any of the characters."""
+    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in sorted(set(chars))) + "]"
+
+
+def _stripped(s: Column, letters: tuple[str, str, dict[str, str]], pairs: dict[str, str]) -> Column:
+    """s without marks but tildes, composed; equal to decomposing, dropping marks and composing the whole text.
+
+    Nearly all characters are translated one for one.  Texts that hold one that becomes
+    several, or the latter half of a pair that composes, take a slower way.  Jamo that stand
+    apart are not composed to Hangul.
+    """
+    source, target, several = letters
+    plain = F.translate(s, source, target)
+    if several:
+        table = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+        each = F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.translate(c, source, target)))
+        plain = F.when(s.rlike(_any_of(several)), F.array_join(each, "")).otherwise(plain)
+    composed = plain
+    for pair, to in pairs.items():
+        composed = F.replace(composed, F.lit(pair), F.lit(to))
+    return F.when(s.rlike(_any_of(p[1] for p in pairs)), composed).otherwise(plain)
 
 
 def fold(s: Column) -> Column:
-    """Lower case, accents off, tildes kept."""
-    return F.translate(F.lower(s), _ACCENTED, _PLAIN)
+    """Lower case, marks off, tildes kept: n with a tilde stays one letter, composed or not."""
+    *letters, pairs = _folding("NFD")
+    return _stripped(F.lower(s), tuple(letters), pairs)
 
 
 def taxonomy_id(s: Column) -> Column:
@@ -20,9 +84,23 @@ def taxonomy_id(s: Column) -> Column:
     return F.translate(F.replace(fold(s), F.lit(","), F.lit("")), " /", "__")
 
 
+@lru_cache
+def _id_letters() -> tuple[str, str, dict[str, str]]:
+    """The compatible folding, of whose longer results only a-z0-9 matters."""
+    source, target, several, _ = _folding("NFKD")
+    reduced = {c: re.sub("[^a-z0-9]+", "_", t) for c, t in several.items()}
+    single = [c for c, t in reduced.items() if t == "_"]
+    one = source[: len(target)] + "".join(single)
+    return one + source[len(target) :], target + "_" * len(single), {c: t for c, t in reduced.items() if t != "_"}
+
+
 def researcher_id(country: Column, kind: Column, number: Column) -> Column:
-    """country_kind_number of a-z0-9, everything else one underscore, none at the ends."""
-    flat = F.translate(F.lower(F.concat_ws("_", country, kind, number)), _ACCENTED + "ñãõ", _PLAIN + "nao")
+    """country_kind_number of a-z0-9, all else one underscore, none at the ends.
+
+    Compatible forms count as what they stand for, marks go, but a letter with a tilde is
+    none of a-z, so it becomes an underscore.
+    """
+    flat = _stripped(F.lower(F.concat_ws("_", country, kind, number)), _id_letters(), _folding("NFKD")[3])
     return F.regexp_replace(F.regexp_replace(flat, "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 

@@ -64,14 +64,49 @@ def row_chunks(rows: DataFrame, columns: Sequence[str], file: str, row_id: str)
     return t.withColumn("tokens", F.when(F.trim("text") == "", 0).otherwise(F.size(F.split(F.trim("text"), r"\s+"))))
 
 
-def researchers(rows: DataFrame) -> DataFrame:
-    """The first valid row of each researcher id, and error rows (D05).  Columns: file, row_number, pais, tipo, documento, nombres, apellidos, sexo."""
-    r = rows.withColumns({c: tx.cell(F.col(c)) for c in ("pais", "tipo", "documento", "nombres", "apellidos")})
+def researchers(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Researchers by the first good row of each id, and error rows.
+
+    rows: file, row_number, pais, tipo, documento, nombres, apellidos, sexo.  A row without
+    pais, tipo or documento is MissingResearcherID.  One without a name is
+    MissingResearcherName, unless its id has had a good row before: an id already seen is
+    not looked at again.  Errors: file, row_number, type, id.
+    """
+    cells = ("pais", "tipo", "documento", "nombres", "apellidos", "sexo")
+    r = rows.withColumns({c: tx.cell(F.col(c)) for c in cells})
     missing = F.col("pais").isNull() | F.col("tipo").isNull() | F.col("documento").isNull()
-    name = tx.display_name(F.col("nombres"), F.col("apellidos"))
-    r = r.withColumns({"error": F.when(missing, "missing_document").when(name == "", "missing_name"), "id": F.when(~missing, tx.researcher_id(F.col("pais"), F.col("tipo"), F.col("documento"))), "display": name})
-    good = first_by(r.where("error is null"), ["id"], ["file", "row_number"])
-    return good.select("id", "display", tx.fold(F.col("display")).alias("name"))
+    r = r.withColumns({"id": F.when(~missing, tx.researcher_id(F.col("pais"), F.col("tipo"), F.col("documento"))), "display": tx.display_name(F.col("nombres"), F.col("apellidos"))})
+    r = r.withColumn("__at", F.struct("file", "row_number"))
+    whole = F.struct("file", "row_number", "display", "documento", F.col("tipo").alias("tipo_documento"), F.col("pais").alias("pais_documento"), F.coalesce("sexo", F.lit("")).alias("sexo"))
+    good = r.where("id is not null and display <> ''").groupBy("id").agg(F.min_by(whole, "__at").alias("r")).select("id", "r.*").withColumn("name", tx.fold(F.col("display")))
+    firsts = good.select(F.col("id").alias("__id"), F.struct("file", "row_number").alias("__first"))
+    nameless = r.where("id is not null and display = ''").join(firsts, F.col("id") == F.col("__id"), "left").where("__first is null or __at < __first")
+    error = lambda df, kind: df.select("file", "row_number", F.lit(kind).alias("type"), "id")
+    return good, error(r.where("id is null"), "MissingResearcherID").unionByName(error(nameless, "MissingResearcherName"))
+
+
+def extract_chunks(chunks: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunk nodes, their edges, and errors, from the chunks of files.
+
+    chunks: file, source, pos, chunk_id, text, pages and bad, an error type where the entry is
+    no chunk (null if it is one).  docs: doc and basename.  A file whose source's name,
+    without folders and ending, is no basename gives one MissingDocumentForChunks and
+    nothing else; a bad entry ends its file after the rows before it.  Nodes: id, texto,
+    paginas; errors: file, pos, type.
+    """
+    stem = F.regexp_replace(F.element_at(F.split(F.translate("source", "\\", "/"), "/"), -1), r"(?<=.)\.[^.]+$", "")
+    known = docs.groupBy(F.col("basename").alias("__stem")).agg(F.min("doc").alias("doc"))
+    c = chunks.withColumn("__stem", stem).join(known, "__stem", "left").drop("__stem")
+    lost = c.where("doc is null").select("file", F.lit(None).cast("long").alias("pos"), F.lit("MissingDocumentForChunks").alias("type")).distinct()
+    order = Window.partitionBy("file").orderBy("pos")
+    bad = F.min(F.when(F.col("bad").isNotNull(), F.struct("pos", "bad"))).over(Window.partitionBy("file"))
+    c = c.where("doc is not null").withColumns({"__stop": bad, "prev": F.lag("chunk_id").over(order)})
+    errors = c.where("pos = __stop.pos").select("file", F.col("pos").cast("long").alias("pos"), F.col("bad").alias("type"))
+    kept = c.where("__stop is null or pos < __stop.pos")
+    edge = lambda df, kind, a, b: df.select(F.lit(kind).alias("type"), F.col(a).alias("source_id"), F.col(b).alias("target_id"))
+    edges = edge(kept.where("prev is null"), "PRIMER_CHUNK", "doc", "chunk_id").unionByName(edge(kept.where("prev is not null"), "SIGUIENTE_CHUNK", "prev", "chunk_id"))
+    nodes = kept.select(F.col("chunk_id").alias("id"), F.coalesce("text", F.lit("")).alias("texto"), F.col("pages").alias("paginas"))
+    return nodes, edges.unionByName(edge(kept, "DE_DOCUMENTO", "chunk_id", "doc")), lost.unionByName(errors)
 
 
 def chunk_edges(chunks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grafita.operators import evaluate as ev
+from grafita.operators import scorers as sr
 from grafita.operators import scoring as sc
 from grafita.plans.derived import graph, table
 from grafita.plans.registrar import registrar
@@ -140,3 +141,37 @@ def j15(s, d):
 def j17_j18(s, d):
     r = table(s, d, "events").groupBy((F.col("user_id") % 5).alias("combo")).agg(F.round(F.avg("value"), 2).alias("q")).withColumn("u", F.col("q") / 1000)
     return ev.best_combo(r, "combo", "u").select("combo", F.round(F.col("u") * 1000, 2).alias("q"), "floor")
+
+
+E01 = """with t as (select doc_id, text, lower(text) as low from documents where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+z as (select doc_id, contains(text, '@') as bad, [struct_pack(topic := 'artikel', z := (length(low) - length(replace(low, ' der ', ''))) / 5), struct_pack(topic := 'article', z := (length(low) - length(replace(low, ' the ', ''))) / 5),
+  struct_pack(topic := 'artículo', z := (length(low) - length(replace(low, ' los ', ''))) / 5), struct_pack(topic := 'none', z := 1.0)] as zs from t),
+e as (select doc_id, unnest(zs) as s from z where not bad), p as (select doc_id, s.topic as topic, s.z as logit, exp(s.z - max(s.z) over (partition by doc_id)) as x from e),
+q as (select doc_id, topic, logit, x / sum(x) over (partition by doc_id) as prob from p)
+select doc_id, topic, round(prob, 6) as prob, logit::double as logit, row_number() over (partition by doc_id order by prob desc, topic) as rank, null as error from q where prob >= 0.08
+union all select doc_id, null, null, null, null, 'BertExtractionError: RuntimeError: can''t take @' from z where bad"""
+
+
+@reg("e01", E01)
+def e01(s, d):
+    """Documents scored by their articles; one with an @ makes its batch raise, and only its own row fails."""
+    words = {"artikel": [" der "], "article": [" the "], "artículo": [" los "]}
+
+    def factory():
+        from math import exp
+
+        count = sr.keyword_scorer(words, "@")()
+
+        def score(batch):
+            out = []
+            for scores in count(batch):
+                z = {t: v for t, _, v in scores} | {"none": 1.0}
+                top = max(z.values())
+                total = sum(exp(v - top) for v in z.values())
+                out.append([(t, exp(v - top) / total, v) for t, v in z.items()])
+            return out
+
+        return score
+
+    c = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return sr.score_chunks(c, "articles", factory).select(F.col("chunk_id").alias("doc_id"), "topic", F.round("prob", 6).alias("prob"), "logit", F.col("rank").cast("long").alias("rank"), "error")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grafita.functions import text as tx
+from grafita.sources.shared import cut
 
 #: Extensions of a corpus.
 EXTENSIONS = ("pdf", "docx", "pptx", "xlsx", "html", "md", "txt")
@@ -73,15 +74,68 @@ def prepare_corpus(files: DataFrame) -> DataFrame:
     return files.groupBy(root.alias("root")).agg(F.count_if(tx.valid_project_path(F.col("path"))).alias("processed"), F.count_if(~tx.valid_project_path(F.col("path"))).alias("ignored"))
 
 
+#: A field as CSV has it: quoted, with what follows its end, or bare, or empty; what is taken is never given back.
+_FIELD = r'(?:"(?:[^"]|"")*+"[^,]*+|[^",][^,]*+)?+'
+_OPENS = rf'(?:{_FIELD},)*+"(?:[^"]|"")*+$'
+
+
+def logical_lines(lines: DataFrame) -> DataFrame:
+    """file, row (from 1) and line: lines joined where a quoted field goes on in the next.
+
+    lines: file, block (a split's place in its file), seq (order within the split), line.
+    Whether a line begins within quotes depends on all lines before it, but each line is a
+    map of that one bit: it keeps it, turns it, or sets it.  Maps are followed within a
+    split from both possible bits, then over a file's splits, so a long file is many tasks.
+    Blank rows are left out and not counted.
+    """
+    opens, closes = F.col("line").rlike("^" + _OPENS), F.col("line").rlike(r'^(?:[^"]|"")*+"[^,]*+(?:$|,(?!' + _OPENS + "))")
+    maps = lines.withColumns({"__0": opens, "__1": ~closes})  # inside after the line, if it begins outside or inside
+    maps = maps.withColumns({"__set": F.when(F.col("__0") == F.col("__1"), F.col("__0")), "__turn": (F.col("__0") & ~F.col("__1")).cast("long")})
+
+    def followed(t: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+        """What the lines (or splits) before each make of the bit: __s, if they set it, and __t, how often they turn it."""
+        before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        t = t.withColumn("__u", F.coalesce(F.sum("__turn").over(before), F.lit(0)))
+        last = F.last(F.when(F.col("__set").isNotNull(), F.struct(F.col("__set").alias("v"), (F.col("__u") + F.col("__turn")).alias("u"))), ignorenulls=True).over(before)
+        t = t.withColumn("__l", last)
+        turned = F.col("__u") - F.coalesce(F.col("__l.u"), F.lit(0))
+        return t.withColumns({"__s": F.col("__l.v"), "__t": turned}).drop("__u", "__l")
+
+    odd = lambda c: F.col(c) % 2 == 1
+    inner = followed(maps, ["file", "block"], "seq")
+    after_set, after_turn = F.coalesce("__set", F.col("__s")), F.when(F.col("__set").isNotNull(), 0).otherwise(F.col("__t") + F.col("__turn"))
+    whole = inner.groupBy("file", "block").agg(F.max_by(F.struct(after_set.alias("s"), after_turn.alias("t")), "seq").alias("e"))
+    whole = whole.select("file", "block", F.when(F.col("e.s").isNotNull(), F.col("e.s") != odd("e.t")).alias("__set"), F.when(F.col("e.s").isNull(), F.col("e.t") % 2).otherwise(0).cast("long").alias("__turn"))
+    first = followed(whole, ["file"], "block").select(F.col("file").alias("__f"), F.col("block").alias("__b"), (F.coalesce("__s", F.lit(False)) != odd("__t")).alias("__in"))  # a row a split
+    within = F.coalesce("__s", F.col("__in")) != odd("__t")
+    t = inner.join(first, (F.col("file") == F.col("__f")) & (F.col("block") == F.col("__b"))).withColumn("__new", (~within).cast("long"))
+    t = t.withColumn("__n", F.sum("__new").over(Window.partitionBy("file", "block").orderBy("seq")))
+    rows = t.groupBy("file", "block").agg(F.sum("__new").alias("__c"))
+    rows = rows.select(F.col("file").alias("__g"), F.col("block").alias("__h"), F.coalesce(F.sum("__c").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    t = t.join(rows, (F.col("file") == F.col("__g")) & (F.col("block") == F.col("__h")))
+    parts = F.array_sort(F.collect_list(F.struct("block", "seq", "line")))
+    joined = t.groupBy("file", (F.col("__n") + F.col("__o")).alias("at")).agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("line"))
+    return joined.withColumn("line", F.regexp_replace("line", "\r$", "")).where("line <> ''")
+
+
 def read_project_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Rows of CSV files with a header, all strings, with file and row_number from 2.
 
-    Rows may span lines, so a file is read by one task; numbers come from the order in it.
+    Rows may span lines.  Files are read split by split; rows are numbered range by range.
+    Columns go by their places, as in a file whose header names them in this order.
     """
+    t = spark.read.option("lineSep", "\n").text(path)
+    t = t.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
+    rows = logical_lines(t)
+    # blank rows are gone: what is left is numbered anew, file by file
+    order = ["file", "at"]
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()}))
+    n = placed.groupBy("file", "__p").agg(F.count("*").alias("__c"), F.min("__m").alias("__first"))
+    n = n.select(F.col("file").alias("__f"), F.col("__p").alias("__q"), "__first", F.coalesce(F.sum("__c").over(Window.partitionBy("file").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    t = placed.join(n, (F.col("file") == F.col("__f")) & (F.col("__p") == F.col("__q"))).withColumn("row_number", (F.col("__m") - F.col("__first") + F.col("__o") + 1).cast("int"))
     schema = ", ".join(f"`{c}` string" for c in columns)
-    t = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', schema=schema, encoding="UTF-8")
-    t = t.withColumns({"file": F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), "__m": F.monotonically_increasing_id()})
-    return t.withColumn("row_number", F.row_number().over(Window.partitionBy("file").orderBy("__m")) + 1).drop("__m")
+    got = F.from_csv("line", F.lit(schema), {"quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+    return t.where("row_number > 1").select(got.alias("r"), F.element_at(F.split("file", "/"), -1).alias("file"), "row_number").select("r.*", "file", "row_number")
 
 
 def needs_repair(lines: DataFrame) -> DataFrame:
