@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafita.functions import text as tx
+from grafita.operators.ordered import next_at_least, reachable, running
+from grafita.sources.shared import cut
 
 #: The columns a project row must fill, and those with its keywords.
 REQUIRED = ("id_formulario", "anio", "titulo")
@@ -194,24 +196,36 @@ def _bins(most: int):  # noqa: ANN202
     return run
 
 
-def chunk_items(items: DataFrame, most: int = 300) -> DataFrame:
+def chunk_items(items: DataFrame, most: int = 300, whole: int = 100_000) -> DataFrame:
     """doc, chunk_id, text, tokens, pages, heading and element of chunks of at most ``most`` tokens.
 
     items: doc, pos, label, text, page.  A section_header opens a scope, is the heading of
     its chunks and not part of their text.  An item with more tokens than ``most`` is cut;
     neighbours of one scope are merged as long as they fit.  element is the label of the
     first item (text if it has none).  Tokens are runs without white space.  A task gets
-    one document, as a row of the documents table does.
+    a document of at most ``whole`` items; longer ones, which give the same chunks, are dealt
+    over many tasks (``long_bins``).
     """
-    w = Window.partitionBy("doc").orderBy("pos")
+    big = cut(items.groupBy(F.col("doc").alias("__d")).count().where(F.col("count") > whole).select("__d"))
+    long_ = big.count() > 0
     head = F.coalesce(F.col("label") == "section_header", F.lit(False))
-    t = items.withColumn("scope", F.sum(head.cast("int")).over(w)).withColumn("heading", F.last(F.when(head, F.col("text")), ignorenulls=True).over(w))
-    t = t.where(~head).withColumn("w", F.regexp_extract_all("text", F.lit(r"([^ \t\n\r]+)"), F.lit(1))).where("size(w) > 0")
-    t = t.select("doc", "scope", "heading", "pos", F.coalesce("label", F.lit("text")).alias("label"), "page", "w", F.explode(F.sequence(F.lit(0), F.ceil(F.size("w") / most).cast("int") - 1)).alias("part"))
-    t = t.withColumn("w", F.slice("w", F.col("part") * most + 1, F.lit(most)))
-    t = t.select("doc", "scope", "heading", "pos", "label", "page", "part", F.array_join("w", " ").alias("piece"), F.size("w").alias("tokens"))
+
+    def pieces(t: DataFrame) -> DataFrame:
+        """Items with a scope as pieces of at most ``most`` tokens."""
+        t = t.where(~head).withColumn("w", F.regexp_extract_all("text", F.lit(r"([^ \t\n\r]+)"), F.lit(1))).where("size(w) > 0")
+        t = t.select("doc", "scope", "heading", "pos", F.coalesce("label", F.lit("text")).alias("label"), "page", "w", F.explode(F.sequence(F.lit(0), F.ceil(F.size("w") / most).cast("int") - 1)).alias("part"))
+        t = t.withColumn("w", F.slice("w", F.col("part") * most + 1, F.lit(most)))
+        return t.select("doc", "scope", "heading", "pos", "label", "page", "part", F.array_join("w", " ").alias("piece"), F.size("w").alias("tokens"))
+
+    w = Window.partitionBy("doc").orderBy("pos")
+    short = items.join(big, F.col("doc") == F.col("__d"), "left_anti") if long_ else items
+    t = pieces(short.withColumn("scope", F.sum(head.cast("int")).over(w)).withColumn("heading", F.last(F.when(head, F.col("text")), ignorenulls=True).over(w)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema)
     t = t.groupBy("doc").applyInPandas(_bins(most), f"{fields}, bin int")
+    if long_:
+        few = items.join(big, F.col("doc") == F.col("__d"), "left_semi").select("doc", "pos", "label", "text", "page")
+        scoped = running(few, ["doc"], ["pos"], {"scope": head.cast("long")}, {"heading": F.when(head, F.col("text"))})
+        t = t.unionByName(long_bins(pieces(scoped), most).select(*[F.col(f.name).cast(f.dataType) for f in t.schema]))
     place = F.struct("pos", "part")
     c = t.groupBy("doc", "bin").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part", "piece"))), lambda x: x["piece"]), " ").alias("text"),
@@ -220,6 +234,23 @@ def chunk_items(items: DataFrame, most: int = 300) -> DataFrame:
     return c.select("doc", F.concat(F.col("doc"), F.lit("#chunk"), F.col("bin").cast("string")).alias("chunk_id"), "text", "tokens", "pages", "heading", "element")
 
 
+def long_bins(pieces: DataFrame, most: int) -> DataFrame:
+    """pieces (doc, scope, pos, part, tokens, ...) with bin, as the loop over a document gives them, without one.
+
+    From every piece a chunk could begin at, the next chunk begins at the first piece that no
+    longer fits, if the scope goes on.  Which of them do begin is found by pointer jumping
+    from the first piece of each scope; a piece's bin is then a running count of beginnings.
+    """
+    at = cut(running(pieces, ["doc"], ["pos", "part"], {"end": F.col("tokens").cast("long")}))
+    narrow = at.select("doc", "scope", "end", (F.col("end") - F.col("tokens") + most + 1).alias("beyond"))
+    found = next_at_least(narrow, "doc", "end", "beyond", 64 * most)
+    scopes = narrow.select(F.col("doc").alias("__d"), F.col("end").alias("__e"), F.col("scope").alias("__s"))
+    same = (F.col("doc") == F.col("__d")) & (F.col("next") == F.col("__e")) & (F.col("scope") == F.col("__s"))
+    jump = found.join(scopes, same).select("doc", "end", "next")
+    begins = reachable(jump, narrow.groupBy("doc", "scope").agg(F.min("end").alias("end")), ["doc", "end"], "next")
+    marked = at.join(begins.withColumn("__begin", F.lit(1)), ["doc", "end"], "left")
+    return running(marked, ["doc"], ["end"], {"__bins": F.coalesce("__begin", F.lit(0)).cast("long")}).withColumn("bin", F.col("__bins") - 1)
+
 def participation_edges(rows: DataFrame) -> DataFrame:
     """type, source_id, target_id, calidad and texto of rows (project, researcher, calidad, chunk, texto, seq).
 
