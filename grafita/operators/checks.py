@@ -9,19 +9,22 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from grafita.operators.labels import with_labels
 from grafita.plans.derived import Graph, union
 from grafita.schema import DOCUMENT_KINDS
 from grafita.sources.shared import cut
 
 
 def cardinalities(nodes: DataFrame, edges: DataFrame, endpoints: DataFrame, rules: DataFrame) -> DataFrame:
-    """label, type, how many nodes break the rule, and the five first of them."""
-    target = nodes.select(F.col("id").alias("target_id"), F.col("label").alias("dst_label"))
+    """label, type, how many nodes break the rule, and the five first of them.
+
+    Edges are counted by source, type and target label before they meet their sources.
+    """
+    seen = with_labels(edges, nodes, "inner", ["target_id"]).groupBy("source_id", "type", "dst_label").agg(F.count("*").alias("n"))
+    counts = seen.join(F.broadcast(endpoints), ["type", "dst_label"]).groupBy("source_id", "type", "src_label").agg(F.sum("n").alias("n"))
     source = nodes.select(F.col("id").alias("source_id"), F.col("label").alias("src_label"))
-    legal = edges.join(target, "target_id").join(source, "source_id").join(F.broadcast(endpoints), ["type", "src_label", "dst_label"], "left_semi")
-    counts = legal.groupBy("source_id", "type").agg(F.count("*").alias("n"))
-    due = source.join(F.broadcast(rules), "src_label").join(counts, ["source_id", "type"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    bad = due.where("n < least or n > most")
+    due = source.join(F.broadcast(rules), "src_label").join(counts, ["source_id", "type", "src_label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    bad = cut(due.where("n < least or n > most").select("src_label", "type", "source_id"))
     return examples(bad, ["src_label", "type"], "source_id")
 
 
@@ -133,9 +136,7 @@ def statistics(g: Graph) -> DataFrame:
 
 def endpoint_issues(edges: DataFrame, nodes: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Edges by issue: a missing end or illegal labels."""
-    a = nodes.select(F.col("id").alias("source_id"), F.col("label").alias("src_label"))
-    z = nodes.select(F.col("id").alias("target_id"), F.col("label").alias("dst_label"))
-    e = edges.join(a, "source_id", "left").join(z, "target_id", "left").join(F.broadcast(endpoints.withColumn("legal", F.lit(True))), ["type", "src_label", "dst_label"], "left")
+    e = with_labels(edges, nodes).join(F.broadcast(endpoints.withColumn("legal", F.lit(True))), ["type", "src_label", "dst_label"], "left")
     issue = F.when(F.col("src_label").isNull(), "no_source").when(F.col("dst_label").isNull(), "no_target").when(F.col("legal").isNull(), "illegal")
     return e.withColumn("issue", issue).where("issue is not null").groupBy("type", "issue").agg(F.count("*").alias("n"))
 
@@ -217,9 +218,8 @@ def structural_issues(nodes: DataFrame, edges: DataFrame, endpoints: DataFrame,
     alien = nodes.join(F.broadcast(labels.select("label").distinct()), "label", "left_anti")
     types = F.broadcast(endpoints.select("type").distinct().withColumn("known", F.lit(True)))
     ends = nodes.groupBy("id").agg(F.min("label").alias("label"))
-    a, z = ends.select(F.col("id").alias("source_id"), F.col("label").alias("src_label")), ends.select(F.col("id").alias("target_id"), F.col("label").alias("dst_label"))
     legal = F.broadcast(endpoints.withColumn("legal", F.lit(True)))
-    e = edges.join(types, "type", "left").join(a, "source_id", "left").join(z, "target_id", "left").join(legal, ["type", "src_label", "dst_label"], "left")
+    e = with_labels(edges, ends).join(types, "type", "left").join(legal, ["type", "src_label", "dst_label"], "left")
     found = F.array_compact(F.array(
         F.when(F.col("known").isNull(), "unknown_type"), F.when(F.col("src_label").isNull(), "no_source"), F.when(F.col("dst_label").isNull(), "no_target"),
         F.when(F.col("known").isNotNull() & F.col("src_label").isNotNull() & F.col("dst_label").isNotNull() & F.col("legal").isNull(), "illegal_ends"),

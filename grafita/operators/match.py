@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grafita.operators.labels import with_labels
 from grafita.plans.derived import Graph
 from grafita.schema import LABEL_FIELDS
 
@@ -61,9 +62,25 @@ def lookup(nodes: DataFrame, node_id: str) -> DataFrame:
 
 def discover_schema(g: Graph) -> DataFrame:
     """(source label, type, target label) seen in the data, with counts and the properties seen."""
-    a = g.nodes.select(F.col("id").alias("source_id"), F.col("label").alias("src_label"))
-    b = g.nodes.select(F.col("id").alias("target_id"), F.col("label").alias("dst_label"))
-    return g.edges.join(a, "source_id").join(b, "target_id").groupBy("src_label", "type", "dst_label").agg(F.count("*").alias("n"), F.count("prop").alias("n_prop"))
+    e = with_labels(g.edges, g.nodes, "inner")
+    return e.groupBy("src_label", "type", "dst_label").agg(F.count("*").alias("n"), F.count("prop").alias("n_prop"))
+
+
+def schema_properties(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct property names by label, and by (source label, type, target label), and both as text.
+
+    nodes: id, label, props; edges: type, source_id, target_id, props; props are maps, and a
+    name counts whatever its value.  Texts: section (1 nodes, 2 edges) and line, by label.
+    """
+    names = F.array_sort(F.collect_set("name"))
+    of = lambda df, *keys: df.groupBy(*keys).agg(names.alias("names"))
+    n = of(nodes.select("label", F.explode_outer(F.map_keys("props")).alias("name")), "label")
+    narrow = edges.select("type", "source_id", "target_id", F.map_keys("props").alias("ks"))
+    ends = ["src_label", "type", "dst_label"]
+    e = of(with_labels(narrow, nodes, "inner").select(*ends, F.explode_outer("ks").alias("name")), *ends)
+    listed = F.when(F.size("names") > 0, F.concat(F.lit(": "), F.array_join("names", ", "))).otherwise(F.lit(""))
+    text = n.select(F.lit(1).alias("section"), F.concat(F.lit("- "), "label", listed).alias("line"))
+    return n, e, text.unionByName(e.select(F.lit(2).alias("section"), F.concat(F.lit("- (:"), "src_label", F.lit(")-[:"), "type", F.lit("]->(:"), "dst_label", F.lit(")"), listed).alias("line")))
 
 
 @dataclass

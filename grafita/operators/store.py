@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grafita.operators.labels import with_labels
 from grafita.sources.shared import cut
 from grafita.sources.versions import Store, ddl
 
@@ -50,9 +51,7 @@ def resolve(edges: DataFrame, batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 def clean_edges(edges: DataFrame, nodes: DataFrame, endpoints: DataFrame, seq: str) -> DataFrame:
     """Edges with a verdict: self, illegal, repeated or kept (D15).  An edge that is not legal never blocks a later one."""
-    a = nodes.select(F.col("id").alias("source_id"), F.col("label").alias("src_label"))
-    z = nodes.select(F.col("id").alias("target_id"), F.col("label").alias("dst_label"))
-    e = edges.join(a, "source_id", "left").join(z, "target_id", "left").join(F.broadcast(endpoints.withColumn("legal", F.lit(True))), ["type", "src_label", "dst_label"], "left")
+    e = with_labels(edges, nodes).join(F.broadcast(endpoints.withColumn("legal", F.lit(True))), ["type", "src_label", "dst_label"], "left")
     plain = (F.col("source_id") != F.col("target_id")) & F.col("legal")
     w = Window.partitionBy("type", "source_id", "target_id", F.coalesce(plain, F.lit(False))).orderBy(seq)
     n = F.row_number().over(w)
@@ -107,11 +106,9 @@ def delete_node(nodes: DataFrame, edges: DataFrame, node_id: str) -> tuple[DataF
 
 def repair_directions(edges: DataFrame, nodes: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Edges whose ends are legal only the other way round, turned round."""
-    a = nodes.select(F.col("id").alias("source_id"), F.col("label").alias("sl"))
-    z = nodes.select(F.col("id").alias("target_id"), F.col("label").alias("tl"))
     fwd = F.broadcast(endpoints.select("type", F.col("src_label").alias("sl"), F.col("dst_label").alias("tl"), F.lit(True).alias("ok")))
     rev = F.broadcast(endpoints.select("type", F.col("dst_label").alias("sl"), F.col("src_label").alias("tl"), F.lit(True).alias("turn")))
-    e = edges.join(a, "source_id", "left").join(z, "target_id", "left").join(fwd, ["type", "sl", "tl"], "left").join(rev, ["type", "sl", "tl"], "left")
+    e = with_labels(edges, nodes).withColumnsRenamed({"src_label": "sl", "dst_label": "tl"}).join(fwd, ["type", "sl", "tl"], "left").join(rev, ["type", "sl", "tl"], "left")
     swap = F.col("ok").isNull() & F.col("turn").isNotNull()
     return e.select("type", F.when(swap, F.col("target_id")).otherwise(F.col("source_id")).alias("source_id"), F.when(swap, F.col("source_id")).otherwise(F.col("target_id")).alias("target_id"), swap.alias("turned"))
 

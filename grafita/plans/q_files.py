@@ -187,15 +187,26 @@ def i01(s, d):
     return issues.groupBy("label", "field", "issue").agg(F.count("*").alias("n"))
 
 
-@reg("i12", """, n as (select label, id from nodes where label in ('Proyecto', 'Grupo', 'Anio')), e as (select * from edges where type = 'INICIO_EN') select 'duplicate_id' as issue, count(*) as n from n where label = 'Anio' union all select 'illegal_ends', count(*) from e union all select 'unknown_type', count(*) from e union all select 'no_target', count(*) from e""", True)
+ENDS = "ends(type, sl, dl) as (values " + ", ".join(f"('{t}', '{a}', '{b}')" for t, (aa, bb, _, _) in schema.EDGE_RULES.items() for a in aa for b in bb) + ")"
+
+
+@reg("i12", ", " + ENDS + """, n as (select label, id from nodes union all select label, id from nodes where label = 'Anio' union all select 'Rareza', 'r' union all select 'Area', ' '),
+e as (select type, source_id, target_id from edges union all select type, target_id, source_id from edges where type = 'INICIO_EN' union all select type, source_id, 'no' || target_id from edges where type = 'INICIO_EN' union all select 'OTRO', source_id, target_id from edges where type = 'INICIO_EN'),
+i as (select id, min(label) as label, count(*) as c from n group by 1),
+x as (select e.type, e.type || '|' || source_id || '|' || target_id as item, a.label as sl, b.label as dl, e.type in (select type from ends) as known from e left join i a on a.id = source_id left join i b on b.id = target_id)
+select 'duplicate_id' as issue, id as item from i where c > 1 union all select 'blank_id', 'Area' union all select 'unknown_label', 'r'
+union all select 'unknown_type', item from x where not known union all select 'no_source', item from x where sl is null union all select 'no_target', item from x where dl is null
+union all select 'illegal_ends', item from x where known and sl is not null and dl is not null and (type, sl, dl) not in (select (type, sl, dl) from ends)""", True)
 def i12(s, d):
+    """The whole graph, with years twice, two odd nodes, and the edges to years turned, lost and of no known type."""
     g = graph(s, d)
-    n = union(g.nodes_of("Proyecto", "Grupo"), g.nodes_of("Anio"), g.nodes_of("Anio")).select("label", "id")
+    odd = s.createDataFrame([("Rareza", "r"), ("Area", " ")], "label string, id string")
+    n = union(g.nodes.select("label", "id"), g.nodes_of("Anio").select("label", "id"), odd)
     e = g.edges_of("INICIO_EN").select("type", "source_id", "target_id")
     turned = e.select("type", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
     lost = e.withColumn("target_id", F.concat(F.lit("no"), F.col("target_id")))
-    all_ = union(e, turned, lost, e.withColumn("type", F.lit("OTRO")))
-    return ck.structural_issues(n, all_, schema.edge_endpoints(s), schema.label_fields(s)).groupBy("issue").agg(F.count("*").alias("n"))
+    all_ = union(g.edges.select("type", "source_id", "target_id"), turned, lost, e.withColumn("type", F.lit("OTRO")))
+    return ck.structural_issues(n, all_, schema.edge_endpoints(s), schema.label_fields(s))
 
 
 @reg("i13", """, d as (select id from nodes where label = 'Documento' and name <> 'tabla'), c as (select source_id as id, count(*) as n from edges where type = 'PERTENECE_A_SUBCAMPO' group by 1)

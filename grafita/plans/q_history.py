@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grafita.operators import history as hi
+from grafita.operators import search as se
 from grafita.operators import store as st
 from grafita.plans.derived import table, union
 from grafita.plans.registrar import registrar
@@ -139,3 +140,26 @@ def l01_store(s, d):
     second = f.select("path", F.when(k % 3 == 1, F.col("size") + 1).otherwise(F.col("size")).alias("size"))
     told = st.ingest_changed(store, second, work(F.lit(False)))
     return told.join(store.read("rows").select("path", F.col("v").alias("size")), "path").select("path", "action", "size")
+
+
+TERMS = ["rror", "THE", "worthless", "ñ", "no such phrase at all"]
+K03 = "with t(term) as (values " + ", ".join(f"('{t}')" for t in TERMS) + ") select term, conv_id, turn from conversations, t where contains(lower(text), lower(term)) or contains(lower(role), lower(term))"
+
+
+@reg("k03_index", K03)
+def k03_index(s, d):
+    """Turns of conversations, searched for a few terms by postings."""
+    store = vs.Store(s, shared_folder(s, "search"))
+    c = table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "conv_id", "turn", "role", "text")
+    se.index_texts(store, c, "key", ["text", "role"])
+    return union(*[se.search(store, t).select(F.lit(t).alias("term"), "conv_id", "turn") for t in TERMS])
+
+
+@reg("f01_index", "with p as (select 'p' || p_partkey as id, p_name as name, p_type as display from part) select id, name from p where contains(lower(id), '19') or contains(lower(name), '19') or contains(lower(display), '19') union all select id, name from p where contains(lower(id), 'ring') or contains(lower(name), 'ring') or contains(lower(display), 'ring')")
+def f01_index(s, d):
+    """Nodes by id, name or display: a term too short for postings, and one that is not; the index is made in two parts."""
+    store = vs.Store(s, shared_folder(s, "catalog"))
+    p = table(s, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("display"), "p_partkey")
+    for odd in (0, 1):
+        se.index_texts(store, p.where(f"p_partkey % 2 = {odd}").drop("p_partkey"), "id", ["id", "name", "display"], "nodes")
+    return union(*[se.search(store, t, "nodes").select("id", "name") for t in ("19", "Ring")])

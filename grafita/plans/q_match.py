@@ -65,6 +65,16 @@ def f05(s, d):  # noqa: ANN001, ANN201
     return m.discover_schema(graph(s, d))
 
 
+@reg("f05_names", """, n as (select label, case when name is null then [] else ['name'] end || case when display is null then [] else ['display'] end as ks from nodes), e as (select a.label as sl, type, b.label as dl, case when prop is null then [] else ['rol'] end as ks from edges join nodes a on source_id = a.id join nodes b on target_id = b.id),
+x as (select 1 as section, '- ' || label as head, unnest(case when len(ks) = 0 then [null] else ks end) as k from n union all select 2, '- (:' || sl || ')-[:' || type || ']->(:' || dl || ')', unnest(case when len(ks) = 0 then [null] else ks end) from e)
+select section, head || coalesce(': ' || string_agg(distinct k, ', ' order by k), '') as line from x group by section, head""")
+def f05_names(s, d):  # noqa: ANN001, ANN201
+    g = graph(s, d)
+    filled = lambda **c: F.map_filter(F.create_map(*[x for k, v in c.items() for x in (F.lit(k), F.col(v))]), lambda _, v: v.isNotNull())
+    nodes = g.nodes.select("id", "label", filled(name="name", display="display").alias("props"))
+    return m.schema_properties(nodes, g.edges.select("type", "source_id", "target_id", filled(rol="prop").alias("props")))[2]
+
+
 ORACLE["op_f06"] = PROJ + """, a as (select distinct 'inv_' || s_suppkey as inv, pid, okey from supplier join lineitem on l_suppkey = s_suppkey join proj on l_orderkey = okey where lower(s_name) like '%00001'),
 t as (select distinct l_orderkey as okey, replace(p_name, ' ', '_') as topic from lineitem join part on l_partkey = p_partkey where contains(p_name, 'ring'))
 select inv, pid, topic from a left join t using (okey)"""

@@ -173,19 +173,29 @@ def c22_c24(s, d):
 
 
 # --- I: checks
-@reg("i02", "select 'INICIO_EN' as type, 'illegal' as issue, count(*) as n from orders having count(*) > 0")
+ENDS = "ends(type, sl, dl) as (values " + ", ".join(f"('{t}', '{a}', '{b}')" for t, (aa, bb, _, _) in schema.EDGE_RULES.items() for a in aa for b in bb) + ")"
+RULES = "rules(label, type, least, most) as (values " + ", ".join(f"('{a}', '{t}', {low}, {'null' if high < 0 else high})" for t, (aa, _, low, high) in schema.EDGE_RULES.items() for a in aa if (low, high) != (0, -1)) + ")"
+
+
+@reg("i02", ", " + ENDS + """, t as (select type, target_id as source_id, source_id as target_id from edges union all select type, source_id, 'no' || target_id from edges where type = 'INICIO_EN'),
+l as (select t.type, a.label as sl, b.label as dl from t left join nodes a on a.id = source_id left join nodes b on b.id = target_id),
+i as (select l.type, case when l.sl is null then 'no_source' when l.dl is null then 'no_target' when ends.type is null then 'illegal' end as issue from l left join ends on ends.type = l.type and ends.sl = l.sl and ends.dl = l.dl)
+select type, issue, count(*) as n from i where issue is not null group by all""", True)
 def i02(s, d):
+    """All edges turned round, and those to years with ends that are not there."""
     g = graph(s, d)
-    turned = g.edges_of("INICIO_EN").select("type", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
-    return ck.endpoint_issues(turned, union(g.nodes_of("Proyecto", "Grupo"), g.nodes_of("Anio")), schema.edge_endpoints(s))
+    turned = g.edges.select("type", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
+    lost = g.edges_of("INICIO_EN").select("type", "source_id", F.concat(F.lit("no"), F.col("target_id")).alias("target_id"))
+    return ck.endpoint_issues(turned.unionByName(lost), g.nodes, schema.edge_endpoints(s))
 
 
-@reg("i03", ", c as (select id, label, count(t) as n from nodes left join (select source_id, 1 as t from edges where type = 'TIENE_TOPICO') on source_id = id where label in ('Proyecto', 'Grupo') group by 1, 2), b as (select *, row_number() over (partition by label order by id) as k from c where n < 1) select label as src_label, 'TIENE_TOPICO' as type, count(*) as offenders, string_agg(id, ';' order by id) filter (k <= 5) as examples from b group by label", True)
+@reg("i03", ", " + ENDS + ", " + RULES + """, c as (select e.source_id, e.type, ends.sl, count(*) as n from edges e join nodes b on b.id = e.target_id join ends on ends.type = e.type and ends.dl = b.label group by all),
+d as (select nodes.label, rules.type, nodes.id, coalesce(n, 0) as n, least, most from nodes join rules on rules.label = nodes.label left join c on c.source_id = nodes.id and c.type = rules.type and c.sl = nodes.label),
+b as (select *, row_number() over (partition by label, type order by id) as k from d where n < least or n > most)
+select label as src_label, type, count(*) as offenders, string_agg(id, ';' order by id) filter (k <= 5) as examples from b group by 1, 2""", True)
 def i03(s, d):
     g = graph(s, d)
-    rules = schema.edge_cardinality(s).where("type in ('TIENE_TOPICO', 'PERTENECE_A_AREA', 'INICIO_EN')")
-    ns = union(g.nodes_of("Proyecto", "Grupo"), g.nodes_of("Topico"), g.nodes_of("Area"), g.nodes_of("Anio"))
-    return ck.cardinalities(ns, g.edges_of("TIENE_TOPICO", "PERTENECE_A_AREA", "INICIO_EN"), schema.edge_endpoints(s), rules)
+    return ck.cardinalities(g.nodes, g.edges.select("type", "source_id", "target_id"), schema.edge_endpoints(s), schema.edge_cardinality(s))
 
 
 @reg("i04", "select id from nodes where label = 'Proyecto' and id not in (select source_id from edges where type = 'TIENE_TOPICO')", True)
