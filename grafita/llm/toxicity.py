@@ -152,9 +152,11 @@ def fit_from_tables(documents: DataFrame, labels: DataFrame, sample_rows: int =
     few = known.where(draw <= int(share * (1 << 40))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(draw, "doc_id").limit(sample_rows)
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= sample_bytes // 16)
     sample = cut(texts.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
-    # at most sample_rows rows: one task adds up their sizes
-    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(draw, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    got = sample.withColumn("__bytes", so_far).where(F.col("__bytes") <= sample_bytes).orderBy("doc_id").select("text", "toxic").toArrow()
+    # at most sample_rows rows, each an id and a size: one task adds the sizes up, without the texts
+    so_far = F.sum("bytes").over(Window.orderBy(draw, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sample.select("doc_id", F.octet_length("text").cast("long").alias("bytes")).withColumn("so_far", so_far)
+    fitting = sizes.where(F.col("so_far") <= sample_bytes).select("doc_id")
+    got = sample.join(F.broadcast(fitting), "doc_id").orderBy("doc_id").select("text", "toxic").toArrow()
     return fit(got["text"], got["toxic"].to_numpy(), space)
 
 
