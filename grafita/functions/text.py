@@ -222,9 +222,23 @@ def collapsed(s: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(s, r"\s+", " ")))
 
 
-def comparable(m: Column) -> Column:
-    """Text of a map that does not depend on its order; null is empty."""
-    return F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", F.lower(F.trim(e["key"])), F.lower(F.trim(e["value"])))), ";"), F.lit(""))
+def _scalar(x: Column) -> Column:
+    return F.lower(F.trim(x.cast("string")))
+
+
+def comparable(value: Column, kind: str = "map") -> Column:
+    """Text of a value to compare by: of a map whatever its order, of a list in its order, of a scalar trimmed and lower-cased; null is empty.
+
+    kind: map, list or scalar.  Null items and values are empty, too.
+    """
+    blank = lambda x: F.coalesce(_scalar(x), F.lit(""))
+    if kind == "map":
+        text = F.array_join(F.transform(F.array_sort(F.map_entries(value)), lambda e: F.concat_ws("=", blank(e["key"]), blank(e["value"]))), ";")
+    elif kind == "list":
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, blank), ";"), F.lit("]"))
+    else:
+        text = _scalar(value)
+    return F.coalesce(text, F.lit(""))
 
 
 def entity_key(label: Column, id_: Column, value: Column) -> Column:
@@ -232,6 +246,18 @@ def entity_key(label: Column, id_: Column, value: Column) -> Column:
     return F.concat_ws(":", label, F.when(label.isin("Proyecto", "Grupo", "Documento", "Chunk"), id_).otherwise(F.lower(F.trim(value))))
 
 
+def props_key(label: Column, id_: Column, props: Column) -> Column:
+    """As entity_key, with the value taken from a node's properties: a researcher's nombre, a year's anio, else all of them (C20)."""
+    named = F.when(label == "Investigador", _scalar(props["nombre"])).when(label == "Anio", _scalar(props["anio"]))
+    by_id = label.isin("Proyecto", "Documento", "Chunk")
+    return F.concat_ws(":", label, F.when(by_id, id_).when(label.isin("Investigador", "Anio"), F.coalesce(named, F.lit(""))).otherwise(comparable(props)))
+
+
+def edge_key(kind: Column, source: Column, target: Column) -> Column:
+    """What two edges are the same by (C20)."""
+    return F.concat_ws("|", kind, source, target)
+
+
 def counting(s: Column) -> Column:
     return F.coalesce(F.lower(s).rlike("cantidad|frecuencia|total|count"), F.lit(False))
 

@@ -35,9 +35,29 @@ def diff(pred: DataFrame, gold: DataFrame, keys: Sequence[str]) -> DataFrame:
     return p.join(g, list(keys), "full_outer").select(*keys, F.when(F.col("p").isNull(), "FALTA EN PRED").when(F.col("g").isNull(), "SOBRA EN PRED").otherwise("MATCH").alias("status"))
 
 
-def macro(scores: DataFrame, digits: int = 4) -> DataFrame:
-    """Means of the groups' scores and sums of their counts."""
-    return scores.agg(*[F.round(F.avg(c), digits).alias(c) for c in ("precision", "recall", "f1")], *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+def diff_report(pred: DataFrame, gold: DataFrame, by: Sequence[str], key: Sequence[str], good_above: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """Items side by side, and groups with their counts and a verdict.
+
+    pred and gold: by, key and props (a map).  Items: by, key, pred and gold (their props as
+    JSON, keys in order; null where there is none) and status; of an item given twice the
+    smaller JSON is shown.  Groups: by, matches, missing, extra, f1 and verdict, good above
+    ``good_above``, else bad.  Null keys equal each other.
+    """
+    json = lambda df, name: df.groupBy(*by, *key).agg(F.min(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("props"))))).alias(name), F.lit(True).alias(f"in_{name}"))
+    keys = [*by, *key]
+    p, g = json(pred, "pred"), json(gold, "gold").withColumnsRenamed({k: f"__{k}" for k in keys})
+    both = p.join(g, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "full_outer")
+    status = F.when(F.col("in_pred").isNull(), "FALTA EN PRED").when(F.col("in_gold").isNull(), "SOBRA EN PRED").otherwise("MATCH")
+    items = both.select(*[F.when(F.col("in_pred").isNull(), F.col(f"__{k}")).otherwise(F.col(k)).alias(k) for k in keys], "pred", "gold", status.alias("status"))
+    n = lambda s: F.count_if(F.col("status") == s)
+    counts = items.groupBy(*by).agg(n("MATCH").alias("matches"), n("FALTA EN PRED").alias("missing"), n("SOBRA EN PRED").alias("extra"))
+    f1 = safe(2 * F.col("matches"), 2 * F.col("matches") + F.col("missing") + F.col("extra"))
+    return items, counts.withColumn("f1", F.round(f1, 6)).withColumn("verdict", F.when(F.col("f1") > good_above, "good").otherwise("bad"))
+
+
+def macro(scores: DataFrame, digits: int = 4, by: Sequence[str] = ()) -> DataFrame:
+    """Means of the groups' scores and sums of their counts (J04); with ``by`` for each label or type, over the groups that have it."""
+    return scores.groupBy(*by).agg(*[F.round(F.avg(c), digits).alias(c) for c in ("precision", "recall", "f1")], *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 
 def confusion(pred: DataFrame, gold: DataFrame, key: str, item: str) -> DataFrame:
@@ -134,19 +154,29 @@ def quantiles(df: DataFrame, value: str, by: Sequence[str], wanted: dict[str, fl
     return out.select(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], *wanted)
 
 
-def retrieval_summary(records: DataFrame, by: Sequence[str]) -> DataFrame:
+def retrieval_summary(records: DataFrame, by: Sequence[str], category: str | None = None) -> DataFrame:
     """Per group: counts, mean scores of judged rows, quality over judged and sentinel rows.
 
-    records: by, sentinel (boolean), right (boolean, of sentinels), tp, fp, fn.
+    records: by, sentinel (boolean), right (boolean, of sentinels), tp, fp, fn and, if there
+    is one, chat: a judged row taken for small talk, which scores 0 whatever was found.
+    With ``category`` a row for each category, too: by_category is the mean over its judged
+    rows of the mean of precision and recall, and over its sentinels of 0 or 1.
     """
     t, p, n = F.col("tp"), F.col("fp"), F.col("fn")
     judged = ~F.col("sentinel")
-    f1 = safe(2 * t, 2 * t + p + n)
-    score = F.when(F.col("sentinel"), F.col("right").cast("double")).otherwise(f1)
-    return records.groupBy(*by).agg(
+    lost = F.coalesce(F.col("chat"), F.lit(False)) if "chat" in records.columns else F.lit(False)
+    scored = lambda x: F.when(lost, F.lit(0.0)).otherwise(x)
+    precision, recall, f1 = scored(safe(t, t + p)), scored(safe(t, t + n)), scored(safe(2 * t, 2 * t + p + n))
+    right = F.when(F.col("sentinel"), F.col("right").cast("double"))
+    mean = lambda x: F.round(F.avg(x), 4)
+    summary = [
         F.count("*").alias("n"), F.sum(F.when(judged, t)).alias("tp"), F.sum(F.when(judged, p)).alias("fp"), F.sum(F.when(judged, n)).alias("fn"),
-        F.round(F.avg(F.when(judged, f1)), 4).alias("f1"), F.round(F.avg(score), 4).alias("quality"), F.round(F.avg(F.when(F.col("sentinel"), F.col("right").cast("double"))), 4).alias("sentinel_accuracy"),
-    )
+        mean(F.when(judged, f1)).alias("f1"), mean(F.coalesce(right, f1)).alias("quality"), mean(right).alias("sentinel_accuracy"),
+    ]
+    if category is None:
+        return records.groupBy(*by).agg(*summary)
+    summary += [mean(F.when(judged, precision)).alias("precision"), mean(F.when(judged, recall)).alias("recall"), mean(F.coalesce(right, (precision + recall) / 2)).alias("by_category")]
+    return records.groupBy(*by, category).agg(*summary)
 
 
 def doc_topics(scored: DataFrame, floor: float) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grafita.sources.shared import cut
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -44,6 +48,22 @@ def validate(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).withColumn("ok", F.col("dim") == dim)
 
 
+def check_batch(batch: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """Rows to store, each with an id, and rows that can't be, with their error.
+
+    batch: id (or null), embedding, metadata.  A vector of another length, or none, is
+    ``dimension``; a row without metadata is ``metadata``.  A missing id becomes a UUID: the
+    same one however often the row is computed, made of its place in the batch.
+    """
+    rows = cut(batch.withColumn("__at", F.monotonically_increasing_id()))
+    error = F.when(~F.coalesce(F.size("embedding") == dim, F.lit(False)), "dimension").when(F.col("metadata").isNull(), "metadata")
+    h = F.md5(F.concat_ws("|", F.lit(str(uuid4())), F.col("__at").cast("string")))
+    made = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    t = rows.withColumn("error", error)
+    good = t.where("error is null").withColumn("id", F.coalesce(F.nullif(F.col("id"), F.lit("")), made)).drop("__at", "error")
+    return good, t.where("error is not null").select("id", "error")
+
+
 def existing(stored: DataFrame, values: DataFrame, key: str) -> DataFrame:
     """The values already stored."""
     return values.join(stored, key, "left_semi")

@@ -166,6 +166,19 @@ def c19_c20(s, d):
     return table(s, d, "nation").select("n_nationkey", tx.comparable(m).alias("txt"), tx.entity_key(label, F.col("n_nationkey").cast("string"), F.col("n_name")).alias("key"))
 
 
+@reg("c19_kinds", "select event_id, '[' || lower(event_type) || ';;' || user_id || ']' as list, lower(trim(' ' || upper(event_type) || ' ')) as scalar, 'x=' || event_type || ';y=' as map, case user_id % 4 when 0 then 'Investigador:' || event_type when 1 then 'Anio:' || user_id when 2 then 'Documento:d' || event_id else 'Area:valor=' || event_type end as key, 'T|' || event_id || '|' || user_id as edge from events")
+def c19_kinds(s, d):
+    """Lists, scalars, maps with nulls, keys of nodes by their properties, and of edges."""
+    t, u, e = F.col("event_type"), F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    none = F.lit(None).cast("string")
+    label = F.element_at(F.array(*map(F.lit, ("Investigador", "Anio", "Documento", "Area"))), (F.col("user_id") % 4 + 1).cast("int"))
+    props = F.map_filter(F.create_map(F.lit("nombre"), F.when(label == "Investigador", F.upper(t)), F.lit("anio"), F.when(label == "Anio", u), F.lit("valor"), F.when(label == "Area", t)), lambda _, v: v.isNotNull())
+    return table(s, d, "events").select(
+        "event_id", tx.comparable(F.array(F.upper(t), none, u), "list").alias("list"), tx.comparable(F.concat(F.lit(" "), F.upper(t), F.lit(" ")), "scalar").alias("scalar"),
+        tx.comparable(F.create_map(F.lit("y"), none, F.lit("x"), t)).alias("map"), tx.props_key(label, F.concat(F.lit("d"), e), props).alias("key"), tx.edge_key(F.lit("T"), e, u).alias("edge"),
+    )
+
+
 @reg("c22_c24", "select event_id, contains(event_type, 'count') or contains(event_type, 'total') as counting, (greatest(1, least(5, user_id % 7)) - 1) / 4.0 as unit, case when user_id % 2 = 0 then 'Area' else event_type end as label from events")
 def c22_c24(s, d):
     labels = F.when(F.col("user_id") % 2 == 0, F.array("event_type", F.lit("Area"))).otherwise(F.array("event_type"))
@@ -623,6 +636,53 @@ def j13(s, d):
     return ev.retrieval_summary(records(s, d), ["model"])
 
 
+J13 = """with r as (select event_type as category, user_id % 4 as model, event_id % 10 = 0 as sentinel, event_id % 3 = 0 as is_right, event_id % 7 = 1 as chat, user_id % 3 as tp, event_id % 4 as fp, event_id % 2 as fn from events),
+f as (select *, case when chat or tp + fp = 0 then 0 else tp / (tp + fp) end as p, case when chat or tp + fn = 0 then 0 else tp / (tp + fn) end as r, case when chat or 2 * tp + fp + fn = 0 then 0 else 2 * tp / (2 * tp + fp + fn) end as f1 from r)
+select model, category, count(*) as n, sum(tp) filter (not sentinel) as tp, sum(fp) filter (not sentinel) as fp, sum(fn) filter (not sentinel) as fn, round(avg(f1) filter (not sentinel), 4) as f1, round(avg(case when sentinel then is_right::int else f1 end), 4) as quality,
+round(avg(is_right::int) filter (sentinel), 4) as sentinel_accuracy, round(avg(p) filter (not sentinel), 4) as precision, round(avg(r) filter (not sentinel), 4) as recall, round(avg(case when sentinel then is_right::int else (p + r) / 2 end), 4) as by_category from f group by 1, 2"""
+
+
+@reg("j13_categories", J13)
+def j13_categories(s, d):
+    """By model and category, with rows taken for small talk."""
+    e, u = F.col("event_id"), F.col("user_id")
+    r = table(s, d, "events").select(F.col("event_type").alias("category"), (u % 4).alias("model"), (e % 10 == 0).alias("sentinel"), (e % 3 == 0).alias("right"), (e % 7 == 1).alias("chat"), (u % 3).alias("tp"), (e % 4).alias("fp"), (e % 2).alias("fn"))
+    return ev.retrieval_summary(r, ["model"], "category")
+
+
+J03 = """with p as (select distinct l_orderkey as project, l_returnflag as kind, 't' || l_suppkey as id from lineitem where l_linenumber % 3 > 0), g as (select distinct l_orderkey as project, l_returnflag as kind, 't' || l_suppkey as id from lineitem where l_linenumber % 4 > 0),
+i as (select coalesce(p.project, g.project) as project, coalesce(p.kind, g.kind) as kind, coalesce(p.id, g.id) as id, case when p.id is not null then '{"a":"' || p.id || '","b":"p"}' end as pred, case when g.id is not null then '{"a":"' || g.id || '","b":"g"}' end as gold from p full join g on p.project = g.project and p.kind = g.kind and p.id = g.id),
+s as (select *, case when pred is null then 'FALTA EN PRED' when gold is null then 'SOBRA EN PRED' else 'MATCH' end as status from i),
+c as (select project, count(*) filter (status = 'MATCH') as m, count(*) filter (status = 'FALTA EN PRED') as f, count(*) filter (status = 'SOBRA EN PRED') as x from s group by 1)
+select project, kind, id, pred, gold, status, null as n, null as f1 from s union all select project, null, null, m::varchar, f::varchar, case when round(2 * m / (2 * m + f + x), 6) > 0.7 then 'good' else 'bad' end, x, round(2 * m / (2 * m + f + x), 6) from c"""
+
+
+@reg("j03_report", J03)
+def j03_report(s, d):
+    """Topics of lines by project: items side by side, then the projects' counts and verdicts."""
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("project"), F.col("l_returnflag").alias("kind"), F.concat(F.lit("t"), F.col("l_suppkey").cast("string")).alias("id"), "l_linenumber")
+    with_ = lambda of: F.create_map(F.lit("b"), F.lit(of), F.lit("a"), F.col("id")).alias("props")
+    items, groups = ev.diff_report(li.where("l_linenumber % 3 > 0").select("project", "kind", "id", with_("p")), li.where("l_linenumber % 4 > 0").select("project", "kind", "id", with_("g")), ["project"], ["kind", "id"])
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    told = groups.select("project", null("string", "kind"), null("string", "id"), F.col("matches").cast("string").alias("pred"), F.col("missing").cast("string").alias("gold"), F.col("verdict").alias("status"), F.col("extra").alias("n"), "f1")
+    return items.select("project", "kind", "id", "pred", "gold", "status", null("long", "n"), null("double", "f1")).unionByName(told)
+
+
+J04 = """with p as (select distinct l_orderkey as project, l_returnflag as kind, l_suppkey as id from lineitem where l_linenumber % 3 > 0), g as (select distinct l_orderkey as project, l_returnflag as kind, l_suppkey as id from lineitem where l_linenumber % 4 > 0),
+i as (select coalesce(p.project, g.project) as project, coalesce(p.kind, g.kind) as kind, p.id is not null as inp, g.id is not null as ing from p full join g on p.project = g.project and p.kind = g.kind and p.id = g.id),
+c as (select project, kind, count(*) filter (inp and ing) as tp, count(*) filter (inp and not ing) as fp, count(*) filter (ing and not inp) as fn from i group by 1, 2),
+s as (select *, round(case when tp + fp = 0 then 0 else tp / (tp + fp) end, 6) as precision, round(case when tp + fn = 0 then 0 else tp / (tp + fn) end, 6) as recall, round(2 * tp / (2 * tp + fp + fn), 6) as f1 from c)
+select kind, round(avg(precision), 4) as precision, round(avg(recall), 4) as recall, round(avg(f1), 4) as f1, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from s group by kind"""
+
+
+@reg("j04_labels", J04)
+def j04_labels(s, d):
+    """Means by kind, over the projects that have it."""
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("project"), F.col("l_returnflag").alias("kind"), F.col("l_suppkey").alias("id"), "l_linenumber")
+    scores = ev.compare(li.where("l_linenumber % 3 > 0"), li.where("l_linenumber % 4 > 0"), ["project", "kind", "id"], ["project", "kind"])
+    return ev.macro(scores, by=["kind"])
+
+
 @reg("j16", EVT + "select model, round(avg(value), 2) as mean, round(median(value), 2) as median, round(quantile_cont(value, 0.95), 2) as p95, count(*) as n from r group by model")
 def j16(s, d):
     return ev.latency(records(s, d), "value", ["model"])
@@ -662,10 +722,23 @@ def h08(s, d):
     return vc.validate(table(s, d, "embeddings"), 64)
 
 
+@reg("h08_batch", "select case when vec_id % 3 = 0 then 'made' else 'v' || vec_id end as id, vec_id as meta, null as error from embeddings where vec_id % 5 <> 1 and vec_id % 7 <> 2 union all select case when vec_id % 3 <> 0 then 'v' || vec_id end, null, case when vec_id % 5 = 1 then 'dimension' else 'metadata' end from embeddings where vec_id % 5 = 1 or vec_id % 7 = 2")
+def h08_batch(s, d):
+    """Vectors without ids get one of their own; some lack a component or their metadata."""
+    k = F.col("vec_id")
+    b = table(s, d, "embeddings").select(F.when(k % 3 != 0, F.concat(F.lit("v"), k.cast("string"))).alias("id"), F.when(k % 5 == 1, F.slice("embedding", 2, 3)).otherwise(F.col("embedding")).alias("embedding"), F.when(k % 7 != 2, F.struct("vec_id")).alias("metadata"))
+    good, bad = vc.check_batch(b, 64)
+    n = good.count()
+    if good.select("id").distinct().count() != n:
+        raise ValueError("ids repeat")
+    made = F.when(F.col("id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), "made").otherwise(F.col("id"))
+    return union(good.select(made.alias("id"), F.col("metadata.vec_id").alias("meta"), F.lit(None).cast("string").alias("error")), bad.select("id", F.lit(None).cast("long").alias("meta"), "error"))
+
+
 # --- G, K, L
-@reg("g05", ", r as (select doc_id, pos, sum(length(texto)) over (partition by doc_id order by pos) as used from chunk) select doc_id, pos, used from r where used <= 2000", True)
+@reg("g05", ", r as (select doc_id, pos, sum(length(texto)) over (partition by doc_id order by pos) as used from chunk) select doc_id, pos, used from r where used <= 12000", True)
 def g05(s, d):
-    return tb.pack_context(chunks(s, d), "doc_id", "pos", "texto", 2000).select("doc_id", "pos", "used")
+    return tb.pack_context(chunks(s, d), "doc_id", "pos", "texto", 12_000).select("doc_id", "pos", "used")
 
 
 @reg("k01_turns", "with t as (select *, lead(role) over w as nr, lead(text) over w as nt from conversations window w as (partition by conv_id order by turn)) select conv_id, turn, text as query_text, case when nr = 'assistant' then nt end as response from t where role = 'user'")
