@@ -151,14 +151,18 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0
     ``table`` and ``queries`` hold (vec_id, embedding).  A row is no candidate of a query
     with its own vec_id; every other row is, repeats of a vec_id too, and each query row
     has a list of its own.  Ties go to the smaller vec_id.  Null, zero or non-finite
-    vectors, and rows without vec_id, take no part.  A query for which the probes found
+    vectors, those whose length is not the commonest of the table, and rows without vec_id,
+    take no part.  Other columns are left out.  A query for which the probes found
     fewer than k candidates is compared with all rows, in blocks, and so are all queries
     if the index does not reach ``recall`` on its sample.  No rows give no rows.
     """
     usual = lambda df, key: cut(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(usable() & F.col("vec_id").isNotNull()).withColumn(key, F.monotonically_increasing_id()))
     rows = usual(table, "rid")
     asked = usual(queries, "qid").withColumnRenamed("vec_id", "query_id").withColumnRenamed("embedding", "q")
-    _, n = dimension(rows)
+    dim, n, other = dimension(rows)
+    if other:
+        rows = cut(rows.where(F.size("embedding") == dim))
+    asked = asked.where(F.size("q") == dim)
     if not n:
         return rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     norm = float(np.sqrt(rows.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0]))

@@ -62,15 +62,18 @@ def plan_tables(rows: int, threshold: float, miss: float = 1e-3, bucket_rows: in
 def near_duplicates(table: DataFrame, threshold: float = 0.9, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of (vec_id, embedding).
 
-    Null, zero or non-finite vectors link with nothing: 0 links, a component of their
-    own.  Rows with a null vec_id link with nothing either and keep a null component.
+    Null, zero or non-finite vectors, and those whose length is not the commonest, link
+    with nothing: 0 links, a component of their own.  Other columns are left out.  Rows with a null vec_id link with nothing either and keep a null component.
     Repeated vec_ids are each a row, and count as links of each other if their vectors
     do.  Threshold must be above 0.
     """
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable() & F.col("vec_id").isNotNull(), F.col("embedding")).alias("embedding"))
     # rows with equal vectors are one representative, of a number of its own, with a weight
     distinct = cut(rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).withColumn("rep", F.monotonically_increasing_id()))
-    dim, n = dimension(distinct)
+    dim, n, other = dimension(distinct)
+    if other:
+        rows = rows.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")))
+        distinct = cut(distinct.where(F.size("embedding") == dim))
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     bits, tables = plan_tables(n, threshold)

@@ -27,9 +27,8 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def dimension(vectors: DataFrame) -> tuple[int, int]:
-    """Length of the usable vectors, and how many there are; mixed lengths are an error."""
-    low, high, n = vectors.agg(F.min(F.size("embedding")), F.max(F.size("embedding")), F.count("*")).first()
-    if n and low != high:
-        raise ValueError(f"vectors of {low} and of {high} components in one table")
-    return int(low or 0), int(n)
+def dimension(vectors: DataFrame) -> tuple[int, int, int]:
+    """The commonest length of the usable vectors (of equally common ones the larger), how many have it, and how many have another."""
+    sizes = vectors.groupBy(F.size("embedding").alias("d")).count()
+    top = sizes.agg(F.max(F.struct("count", "d")).alias("top"), F.sum("count").alias("n")).first()
+    return (int(top.top.d), int(top.top["count"]), int(top.n - top.top["count"])) if top.n else (0, 0, 0)
