@@ -65,6 +65,18 @@ def gold_topics(g: Graph) -> tuple[DataFrame, DataFrame]:
     return t.select("project", F.coalesce(F.nullif(F.trim("display"), F.lit("")), plain).alias("topic")).distinct(), docs.join(tables, "doc", "left_anti").select("project", "doc").distinct()
 
 
+def project_titles(nodes: DataFrame) -> DataFrame:
+    """project and title of projects and groups: the titulo of their properties, else their plain value; none is empty.
+
+    nodes: id, label, props (a map, or null) and value (a text, or null).  Of an id given
+    twice the last, by label and title, counts.
+    """
+    title = F.when(F.col("props").isNotNull(), F.col("props")["titulo"]).otherwise(F.col("value"))
+    p = nodes.where(F.col("label").isin("Proyecto", "Grupo") & (F.col("props").isNotNull() | F.col("value").isNotNull()))
+    t = F.coalesce(title, F.lit(""))
+    return p.groupBy(F.col("id").alias("project")).agg(F.max_by(t, F.struct("label", t)).alias("title"))
+
+
 def score_topics(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """Per configuration: projects in both, macro and micro scores (J07).  pred: cfg, project, topic; gold: project, topic."""
     both = pred.select("cfg", "project").distinct().join(gold.select("project").distinct(), "project")

@@ -62,6 +62,28 @@ def a03_a22(s, d):
     return kept.join(inner.groupBy(F.get(F.split("path", "/"), 0).alias("root")).agg(F.sum(F.length("content")).alias("bytes")), "root")
 
 
+A22 = """with o as (select o_orderkey, '20' || right(year(o_orderdate)::varchar, 2) as y from orders),
+p as (select o_orderkey as k, y, case when o_orderkey % 5 = 0 then 'varios_' || o_orderkey % 3 || '/a' || o_orderkey || '.pdf' else 'proyectos_' || y || '/informes_' || y || '/' || (o_orderkey - o_orderkey % 2) || '/Informe/a' || o_orderkey || '.PDF' end as path from o),
+v as (select *, 'proy_' || y || '_' || (k - k % 2) || '_informe.pdf' as n from p where k % 5 <> 0)
+select 'renamed' as what, max(path) as path, n as name, null as files from v group by n
+union all select 'invalid', null, 'varios_' || k % 3, count(*) from p where k % 5 = 0 group by k % 3 union all select 'invalid', null, 'broken.zip', 1
+union all select 'processed', null, null, count(*) from v union all select 'overwritten', null, null, count(*) - count(distinct n) from v union all select 'ignored', null, null, count(*) + 1 from p where k % 5 = 0"""
+
+
+@reg("a22_rename", A22)
+def a22_rename(s, d):
+    """Orders as files: pairs of a year that share a name, every fifth below no project, and an archive that can't be opened."""
+    k, y = F.col("o_orderkey"), F.concat(F.lit("20"), F.date_format("o_orderdate", "yy"))
+    t = lambda c: c.cast("string")
+    good = F.concat(F.lit("proyectos_"), y, F.lit("/informes_"), y, F.lit("/"), t(k - k % 2), F.lit("/Informe/a"), t(k), F.lit(".PDF"))
+    path = F.when(k % 5 == 0, F.concat(F.lit("varios_"), t(k % 3), F.lit("/a"), t(k), F.lit(".pdf"))).otherwise(good)
+    renamed, invalid, report = fs.rename_corpus(table(s, d, "orders").select(path.alias("path")), s.createDataFrame([("in/broken.zip",)], "path string"))
+    none = F.lit(None).cast("string")
+    counts = report.select(F.explode(F.create_map(*[x for c in report.columns for x in (F.lit(c), F.col(c))])).alias("what", "files"))
+    return union(renamed.select(F.lit("renamed").alias("what"), "path", F.col("new_name").alias("name"), F.lit(None).cast("long").alias("files")),
+                 invalid.select(F.lit("invalid").alias("what"), none.alias("path"), F.col("root").alias("name"), "files"), counts.select("what", none.alias("path"), none.alias("name"), "files"))
+
+
 @reg("a04", "select c_custkey as k, c_name as name, 'a' || chr(10) || '\"' || c_mktsegment || '\", b' as note from customer")
 def a04(s, d):
     root = shared_folder(s, "csv")

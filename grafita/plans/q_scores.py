@@ -49,6 +49,15 @@ def j06(s, d):
     return sc.gold_topics(graph(s, d))[0]
 
 
+@reg("j06_titles", ", p as (select id, label, display, name from nodes where label in ('Proyecto', 'Grupo')) select id as project, case when length(id) % 3 = 0 then display when length(id) % 3 = 1 then coalesce(name, '') else '' end as title from p where not (length(id) % 3 = 1 and name is null)", True)
+def j06_titles(s, d):
+    """Titles out of properties, out of plain values, and out of properties that have none."""
+    k = F.length("id") % 3
+    props = F.when(k == 0, F.create_map(F.lit("titulo"), F.col("display"))).when(k == 2, F.create_map(F.lit("otro"), F.col("display")))
+    n = graph(s, d).nodes.select("id", "label", props.alias("props"), F.when(k == 1, F.col("name")).alias("value"))
+    return sc.project_titles(n)
+
+
 @reg("j06_docs", ", p as (select id from nodes where label = 'Proyecto') select distinct source_id as project, target_id as doc from edges where type = 'ES_DESCRITO_POR' and source_id in (from p) and target_id not in (select id from nodes where label = 'Documento' and name = 'tabla')", True)
 def j06_docs(s, d):
     return sc.gold_topics(graph(s, d))[1]

@@ -74,6 +74,38 @@ def prepare_corpus(files: DataFrame) -> DataFrame:
     return files.groupBy(root.alias("root")).agg(F.count_if(tx.valid_project_path(F.col("path"))).alias("processed"), F.count_if(~tx.valid_project_path(F.col("path"))).alias("ignored"))
 
 
+class NoValidFiles(ValueError):
+    """Files are there, but none lies where a project's files do."""
+
+
+def rename_corpus(files: DataFrame, broken: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files under their new names, what lay where no project's files do, and the report.
+
+    files: path, and whatever belongs to it; broken: path of archives that can't be opened.
+    Renamed: path, new_name and the other columns, for valid paths; of those that get one
+    name the last by path keeps it, as each would overwrite the one before, and the report
+    counts them all.  Invalid: root and files, one row for each first folder or broken
+    archive.  Report: processed, ignored, overwritten.  Files without one valid path are an
+    error that names the first hundred roots; no files at all are none.
+    """
+    marked = files.withColumn("__ok", F.coalesce(tx.valid_project_path(F.col("path")), F.lit(False)))
+    lost = marked.where(~F.col("__ok")).select(F.get(F.split("path", "/"), 0).alias("root"))
+    if broken is not None:
+        lost = lost.unionByName(broken.select(F.element_at(F.split("path", "/"), -1).alias("root")))
+    invalid = lost.groupBy("root").agg(F.count("*").alias("files"))
+    kept = marked.where("__ok").drop("__ok").withColumn("new_name", tx.canonical_name(F.col("path")))
+    last = kept.groupBy("new_name").agg(F.max("path").alias("__last"), F.count("*").alias("__n"))
+    counts = last.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("processed"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("overwritten"))
+    report = counts.join(invalid.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("ignored"))).select("processed", "ignored", "overwritten")
+    n = report.first()
+    if n.ignored and not n.processed:
+        names = ", ".join(r.root for r in invalid.orderBy("root").limit(100).collect())
+        raise NoValidFiles(f"no file lies below a project or group; roots: {names}")
+    names = last.select(F.col("new_name").alias("__new"), "__last")
+    renamed = kept.join(names, (F.col("new_name") == F.col("__new")) & (F.col("path") == F.col("__last")), "left_semi")
+    return renamed, invalid, report
+
+
 #: A field as CSV has it: quoted, with what follows its end, or bare, or empty; what is taken is never given back.
 _FIELD = r'(?:"(?:[^"]|"")*+"[^,]*+|[^",][^,]*+)?+'
 _OPENS = rf'(?:{_FIELD},)*+"(?:[^"]|"")*+$'

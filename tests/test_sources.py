@@ -112,3 +112,10 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     assert {(r.k, r.v) for r in ingest.stored(store, ["k"], "v", "seq").collect()} == {("a", "2"), ("b", "3")}
     assert store.read("errors").count() == 1
     assert all("rows" in p for p in ingest.progress(q))
+
+
+def test_no_valid_file_is_an_error(spark):
+    bad = spark.createDataFrame([("x/a.pdf",), ("y/b.pdf",)], "path string")
+    with pytest.raises(files.NoValidFiles, match="roots: x, y"):
+        files.rename_corpus(bad)
+    assert tuple(files.rename_corpus(bad.limit(0))[2].first()) == (0, 0, 0)
