@@ -1,7 +1,7 @@
 """Toxicity scoring: a linear classifier on character n-grams scaled by naive Bayes.
 
-Features are the byte n-grams of the lower-cased text, present or absent, hashed into
-a table.  Each is scaled by its naive Bayes log-count ratio between the two classes;
+Features are the n-grams of the lower-cased text's characters (code points), present or
+absent, hashed into a table.  Each is scaled by its naive Bayes log-count ratio between the two classes;
 a logistic regression on the scaled features gives the weights.  Learning uses a
 bounded sample of labelled rows (``sample_rows``, ``sample_bytes``: those of smallest
 hash); scoring reads every whole text and needs only the weight table, whose size is fixed.
@@ -21,12 +21,27 @@ from pyspark.sql.types import StructField, StructType, DoubleType, IntegerType
 from grafita.llm.common import cut, quoted, set_aside
 from grafita.llm.textkit import slices, texts_of
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Lower case of each code point that has one of a single code point; beyond the second plane none has.
+_LOWER = np.array([ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(0x20000)], np.uint32)
 _U = np.uint64
 _SLICE = 1 << 19
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased code points of UTF-8 texts, and the offsets of the texts among them."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[starts].astype(np.uint32)
+    size = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+    point = np.where(size == 1, lead, lead & (0xFF >> (size + 1)))
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        at = np.minimum(starts[more] + k, len(data) - 1)
+        point[more] = point[more] << 6 | (data[at] & 0x3F)
+    low = point < len(_LOWER)
+    point[low] = _LOWER[point[low]]
+    return point, np.searchsorted(starts, offsets)
+
+
 @dataclass(frozen=True)
 class NgramSpace:
     """Lengths of the n-grams and bits of the table they are hashed into."""
@@ -35,8 +50,9 @@ class NgramSpace:
     bits: int = 20
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each length: the slot of the n-gram at each byte, and the index of its text."""
-        low = _LOWER[data].astype(_U) + _U(1)
+        """For each length: the slot of the n-gram at each character, and the index of its text."""
+        low, offsets = characters(data, offsets)
+        low = low.astype(_U) + _U(1)
         owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
         for n in self.lengths:
             if len(low) < n:

@@ -429,7 +429,7 @@ def test_toxicity_scores_against_plain_python(spark):
         return ((value * 0x9E3779B97F4A7C15 + len(gram)) % 2**64) >> 52
 
     def plain(t):
-        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())
+        raw = [ord(c) for c in t.lower()]
         slots = {slot(raw[i : i + n]) for n in (2, 4) for i in range(len(raw) - n + 1)}
         return 1 / (1 + np.exp(-(model.bias + sum(float(model.weights[s]) for s in slots))))
 
