@@ -90,3 +90,14 @@ def test_display_by_label(spark):
     args = F.col("label"), F.col("props"), F.col("id")
     got = t.select(tx.display_value(*args).alias("a"), tx.mention(*args).alias("b"), "display", "mention").collect()
     assert [(r.a, r.b) for r in got] == [(r.display, r.mention) for r in got]
+
+
+def test_knn_of_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [-1.0, 0.0]), (5, None), (6, [0.0, 0.0]), (7, [1.0]), (8, [None, 1.0]), (9, [1.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for block in (4096, 3):
+        got = sorted(map(tuple, vectors.knn_join(v, v, 2, block=block).collect()))
+        assert [r[1:] for r in got if r[0] == 0] == [(1, 1, 1.0), (2, 2, 1.0)] and [r[2] for r in got if r[0] == 3] == [9, 0]
+        assert {r[0] for r in got} == {0, 1, 2, 3, 4, 9} and not {r[2] for r in got} & {5, 6, 7, 8}
+    assert vectors.knn_join(v.where("vec_id = 6"), v, 2).count() == 0
+    assert [tuple(r) for r in vectors.knn_join(v.where("vec_id = 9"), v, 9, 0.7).orderBy("rank").collect()] == [(9, i + 1, x, 0.707107) for i, x in enumerate((0, 1, 2, 3))]
