@@ -11,7 +11,7 @@ from grafita.plans.derived import graph, table, union
 from grafita.plans.registrar import registrar
 from grafita.sources import files as fs
 from grafita.sources import versions as vs
-from grafita.sources.shared import shared_folder
+from grafita.sources.shared import cut, shared_folder
 from grafita.streaming import ingest as ig
 
 QUERIES, ORACLE, reg = registrar()
@@ -42,24 +42,25 @@ def a03_a22(s, d):
     import io
     import zipfile
 
-    import pandas as pd
-
-    def pack(key, p):
+    @F.udf("binary", useArrow=True)
+    def pack(paths, texts):
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
-            for path, text in zip(p["path"], p["text"], strict=True):
+            for path, text in zip(paths, texts, strict=True):
                 z.writestr(path, text)
             z.writestr("__MACOSX/x", "junk")
             z.writestr("a/.hidden", "junk")
-        return pd.DataFrame({"path": [f"{key[0]}.zip"], "content": [out.getvalue()]})
+        return out.getvalue()
 
     k, y = F.col("o_orderkey").cast("string"), F.year("o_orderdate").cast("string")
     below = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("/Informe/a"), k)).otherwise(F.concat(F.lit("/"), k, F.lit("/Informe/a")))
     path = F.concat(F.lit("proyectos_"), y, F.lit("/informes_"), y, below, F.lit(".pdf"))
     t = table(s, d, "orders").select("o_custkey", path.alias("path"), F.concat(F.lit("orden "), k).alias("text"))
-    inner = fs.expand_archives(t.groupBy("o_custkey").applyInPandas(pack, "path string, content binary")).where("error is null")
+    each = t.groupBy("o_custkey").agg(F.collect_list(F.struct("path", "text")).alias("f"))
+    archives = each.select(F.concat(F.col("o_custkey").cast("string"), F.lit(".zip")).alias("path"), pack("f.path", "f.text").alias("content"))
+    inner = cut(fs.expand_archives(archives).where("error is null").select("path", F.length("content").alias("size")))  # opened once
     kept = fs.prepare_corpus(inner)
-    return kept.join(inner.groupBy(F.get(F.split("path", "/"), 0).alias("root")).agg(F.sum(F.length("content")).alias("bytes")), "root")
+    return kept.join(inner.groupBy(F.get(F.split("path", "/"), 0).alias("root")).agg(F.sum("size").alias("bytes")), "root")
 
 
 A22 = """with o as (select o_orderkey, '20' || right(year(o_orderdate)::varchar, 2) as y from orders),

@@ -21,6 +21,8 @@ from grafita.sources.shared import cut
 EXTENSIONS = ("pdf", "docx", "pptx", "xlsx", "html", "md", "txt")
 #: Folders of archives that hold no content.
 JUNK = ("__MACOSX",)
+#: Entries of archives that a task hands on at once, and about how many bytes of them.
+ENTRIES, ENTRY_BYTES = 10_000, 16_000_000
 
 
 def _extension(path: Column) -> Column:
@@ -50,10 +52,13 @@ def expand_archives(files: DataFrame) -> DataFrame:
     """archive, path, content, error: a row for each entry of each zip (path, content).
 
     Folders, hidden entries and junk folders are left out; a broken archive is one row with
-    an error.  One entry at a time is in memory.
+    an error.  Entries go out in batches of at most ENTRIES and about ENTRY_BYTES.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        held = 0
+        named = lambda: pd.DataFrame(rows, columns=["archive", "path", "content", "error"])
         for p in parts:
             for path, content in zip(p["path"], p["content"], strict=True):
                 try:
@@ -61,9 +66,15 @@ def expand_archives(files: DataFrame) -> DataFrame:
                         for i in z.infolist():
                             steps = i.filename.split("/")
                             if not i.is_dir() and steps[0] not in JUNK and not any(s.startswith(".") for s in steps):
-                                yield pd.DataFrame({"archive": [path], "path": [i.filename], "content": [z.read(i)], "error": [None]})
+                                rows.append((path, i.filename, z.read(i), None))
+                                held += i.file_size
+                                if len(rows) >= ENTRIES or held >= ENTRY_BYTES:
+                                    yield named()
+                                    rows, held = [], 0
                 except (zipfile.BadZipFile, TypeError) as e:
-                    yield pd.DataFrame({"archive": [path], "path": [None], "content": [None], "error": [type(e).__name__]})
+                    rows.append((path, None, None, type(e).__name__))
+        if rows:
+            yield named()
 
     return files.select("path", "content").mapInPandas(run, "archive string, path string, content binary, error string")
 
