@@ -167,6 +167,10 @@ def a14_a15(s, d):
     g = graph(s, d)
     n = g.nodes.select("id", "label", F.create_map(F.lit("created_at"), F.lit("x"), F.lit("valor"), F.col("name")).alias("props"))
     e = g.edges.select("type", "source_id", "target_id", F.create_map(F.lit("updated_at"), F.lit("x")).alias("props"))
+    once = shared_folder(s, "derived")  # the graph is derived once, then exported and appended
+    n.write.parquet(f"{once}/nodes")
+    e.write.parquet(f"{once}/edges")
+    n, e = s.read.parquet(f"{once}/nodes"), s.read.parquet(f"{once}/edges")
     fs.export_graph(n, e, root)
     fs.append_graph(n, e, root)
     nodes, edges = fs.import_graph(s, root)

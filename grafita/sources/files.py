@@ -23,6 +23,8 @@ EXTENSIONS = ("pdf", "docx", "pptx", "xlsx", "html", "md", "txt")
 JUNK = ("__MACOSX",)
 #: Entries of archives that a task hands on at once, and about how many bytes of them.
 ENTRIES, ENTRY_BYTES = 10_000, 16_000_000
+#: Rows of a file of an exported graph at most.
+FILE_ROWS = 500_000
 
 
 def _extension(path: Column) -> Column:
@@ -266,10 +268,15 @@ def embedding_report(vectors: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def export_graph(nodes: DataFrame, edges: DataFrame, path: str, internal: Sequence[str] = ("created_at", "updated_at")) -> None:
-    """Nodes by id and edges by (type, source, target) as JSON lines, without bookkeeping properties."""
+    """Nodes by id and edges by (type, source, target) as JSON lines, gzipped, without bookkeeping properties."""
     clean = F.map_filter("props", lambda k, _: ~k.isin(*internal))
-    nodes.withColumn("props", clean).orderBy("id").write.json(f"{path}/entities")
-    edges.withColumn("props", clean).orderBy("type", "source_id", "target_id").write.json(f"{path}/relationships")
+    _json_lines(nodes.withColumn("props", clean).orderBy("id"), f"{path}/entities")
+    _json_lines(edges.withColumn("props", clean).orderBy("type", "source_id", "target_id"), f"{path}/relationships")
+
+
+def _json_lines(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A gzipped file is read by one task, so none has more than FILE_ROWS rows."""
+    rows.write.mode(mode).option("maxRecordsPerFile", FILE_ROWS).json(path, compression="gzip")
 
 
 def import_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -280,8 +287,8 @@ def import_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def append_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """More nodes and edges beside those of an export; repeats stay."""
-    nodes.write.mode("append").json(f"{path}/entities")
-    edges.write.mode("append").json(f"{path}/relationships")
+    _json_lines(nodes, f"{path}/entities", "append")
+    _json_lines(edges, f"{path}/relationships", "append")
 
 
 def read_questions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

@@ -21,3 +21,18 @@ def test_entries_of_archives_go_out_in_batches():
     run = files.expand_archives(Files())
     got = list(run(iter([pd.DataFrame({"path": ["x", "y", "z"], "content": [out.getvalue(), b"broken", out.getvalue()]})])))
     assert len(got) == 1 and len(got[0]) == 601 and got[0]["error"].notna().sum() == 1
+
+
+def test_exported_graph_is_compressed_in_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FILE_ROWS", 40, raising=False)
+    props = "map('created_at', 'x', 'valor', 'v') as props"
+    n = spark.range(100).selectExpr("'n' || id as id", "'L' as label", props).coalesce(1)
+    e = spark.range(100).selectExpr("'T' as type", "'n' || id as source_id", "'n' || (id + 1) as target_id", props).coalesce(1)
+    files.export_graph(n, e, str(tmp_path / "g"))
+    files.append_graph(n, e, str(tmp_path / "g"))
+    nodes, edges = files.import_graph(spark, str(tmp_path / "g"))
+    assert nodes.count() == edges.count() == 200
+    assert nodes.select("id", "props.created_at").distinct().count() == 200 and nodes.where("props['created_at'] is null").count() == 100
+    for part in ("entities", "relationships"):
+        written = [p for p in (tmp_path / "g" / part).iterdir() if p.name.startswith("part-")]
+        assert all(p.name.endswith(".gz") for p in written) and len(written) >= 4
