@@ -5,6 +5,7 @@ import zipfile
 
 import pandas as pd
 
+from grafita.operators import labels
 from grafita.sources import files
 
 
@@ -36,3 +37,17 @@ def test_exported_graph_is_compressed_in_files_of_bounded_rows(spark, tmp_path,
     for part in ("entities", "relationships"):
         written = [p for p in (tmp_path / "g" / part).iterdir() if p.name.startswith("part-")]
         assert all(p.name.endswith(".gz") for p in written) and len(written) >= 4
+
+
+def test_labels_read_the_edges_from_one_copy(spark):
+    n = spark.range(50).selectExpr("'n' || id as id", "'L' as label")
+    seen = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    e = spark.range(3000).selectExpr("'T' as type", "'n' || (id % 3) as source_id", "'n' || (id % 50) as target_id").mapInPandas(rows, "type string, source_id string, target_id string")
+    assert labels.with_labels(e, n, rows=100).where("src_label = 'L' and dst_label = 'L'").count() == 3000
+    assert seen.value == 3000  # the edges are worked out once, not once for each end and count
