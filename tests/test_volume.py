@@ -51,3 +51,16 @@ def test_labels_read_the_edges_from_one_copy(spark):
     e = spark.range(3000).selectExpr("'T' as type", "'n' || (id % 3) as source_id", "'n' || (id % 50) as target_id").mapInPandas(rows, "type string, source_id string, target_id string")
     assert labels.with_labels(e, n, rows=100).where("src_label = 'L' and dst_label = 'L'").count() == 3000
     assert seen.value == 3000  # the edges are worked out once, not once for each end and count
+
+
+def test_topic_queries_deal_rows_by_their_number(spark, monkeypatch):
+    from grafita.plans import q_more
+    from grafita.sources import shared
+
+    monkeypatch.setattr(shared, "TASK_ROWS", 100, raising=False)
+    sf = "/root/testdata/sf0.001"
+    want = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 100)
+    for name, key in (("op_e02", "l_orderkey"), ("op_e03", "l_orderkey"), ("op_e04", "project"), ("op_e05", "project"), ("op_e08", "project")):
+        plan = q_more.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        dealt = [x for x in plan.splitlines() if f"RepartitionByExpression [{key}#" in x]
+        assert dealt and all(x.rstrip().endswith(f"], {want}") for x in dealt), (name, dealt)
