@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafita.sources.shared import cut
+from grafita.sources.shared import cut, dealt
 
 
 def safe(a: Column, b: Column) -> Column:
@@ -20,11 +20,17 @@ def prf(tp: str = "tp", fp: str = "fp", fn: str = "fn", digits: int = 6) -> list
     return [F.round(safe(t, t + p), digits).alias("precision"), F.round(safe(t, t + n), digits).alias("recall"), F.round(safe(2 * t, 2 * t + p + n), digits).alias("f1")]
 
 
-def compare(pred: DataFrame, gold: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """tp, fp, fn, precision, recall, f1 of two sets of keys, for each group."""
-    p = pred.select(*keys).distinct().withColumn("p", F.lit(1))
-    g = gold.select(*keys).distinct().withColumn("g", F.lit(1))
-    both = p.join(g, list(keys), "full_outer").select(*by, F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("g", F.lit(0)).alias("g"))
+def compare(pred: DataFrame, gold: DataFrame, keys: Sequence[str], by: Sequence[str] = (), rows: int = 0) -> DataFrame:
+    """tp, fp, fn, precision, recall, f1 of two sets of keys, for each group.
+
+    Both sets are grouped by their keys at once; a null key equals none of the other set.
+    With ``rows``, about how many both have, they are dealt by ``by`` over as many tasks
+    as that takes, for groups that are small.
+    """
+    side = lambda df, p: df.select(*keys, F.lit(p).alias("p"), F.lit(1 - p).alias("g"))
+    either = side(pred, 1).unionByName(side(gold, 0))
+    alone = F.when(F.greatest(F.lit(False), *[F.col(k).isNull() for k in keys]), F.col("p")).alias("__alone")
+    both = dealt(either, rows, *by).groupBy(*keys, alone).agg(F.max("p").alias("p"), F.max("g").alias("g"))
     counts = both.groupBy(*by).agg(F.sum(F.col("p") * F.col("g")).alias("tp"), F.sum(F.col("p") * (1 - F.col("g"))).alias("fp"), F.sum((1 - F.col("p")) * F.col("g")).alias("fn"))
     return counts.select(*by, "tp", "fp", "fn", *prf())
 

@@ -5,7 +5,7 @@ import zipfile
 
 import pandas as pd
 
-from grafita.operators import labels
+from grafita.operators import evaluate, labels
 from grafita.sources import files
 
 
@@ -64,3 +64,13 @@ def test_topic_queries_deal_rows_by_their_number(spark, monkeypatch):
         plan = q_more.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         dealt = [x for x in plan.splitlines() if f"RepartitionByExpression [{key}#" in x]
         assert dealt and all(x.rstrip().endswith(f"], {want}") for x in dealt), (name, dealt)
+
+
+def test_sets_are_compared_in_one_shuffle_of_their_keys(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (None, "z")], "k long, v string")
+    b = spark.createDataFrame([(1, "x"), (3, "y"), (None, "z"), (None, "z")], "k long, v string")
+    got = evaluate.compare(a, b, ["k", "v"])
+    assert got.select("tp", "fp", "fn").collect() == [(1, 2, 2)]
+    by = {r.v: (r.tp, r.fp, r.fn) for r in evaluate.compare(a, b, ["k", "v"], ["v"]).collect()}
+    assert by == {"x": (1, 0, 0), "y": (0, 1, 1), "z": (0, 1, 1)}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
