@@ -74,3 +74,12 @@ def test_sets_are_compared_in_one_shuffle_of_their_keys(spark):
     by = {r.v: (r.tp, r.fp, r.fn) for r in evaluate.compare(a, b, ["k", "v"], ["v"]).collect()}
     assert by == {"x": (1, 0, 0), "y": (0, 1, 1), "z": (0, 1, 1)}
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_are_folded_by_many_tasks(spark, monkeypatch):
+    from grafita.plans import q_more
+
+    monkeypatch.setattr(q_more, "FOLD_ROWS", 20, raising=False)
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/customer.parquet").count()
+    assert q_more.QUERIES["op_c03"](spark, sf).rdd.getNumPartitions() == -(-n // 20) > 1
