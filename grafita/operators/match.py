@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from grafita.operators.labels import with_labels
 from grafita.plans.derived import Graph
 from grafita.schema import LABEL_FIELDS
+from grafita.sources.shared import stored
 
 
 def _clamp(n: int, most: int) -> int:
@@ -47,7 +48,7 @@ def neighborhood(g: Graph, node_id: str, limit: int = 1200) -> tuple[DataFrame,
 
 def snapshot(g: Graph, n: int = 500, m: int = 1200) -> tuple[DataFrame, DataFrame]:
     """The n nodes of highest degree and the first m edges among them."""
-    edges = _non_chunk_edges(g)
+    edges = stored(_non_chunk_edges(g).select("type", "source_id", "target_id"))  # read for the degrees and for the edges
     degree = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     top = g.nodes.where("label <> 'Chunk'").join(degree, "id", "left").select("label", "id", "display", F.coalesce("degree", F.lit(0)).alias("degree")).orderBy(F.desc("degree"), "id").limit(_clamp(n, 500))
     ids = F.broadcast(top.select("id"))  # at most 500 rows

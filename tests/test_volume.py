@@ -83,3 +83,20 @@ def test_names_are_folded_by_many_tasks(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{sf}/customer.parquet").count()
     assert q_more.QUERIES["op_c03"](spark, sf).rdd.getNumPartitions() == -(-n // 20) > 1
+
+
+def test_snapshot_works_out_its_edges_once(spark):
+    from grafita.operators import match
+    from grafita.plans.derived import Graph
+
+    n = spark.range(20).selectExpr("'L' as label", "'n' || id as id", "'x' as name", "'x' as display")
+    seen = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    e = spark.range(40).selectExpr("'T' as type", "'n' || (id % 20) as source_id", "'n' || (id % 7) as target_id", "'p' as prop").mapInPandas(rows, "type string, source_id string, target_id string, prop string")
+    assert match.snapshot(Graph(n, e), 500, 1200)[1].count() == 40
+    assert seen.value == 40
