@@ -8,9 +8,9 @@ combines before it shuffles, so a project with very many rows is no hot task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,17 +181,20 @@ def order_layout(items: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def _bins(most: int):  # noqa: ANN202
-    """Adds bin to a document's pieces: a new one for each heading, and where a piece would go beyond ``most`` tokens."""
-
-    def run(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["scope", "pos", "part"])
-        out, number, scope, used = [], -1, None, 0
-        for s, n in zip(pieces["scope"], pieces["tokens"], strict=True):
-            if s != scope or used + n > most:
-                number, scope, used = number + 1, s, 0
-            used += n
-            out.append(number)
-        return pieces.assign(bin=out)
+    """Adds bin to pieces in order, documents one after the other: a new one for each heading, and where a piece would go beyond ``most`` tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, scope, number, used = object(), None, -1, 0  # a document may go on in the next batch
+        for b in batches:
+            out = []
+            for d, s, n in zip(b["doc"].to_pylist(), b["scope"].to_pylist(), b["tokens"].to_pylist(), strict=True):
+                if d != doc:
+                    doc, scope, number = d, None, -1
+                if s != scope or used + n > most:
+                    number, scope, used = number + 1, s, 0
+                used += n
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*b.schema.names, "bin"])
 
     return run
 
@@ -203,8 +206,8 @@ def chunk_items(items: DataFrame, most: int = 300, whole: int = 100_000) -> Data
     its chunks and not part of their text.  An item with more tokens than ``most`` is cut;
     neighbours of one scope are merged as long as they fit.  element is the label of the
     first item (text if it has none).  Tokens are runs without white space.  A task gets
-    a document of at most ``whole`` items; longer ones, which give the same chunks, are dealt
-    over many tasks (``long_bins``).
+    documents of at most ``whole`` items one after the other; longer ones, which give the same
+    chunks, are dealt over many tasks (``long_bins``).
     """
     big = cut(items.groupBy(F.col("doc").alias("__d")).count().where(F.col("count") > whole).select("__d"))
     long_ = big.count() > 0
@@ -212,16 +215,17 @@ def chunk_items(items: DataFrame, most: int = 300, whole: int = 100_000) -> Data
 
     def pieces(t: DataFrame) -> DataFrame:
         """Items with a scope as pieces of at most ``most`` tokens."""
-        t = t.where(~head).withColumn("w", F.regexp_extract_all("text", F.lit(r"([^ \t\n\r]+)"), F.lit(1))).where("size(w) > 0")
-        t = t.select("doc", "scope", "heading", "pos", F.coalesce("label", F.lit("text")).alias("label"), "page", "w", F.explode(F.sequence(F.lit(0), F.ceil(F.size("w") / most).cast("int") - 1)).alias("part"))
-        t = t.withColumn("w", F.slice("w", F.col("part") * most + 1, F.lit(most)))
-        return t.select("doc", "scope", "heading", "pos", "label", "page", "part", F.array_join("w", " ").alias("piece"), F.size("w").alias("tokens"))
+        plain = F.replace(F.replace(F.replace("text", F.lit("\t"), F.lit(" ")), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+        t = t.where(~head & F.col("text").rlike(r"[^ \t\n\r]")).withColumn("w", F.array_remove(F.split(plain, " "), ""))
+        cuts = F.sequence(F.lit(0), F.ceil(F.size("w") / most).cast("int") - 1)
+        each = F.transform(cuts, lambda i: F.struct(F.array_join(F.slice("w", i * most + 1, most), " ").alias("piece"), F.least(F.lit(most), F.size("w") - i * most).alias("tokens")))
+        return t.select("doc", "scope", "heading", "pos", F.coalesce("label", F.lit("text")).alias("label"), "page", F.posexplode(each).alias("part", "x")).select("doc", "scope", "heading", "pos", "label", "page", "part", "x.piece", "x.tokens")
 
     w = Window.partitionBy("doc").orderBy("pos")
-    short = items.join(big, F.col("doc") == F.col("__d"), "left_anti") if long_ else items
+    short = (items.join(big, F.col("doc") == F.col("__d"), "left_anti") if long_ else items).repartition("doc")
     t = pieces(short.withColumn("scope", F.sum(head.cast("int")).over(w)).withColumn("heading", F.last(F.when(head, F.col("text")), ignorenulls=True).over(w)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema)
-    t = t.groupBy("doc").applyInPandas(_bins(most), f"{fields}, bin int")
+    t = t.sortWithinPartitions("doc", "scope", "pos", "part").mapInArrow(_bins(most), f"{fields}, bin int")
     if long_:
         few = items.join(big, F.col("doc") == F.col("__d"), "left_semi").select("doc", "pos", "label", "text", "page")
         scoped = running(few, ["doc"], ["pos"], {"scope": head.cast("long")}, {"heading": F.when(head, F.col("text"))})

@@ -41,3 +41,28 @@ def test_running_sums_and_last_values(spark):
         last[g] = s or last.get(g)
         assert got[i] == (total[g], last[g])
     assert ordered.running(df.limit(0), ["g"], ["i"], {"total": F.col("v")}).count() == 0
+
+
+def test_documents_go_through_tasks_in_batches_not_one_call_each(spark):
+    rng = random.Random(10)
+    rows, want = [], {}
+    for d in range(700):
+        bins, used, scope = [], 0, None
+        for i in range(rng.randint(1, 40)):
+            head, size = rng.random() < 0.1, rng.choice([0, 1, 4, 10, 11, 25])
+            rows.append((f"d{d}", i, "section_header" if head else None, "H" if head else "\n ".join(["w\t"] * size), i))
+            if head:
+                scope = i
+            for n in [] if head else [10] * (size // 10) + [size % 10] * (size % 10 > 0):
+                if not bins or bins[-1][0] != scope or used + n > 10:
+                    bins, used = [*bins, [scope, 0]], 0
+                used = bins[-1][1] = used + n
+        want |= {f"d{d}#chunk{k}": n for k, (_, n) in enumerate(bins)}
+    items = spark.createDataFrame(rows, "doc string, pos long, label string, text string, page int").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # documents go on in the next batch
+    try:
+        c = extract.chunk_items(items, 10)
+        assert "FlatMapGroups" not in c._jdf.queryExecution().optimizedPlan().toString()
+        assert {r.chunk_id: r.tokens for r in c.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
