@@ -95,6 +95,7 @@ class Step:
     where: Column | None = None  # over label, id, name, display
     prop: str | None = None
     optional: bool = False
+    totals: dict[str, Column] | None = None  # aggregates over what it reaches, by name, in place of a row each
 
 
 @dataclass
@@ -118,7 +119,8 @@ def match(g: Graph, spec: PathSpec) -> DataFrame:
     """One row for each way to match; columns <name> and <name>_display.
 
     Each step is an equi-join of the edges of one type; an optional one is a left join
-    with what the step could reach, so it never removes a row.
+    with what the step could reach, so it never removes a row.  A last step with totals is
+    aggregated by the node it starts from before it is joined, so its rows never multiply.
     """
     rows = _nodes(g, spec.name, spec.label, spec.where)
     at = spec.name
@@ -130,8 +132,9 @@ def match(g: Graph, spec: PathSpec) -> DataFrame:
         leg = e.select(F.col(near).alias(at), F.col(far).alias(s.name))
         if s.label or s.where is not None:
             leg = leg.join(_nodes(g, s.name, s.label, s.where), s.name)
-        reach = leg
-        rows = rows.join(reach, at, "left" if s.optional else "inner")
+        if s.totals:
+            leg = leg.groupBy(at).agg(*[c.alias(n) for n, c in s.totals.items()])
+        rows = rows.join(leg, at, "left" if s.optional else "inner")
         at = s.name
     return rows
 

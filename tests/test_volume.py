@@ -100,3 +100,17 @@ def test_snapshot_works_out_its_edges_once(spark):
     e = spark.range(40).selectExpr("'T' as type", "'n' || (id % 20) as source_id", "'n' || (id % 7) as target_id", "'p' as prop").mapInPandas(rows, "type string, source_id string, target_id string, prop string")
     assert match.snapshot(Graph(n, e), 500, 1200)[1].count() == 40
     assert seen.value == 40
+
+
+def test_evidence_meets_a_project_once_a_researcher(spark):
+    from pyspark.sql import functions as F
+
+    from grafita.operators.match import PathSpec, Step, match
+    from grafita.plans.derived import Graph
+
+    n = spark.createDataFrame([("Grupo", "g1"), ("Grupo", "g2"), ("Investigador", "i1"), ("Investigador", "i2")], "label string, id string").selectExpr("label", "id", "id as name", "id as display")
+    took = [("P", i, g, None) for i, g in (("i1", "g1"), ("i1", "g2"), ("i2", "g2"))]
+    e = spark.createDataFrame(took + [("X", f"c{k}", "i1", None) for k in range(50)], "type string, source_id string, target_id string, prop string")
+    steps = [Step("P", "inv", ("Investigador",), out=False), Step("X", "chunk", out=False, optional=True, totals={"n": F.count("chunk"), "first": F.min("chunk")})]
+    rows = match(Graph(n, e), PathSpec("pid", ("Grupo",), None, steps)).select("pid", "inv", "n", "first").collect()
+    assert sorted(map(tuple, rows)) == [("g1", "i1", 50, "c0"), ("g2", "i1", 50, "c0"), ("g2", "i2", None, None)]
