@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from grafita.functions import text as tx
 from grafita.operators.evaluate import compare, safe
-from grafita.plans.derived import Graph
+from grafita.plans.derived import Graph, union
 from grafita.schema import EDGE_RULES
+from grafita.sources.shared import dealt, stored
 
 #: Gold texts that stand for questions without an answer.
 SENTINELS = (
@@ -38,14 +39,29 @@ def project_subgraphs(g: Graph, types: Sequence[str], documents: str = "Document
     """project_id, type, source_id, target_id: the edges that touch a project, all projects in one pass.
 
     Edges to chunks stay out by their type, so no chunk is read; so do edges to documents of kind tabla.
+    Edges are dealt by the end at which the rules allow a project, once.  The other ends are few
+    different nodes; only types that have projects or such documents there, whatever the rules
+    say, are also joined by them.
     """
     types = [t for t in types if "Chunk" not in EDGE_RULES[t][0] + EDGE_RULES[t][1]]
     p = g.nodes_of("Proyecto").select(F.col("id").alias("project_id"))
     out = g.nodes_of(documents).where("name = 'tabla'").select("id")
-    e = g.edges_of(*types).select("type", "source_id", "target_id")
-    a = e.join(p, F.col("source_id") == F.col("project_id")).withColumn("id", F.col("target_id"))
-    b = e.join(p, F.col("target_id") == F.col("project_id")).withColumn("id", F.col("source_id"))
-    return a.unionByName(b).join(out, "id", "left_anti").select("project_id", "type", "source_id", "target_id").distinct()
+    e = stored(g.edges_of(*types).select("type", "source_id", "target_id"))
+    ends = {(t, end): "Proyecto" in labels for t in types for end, labels in zip(("source_id", "target_id"), EDGE_RULES[t], strict=False)}
+    others = [e.where(F.col("type") == t).select(F.lit(t).alias("type"), F.lit(end).alias("end"), F.col(end).alias("id")) for (t, end), ruled in ends.items() if not ruled]
+    met = stored(union(*others).distinct())
+    having = lambda ids: {tuple(r) for r in met.join(ids, "id", "left_semi").select("type", "end").distinct().collect()}
+    stray, tables = having(p.withColumnRenamed("project_id", "id")), having(out)
+    legs: dict[bool, list[DataFrame]] = {False: [], True: []}
+    for (t, end), ruled in ends.items():
+        far = "target_id" if end == "source_id" else "source_id"
+        if ruled or (t, end) in stray:
+            leg = e.where(F.col("type") == t).select(F.col(end).alias("project_id"), "type", F.col(far).alias("id"), F.col("source_id").eqNullSafe(F.col(end)).alias("__out"))
+            legs[ends[t, far] or (t, far) in tables].append(leg)
+    parts = ([union(*legs[True]).join(out, "id", "left_anti").select("project_id", "type", "id", "__out")] if legs[True] else []) + legs[False]
+    rows = dealt(union(*parts), e.count(), "project_id").join(p, "project_id", "left_semi").distinct()
+    source, target = F.when(F.col("__out"), F.col("project_id")).otherwise(F.col("id")), F.when(F.col("__out"), F.col("id")).otherwise(F.col("project_id"))
+    return rows.select("project_id", "type", source.alias("source_id"), target.alias("target_id"))
 
 
 def leaderboard(scores: DataFrame, quality: DataFrame) -> DataFrame:

@@ -114,3 +114,29 @@ def test_evidence_meets_a_project_once_a_researcher(spark):
     steps = [Step("P", "inv", ("Investigador",), out=False), Step("X", "chunk", out=False, optional=True, totals={"n": F.count("chunk"), "first": F.min("chunk")})]
     rows = match(Graph(n, e), PathSpec("pid", ("Grupo",), None, steps)).select("pid", "inv", "n", "first").collect()
     assert sorted(map(tuple, rows)) == [("g1", "i1", 50, "c0"), ("g2", "i1", 50, "c0"), ("g2", "i2", None, None)]
+
+
+def counting(spark, df):
+    """df, and how many of its rows were worked out."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    return df.mapInPandas(rows, df.schema), seen
+
+
+def test_subgraphs_work_out_edges_once_and_keep_ends_against_the_rules(spark):
+    from grafita.operators.scoring import project_subgraphs
+    from grafita.plans.derived import Graph
+
+    n = spark.createDataFrame([("Proyecto", "p1", "x"), ("Proyecto", "p2", "x"), ("Grupo", "g", "x"), ("Documento", "d1", "tabla"), ("Documento", "d2", "informe")], "label string, id string, name string")
+    rows = [("ES_DESCRITO_POR", "p1", "d1"), ("ES_DESCRITO_POR", "p1", "d2"), ("PARTICIPO_EN", "i", "p2"), ("PARTICIPO_EN", "i", "p2"), ("PARTICIPO_EN", "i", "g"), ("PARTICIPO_EN", "d1", "p2"),
+            ("TIENE_TOPICO", "p1", "p2"), ("TIENE_TOPICO", "p2", "p2"), ("TIENE_TOPICO", "x", "p1"), ("TIENE_TOPICO", "d1", "p1"), ("TIENE_TOPICO", "p1", None), ("TIENE_TOPICO", None, "p2"), ("TITULO_EXTRAIDO_DE", "p1", "c")]
+    e, seen = counting(spark, spark.createDataFrame([(*r, None) for r in rows], "type string, source_id string, target_id string, prop string"))
+    got = sorted(map(str, project_subgraphs(Graph(n, e), ["ES_DESCRITO_POR", "PARTICIPO_EN", "TIENE_TOPICO", "TITULO_EXTRAIDO_DE"]).collect()))
+    want = {(p, t, a, b) for t, a, b in rows if t[:2] != "TI" or t == "TIENE_TOPICO" for p, far in ((a, b), (b, a)) if p in ("p1", "p2") and far != "d1"}
+    assert got == sorted(f"Row(project_id={p!r}, type={t!r}, source_id={a!r}, target_id={b!r})" for p, t, a, b in want)
+    assert seen.value == len(rows)
