@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grafita.functions import text as tx
 from grafita.operators.store import first_by
-from grafita.sources.shared import cut
+from grafita.sources.shared import cut, dealt, stored
 
 
 def repair_csv(lines: DataFrame) -> DataFrame:
@@ -96,16 +96,20 @@ def extract_chunks(chunks: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
     """
     stem = F.regexp_replace(F.element_at(F.split(F.translate("source", "\\", "/"), "/"), -1), r"(?<=.)\.[^.]+$", "")
     known = docs.groupBy(F.col("basename").alias("__stem")).agg(F.min("doc").alias("doc"))
-    c = chunks.withColumn("__stem", stem).join(known, "__stem", "left").drop("__stem")
+    whole = stored(chunks.withColumns({"__stem": stem, "__row": F.monotonically_increasing_id()}))
+    rows = whole.count()
+    # places are found without the texts, which meet them by row at the end
+    c = dealt(whole.select("__row", "__stem", "file", "pos", "chunk_id", "bad"), rows, "__stem").join(known, "__stem", "left").drop("__stem")
+    bad = F.min(F.when(F.col("bad").isNotNull() & F.col("doc").isNotNull(), F.struct("pos", "bad"))).over(Window.partitionBy("file"))
+    c = stored(dealt(c, rows, "file").withColumns({"__stop": bad, "prev": F.lag("chunk_id").over(Window.partitionBy("file", F.col("doc").isNull()).orderBy("pos"))}))
     lost = c.where("doc is null").select("file", F.lit(None).cast("long").alias("pos"), F.lit("MissingDocumentForChunks").alias("type")).distinct()
-    order = Window.partitionBy("file").orderBy("pos")
-    bad = F.min(F.when(F.col("bad").isNotNull(), F.struct("pos", "bad"))).over(Window.partitionBy("file"))
-    c = c.where("doc is not null").withColumns({"__stop": bad, "prev": F.lag("chunk_id").over(order)})
+    c = c.where("doc is not null")
     errors = c.where("pos = __stop.pos").select("file", F.col("pos").cast("long").alias("pos"), F.col("bad").alias("type"))
     kept = c.where("__stop is null or pos < __stop.pos")
     edge = lambda df, kind, a, b: df.select(F.lit(kind).alias("type"), F.col(a).alias("source_id"), F.col(b).alias("target_id"))
     edges = edge(kept.where("prev is null"), "PRIMER_CHUNK", "doc", "chunk_id").unionByName(edge(kept.where("prev is not null"), "SIGUIENTE_CHUNK", "prev", "chunk_id"))
-    nodes = kept.select(F.col("chunk_id").alias("id"), F.coalesce("text", F.lit("")).alias("texto"), F.col("pages").alias("paginas"))
+    texts = dealt(whole.select("__row", "chunk_id", "text", "pages"), rows, "__row").join(kept.select("__row"), "__row", "left_semi")
+    nodes = texts.select(F.col("chunk_id").alias("id"), F.coalesce("text", F.lit("")).alias("texto"), F.col("pages").alias("paginas"))
     return nodes, edges.unionByName(edge(kept, "DE_DOCUMENTO", "chunk_id", "doc")), lost.unionByName(errors)
 
 

@@ -140,3 +140,15 @@ def test_subgraphs_work_out_edges_once_and_keep_ends_against_the_rules(spark):
     want = {(p, t, a, b) for t, a, b in rows if t[:2] != "TI" or t == "TIENE_TOPICO" for p, far in ((a, b), (b, a)) if p in ("p1", "p2") and far != "d1"}
     assert got == sorted(f"Row(project_id={p!r}, type={t!r}, source_id={a!r}, target_id={b!r})" for p, t, a, b in want)
     assert seen.value == len(rows)
+
+
+def test_chunks_of_files_are_worked_out_once(spark):
+    from grafita.operators.tabular import extract_chunks
+
+    rows = [("f1", "in/a.pdf", i, f"a{i}", f"t{i}", [i], None) for i in range(4)] + [("f2", "b.pdf", i, f"b{i}", None, [i], "InvalidChunk" if i == 2 else None) for i in range(4)] + [("f3", "z.pdf", i, f"z{i}", "t", [i], "InvalidChunk") for i in range(3)]
+    c, seen = counting(spark, spark.createDataFrame(rows, "file string, source string, pos int, chunk_id string, text string, pages array<int>, bad string"))
+    nodes, edges, errors = extract_chunks(c, spark.createDataFrame([("A", "a"), ("B", "b")], "doc string, basename string"))
+    assert sorted(map(tuple, nodes.collect())) == [(f"a{i}", f"t{i}", [i]) for i in range(4)] + [(f"b{i}", "", [i]) for i in range(2)]
+    assert sorted(map(tuple, edges.where("type <> 'DE_DOCUMENTO'").collect())) == [("PRIMER_CHUNK", "A", "a0"), ("PRIMER_CHUNK", "B", "b0"), ("SIGUIENTE_CHUNK", "a0", "a1"), ("SIGUIENTE_CHUNK", "a1", "a2"), ("SIGUIENTE_CHUNK", "a2", "a3"), ("SIGUIENTE_CHUNK", "b0", "b1")]
+    assert edges.where("type = 'DE_DOCUMENTO'").count() == 6 and sorted(map(tuple, errors.collect())) == [("f2", 2, "InvalidChunk"), ("f3", None, "MissingDocumentForChunks")]
+    assert seen.value == len(rows)
