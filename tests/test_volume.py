@@ -152,3 +152,16 @@ def test_chunks_of_files_are_worked_out_once(spark):
     assert sorted(map(tuple, edges.where("type <> 'DE_DOCUMENTO'").collect())) == [("PRIMER_CHUNK", "A", "a0"), ("PRIMER_CHUNK", "B", "b0"), ("SIGUIENTE_CHUNK", "a0", "a1"), ("SIGUIENTE_CHUNK", "a1", "a2"), ("SIGUIENTE_CHUNK", "a2", "a3"), ("SIGUIENTE_CHUNK", "b0", "b1")]
     assert edges.where("type = 'DE_DOCUMENTO'").count() == 6 and sorted(map(tuple, errors.collect())) == [("f2", 2, "InvalidChunk"), ("f3", None, "MissingDocumentForChunks")]
     assert seen.value == len(rows)
+
+
+def test_researchers_projects_are_dealt_by_their_number(spark, monkeypatch):
+    from grafita.plans import q_match
+    from grafita.sources import shared
+
+    monkeypatch.setattr(shared, "TASK_ROWS", 100)
+    sf = "/root/testdata/sf0.001"
+    want = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 100)
+    plan = q_match.QUERIES["op_f22"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    for key in ("l_orderkey#", "pid#", "inv#"):
+        dealt = [x for x in plan.splitlines() if f"RepartitionByExpression [{key}" in x]
+        assert dealt and all(x.rstrip().endswith(f"], {want}") for x in dealt), (key, plan)
