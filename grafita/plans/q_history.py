@@ -66,15 +66,16 @@ union all select tab, count(*), null, null, null, null, true from a where query_
 def a16_a17(s, d):
     """Orders and lines as two batches over four tables, in both spellings; every fifth question goes, with all of its own."""
     store = vs.Store(s, shared_folder(s, "history"))
-    o, li = table(s, d, "orders"), lines(s, d)
-    name = lambda k: F.lpad(F.col(k).cast("string"), 12, "0").alias("ref")
+    # lines that these four columns do not tell apart are the same to all that follows
+    o, order = table(s, d, "orders"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    li = hi.numbered(table(s, d, "lineitem").select(*order), order, 0, "n")
     for odd in (0, 1):
-        mine = li.where(f"l_orderkey % 2 = {odd}").select(name("l_orderkey"), F.col("n").alias("seq"), F.concat(F.lit("x"), F.col("l_suppkey").cast("string")).alias("c"), F.concat(F.lit("l"), F.col("l_partkey").cast("string")).alias("t"))
+        mine = li.where(f"l_orderkey % 2 = {odd}").select(F.col("l_orderkey").alias("ref"), F.col("n").alias("seq"), F.concat(F.lit("x"), F.col("l_suppkey").cast("string")).alias("c"), F.concat(F.lit("l"), F.col("l_partkey").cast("string")).alias("t"))
         n = F.col("seq")
         either = F.when(n % 4 == 0, F.col("c"))
         graph = mine.where("seq % 2 = 0").select("ref", "seq", either.alias("chunk_id"), F.when(n % 4 != 0, F.col("c")).alias("id"), F.lit("").alias("chunk_text"), F.col("t").alias("text"), (n % 3).cast("int").alias("page"))
         batch = {
-            "queries": o.where(f"o_orderkey % 2 = {odd}").select(name("o_orderkey"), F.lit(0).alias("seq"), F.col("o_orderpriority").alias("query_text")),
+            "queries": o.where(f"o_orderkey % 2 = {odd}").select(F.col("o_orderkey").alias("ref"), F.lit(0).alias("seq"), F.col("o_orderpriority").alias("query_text")),
             "chunks": mine.where("seq % 2 = 1").select("ref", "seq", F.col("c").alias("id"), F.col("t").alias("text"), F.lit(0.5).alias("score")),
             "graph_chunks": graph,
             "chunk_entities": mine.where("seq % 5 <= 2").select("ref", "seq", F.col("c").alias("chunk_id"), F.col("t").alias("entity_id"), F.lit("Topico").alias("entity_label")),

@@ -22,6 +22,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grafita.sources.shared import PLAIN
+
 #: Rows that a bucket holds on average at most, and the most buckets a part may have.
 BUCKET_ROWS, MOST_BUCKETS = 250_000, 4096
 _BUCKET = "__bucket"
@@ -122,24 +124,41 @@ class Store:
 
     # -- writing
 
-    def part(self, df: DataFrame, keys: Sequence[str]) -> dict:
-        """Writes df as a part that no version names yet."""
+    def part(self, df: DataFrame, keys: Sequence[str], most: int | None = None) -> dict:
+        """Writes df as a part that no version names yet.
+
+        With ``most``, the rows it has or a little more than that, df is not held and counted
+        before it is written.
+        """
         path = f"data/{uuid.uuid4().hex}"
+        if most is not None:
+            of = buckets_for(most)
+            if most:
+                self.write(df, keys, of, path)
+            return {"path": path, "of": of, "buckets": self.counted(path) if most else {}}
         df = df.persist()
         try:
             fine = df.groupBy(bucket_of(keys, MOST_BUCKETS).alias("b")).count().collect()  # at most MOST_BUCKETS rows
-            rows, of = sum(r["count"] for r in fine), 1
-            while of * BUCKET_ROWS < rows and of < MOST_BUCKETS:
-                of *= 2
+            rows = sum(r["count"] for r in fine)
+            of = buckets_for(rows)
             buckets: dict[str, int] = {}
             for r in fine:
                 buckets[str(r["b"] % of)] = buckets.get(str(r["b"] % of), 0) + r["count"]
-            if rows:  # a bucket that one key makes large is split over tasks
-                df.withColumn(_BUCKET, bucket_of(keys, of)).hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.root}/{path}")
+            if rows:
+                self.write(df, keys, of, path)
         finally:
             df.unpersist()
         return {"path": path, "of": of, "buckets": buckets}
 
+    def write(self, df: DataFrame, keys: Sequence[str], of: int, path: str) -> None:
+        """A part's folders; a bucket that one key makes large is split over tasks."""
+        df.withColumn(_BUCKET, bucket_of(keys, of)).hint("rebalance", _BUCKET).write.options(**PLAIN).partitionBy(_BUCKET).parquet(f"{self.root}/{path}")
+
+    def counted(self, path: str) -> dict[str, int]:
+        """Rows by bucket of a part that is written, from the heads of its files."""
+        told = self.spark.read.schema(f"{_BUCKET} int").option("basePath", f"{self.root}/{path}").parquet(f"{self.root}/{path}")
+        return {str(r[_BUCKET]): r["count"] for r in told.groupBy(_BUCKET).count().collect()}
+
     def commit(self, base: int, manifest: dict) -> int:
         """Makes ``manifest`` the version after ``base``, or raises Conflict."""
         self.files.fs.mkdirs(self.files.path("versions"))
@@ -230,7 +249,7 @@ class Store:
         if not hit:
             return 0
         old = self.spark.read.schema(t["schema"]).parquet(*hit)
-        new = self.part(old.join(keys, [old[k].eqNullSafe(keys[k]) for k in t["keys"]], "left_anti"), t["keys"])
+        new = self.part(old.join(keys.hint("shuffle_hash"), [old[k].eqNullSafe(keys[k]) for k in t["keys"]], "left_anti"), t["keys"], read)
         t["parts"] = [p for p in [*kept, new] if p["buckets"]]
         return read - size(new)
 
@@ -272,6 +291,13 @@ class Store:
         return len(old)
 
 
+def buckets_for(rows: int) -> int:
+    of = 1
+    while of * BUCKET_ROWS < rows and of < MOST_BUCKETS:
+        of *= 2
+    return of
+
+
 def size(part: dict) -> int:
     return sum(part["buckets"].values())
 

@@ -3,6 +3,7 @@
 import threading
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grafita.operators import history as hi
@@ -107,6 +108,45 @@ def test_history_over_four_tables(spark, store):
     assert all(store.read(n).count() == 0 for n in hi.KEYS)
 
 
+@pytest.mark.parametrize("most", [250_000, 4])
+def test_children_get_ids_by_question_and_seq(spark, store, monkeypatch, most):
+    from grafita.sources import shared
+
+    monkeypatch.setattr(shared, "TASK_ROWS", most)  # questions of more children are numbered range by range
+    orders, held = [], []
+    plain, persist = hi.numbered, DataFrame.persist
+    monkeypatch.setattr(hi, "numbered", lambda rows, order, *a, **k: orders.append(list(order)) or plain(rows, order, *a, **k))
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a: held.append(1) or persist(self, *a))
+    refs = ["a", "b", "b", "c", "d", None]  # b is two questions, which both have its children
+    q = spark.createDataFrame([(r, i, f"q{i}") for i, r in enumerate(refs)], "ref string, seq long, query_text string")
+    kids = [("a", 3), ("b", 9), ("lost", 1), (None, 2), ("c", 1)] + [("d", i) for i in range(11, 0, -1)] + [("a", i) for i in (7, 5, 6, 4, 2)] + [("lost", i) for i in range(9)]
+    c = spark.createDataFrame([(r, i, f"{r}{i}") for r, i in kids], "ref string, seq long, id string").repartition(5)
+    for n in range(2):
+        hi.append_history(store, {"queries": q, "chunks": c, "chunk_entities": c.where("seq > 5").withColumnRenamed("id", "chunk_id")})
+        ids = {r.query_text: r.id for r in store.read("queries").where(f"id > {6 * n}").collect()}
+        assert ids == {"q5": 6 * n + 1, "q0": 6 * n + 2, "q1": 6 * n + 3, "q2": 6 * n + 4, "q3": 6 * n + 5, "q4": 6 * n + 6}
+        for table, least, per in (("chunks", 0, 20), ("chunk_entities", 6, 10)):
+            mine = sorted((ids[f"q{j}"], s, f"{r}{s}") for j, x in enumerate(refs) for r, s in kids if x is not None and r == x and s >= least)
+            got = store.read(table).where(f"query_id > {6 * n}").select("id", "query_id", "chunk_id").collect()
+            assert len(mine) == per and sorted(map(tuple, got)) == [(per * n + i + 1, qid, cid) for i, (qid, _, cid) in enumerate(mine)]
+    assert store.read("graph_chunks").count() == 0 and store.rows("chunks") == 40 and store.rows("chunk_entities") == 20
+    # children are put in one order only where a task could not number a question's, and none are held and counted
+    assert not held and orders.count(["query_id", "seq"]) == (0 if most > 100 else 4)
+
+
+def test_a_batch_that_differs_when_read_again_is_refused(spark, store, tmp_path):
+    def rows(batches):
+        for b in batches:
+            yield b.iloc[: 3 if (tmp_path / "read").exists() else 2]
+            (tmp_path / "read").touch()
+
+    q = spark.createDataFrame([("a", 0, "q")], "ref string, seq long, query_text string")
+    c = spark.range(3, numPartitions=1).selectExpr("'a' as ref", "id as seq", "'x' as id").mapInPandas(rows, "ref string, seq long, id string")
+    with pytest.raises(Exception, match="differ from one reading"):
+        hi.append_history(store, {"queries": q, "chunks": c})
+    assert store.version() == 0
+
+
 def test_files_enter_the_manifest_after_success(spark, store):
     from grafita.operators.store import ingest_changed
 
