@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from grafita import schema
 from grafita.operators import checks as ck
+from grafita.operators.distinct import counts
 from grafita.plans.derived import graph, table, union
 from grafita.plans.registrar import registrar
 from grafita.sources import files as fs
 from grafita.sources import versions as vs
-from grafita.sources.shared import cut, shared_folder
+from grafita.sources.shared import cut, shared_folder, swept
 from grafita.streaming import ingest as ig
 
 QUERIES, ORACLE, reg = registrar()
@@ -163,19 +164,22 @@ def a13(s, d):
 
 @reg("a14_a15", "select 'node' as kind, label as name, count(*) * 2 as n, count(*) as ids from nodes group by label union all select 'edge', type, count(*) * 2, count(distinct (source_id, target_id)) from edges group by type", True)
 def a14_a15(s, d):
-    root = shared_folder(s, "export")
+    """The graph is derived once, exported and appended; then its one copy goes, and what was written is counted."""
+    root, once = shared_folder(s, "export"), shared_folder(s, "derived")
     g = graph(s, d)
-    n = g.nodes.select("id", "label", F.create_map(F.lit("created_at"), F.lit("x"), F.lit("valor"), F.col("name")).alias("props"))
-    e = g.edges.select("type", "source_id", "target_id", F.create_map(F.lit("updated_at"), F.lit("x")).alias("props"))
-    once = shared_folder(s, "derived")  # the graph is derived once, then exported and appended
-    n.write.parquet(f"{once}/nodes")
-    e.write.parquet(f"{once}/edges")
+    with swept(s):
+        g.nodes.select("id", "label", "name").sortWithinPartitions("id").write.parquet(f"{once}/nodes", compression="zstd")
+        g.edges.select("type", "source_id", "target_id").sortWithinPartitions("type", "source_id", "target_id").write.parquet(f"{once}/edges", compression="zstd")
     n, e = s.read.parquet(f"{once}/nodes"), s.read.parquet(f"{once}/edges")
+    sizes = 2 * n.count(), 2 * e.count()
+    n = n.select("id", "label", F.create_map(F.lit("created_at"), F.lit("x"), F.lit("valor"), F.col("name")).alias("props"))
+    e = e.withColumn("props", F.create_map(F.lit("updated_at"), F.lit("x")))
     fs.export_graph(n, e, root)
     fs.append_graph(n, e, root)
+    vs.Files(s, once).delete(".")
     nodes, edges = fs.import_graph(s, root)
-    count = lambda df, kind, name, *key: df.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n"), F.countDistinct(*key).alias("ids")).select(F.lit(kind).alias("kind"), "name", "n", "ids")
-    return count(nodes, "node", "label", "id").unionByName(count(edges, "edge", "type", "source_id", "target_id"))
+    counted = lambda df, kind, *of: counts(df, *of).select(F.lit(kind).alias("kind"), "name", "n", "ids")
+    return union(counted(nodes, "node", sizes[0], "label", "id"), counted(edges, "edge", sizes[1], "type", "source_id", "target_id"))
 
 
 @reg("a18_a19", "select conv_id || '-' || turn as id, trim(text, ' ') as question, true as ok from conversations where role = 'user' and trim(text, ' ') <> ''")

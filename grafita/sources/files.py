@@ -7,6 +7,7 @@ of them is a row of the result, not a failure.
 from __future__ import annotations
 
 import io
+import math
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grafita.functions import text as tx
-from grafita.sources.shared import cut
+from grafita.sources.shared import cut, swept
 
 #: Extensions of a corpus.
 EXTENSIONS = ("pdf", "docx", "pptx", "xlsx", "html", "md", "txt")
@@ -268,10 +269,15 @@ def embedding_report(vectors: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def export_graph(nodes: DataFrame, edges: DataFrame, path: str, internal: Sequence[str] = ("created_at", "updated_at")) -> None:
-    """Nodes by id and edges by (type, source, target) as JSON lines, gzipped, without bookkeeping properties."""
+    """Nodes by id and edges by (type, source, target) as JSON lines, gzipped, without bookkeeping properties.
+
+    Both are counted first and sorted in tasks of about FILE_ROWS rows, which don't spill.
+    """
     clean = F.map_filter("props", lambda k, _: ~k.isin(*internal))
-    _json_lines(nodes.withColumn("props", clean).orderBy("id"), f"{path}/entities")
-    _json_lines(edges.withColumn("props", clean).orderBy("type", "source_id", "target_id"), f"{path}/relationships")
+    with swept(nodes.sparkSession):
+        for rows, name, keys in ((nodes, "entities", ["id"]), (edges, "relationships", ["type", "source_id", "target_id"])):
+            dealt = rows.withColumn("props", clean).repartitionByRange(math.ceil(rows.count() / FILE_ROWS) or 1, *keys)
+            _json_lines(dealt.sortWithinPartitions(*keys), f"{path}/{name}")
 
 
 def _json_lines(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:

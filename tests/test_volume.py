@@ -165,3 +165,55 @@ def test_researchers_projects_are_dealt_by_their_number(spark, monkeypatch):
     for key in ("l_orderkey#", "pid#", "inv#"):
         dealt = [x for x in plan.splitlines() if f"RepartitionByExpression [{key}" in x]
         assert dealt and all(x.rstrip().endswith(f"], {want}") for x in dealt), (key, plan)
+
+
+def test_distinct_keys_are_packed_and_counted_whole(spark, monkeypatch):
+    import pyarrow as pa
+
+    from grafita.operators import distinct
+
+    monkeypatch.setattr(distinct, "BUCKET_ROWS", 300)
+    rows = [(t, a, b) for t in ("x", "y", None) for a in ("", "1", "1:1", "ñandú", None) for b in ("", "1", "1:", ":1", None)] * 3
+    rows += [("z", f"s{i % 40}", f"t{i % 70}") for i in range(2000)] + [("hub", "s", "t")] * 900 + [("none", None, "t")] * 2
+    df = spark.createDataFrame(rows, "name string, a string, b string").repartition(5)
+    want = {n: (sum(r[0] == n for r in rows), len({r for r in rows if r[0] == n and None not in r[1:]})) for n in {r[0] for r in rows}}
+    got = distinct.counts(df, len(rows), "name", "a", "b")
+    assert {r.name: (r.n, r.ids) for r in got.collect()} == want and got.columns == ["name", "n", "ids"]
+    assert distinct.counts(df.where("false"), 0, "name", "a").collect() == []
+    monkeypatch.setattr(distinct, "PACK_ROWS", 100)
+    one = pa.record_batch({"name": ["x"] * 60, "bucket": pa.array([i % 2 for i in range(60)], pa.int32()), "key": [f"key {i // 4:09}" for i in range(60)]})
+    packed = list(distinct._packed(iter([one] * 5)))
+    assert [p["n"].to_pylist() for p in packed] == [[60, 60], [60, 60], [30, 30]] and all(p["n_keys"].to_pylist() == [15, 15] for p in packed)
+
+
+def test_graph_is_sorted_in_tasks_of_bounded_rows_and_leaves_no_shuffle(spark, tmp_path, monkeypatch):
+    import glob
+    import time
+
+    monkeypatch.setattr(files, "FILE_ROWS", 40)
+    root = spark.sparkContext.getConf().get("spark.local.dir")
+    shuffles = lambda: set(glob.glob(f"{root}/**/shuffle_*.data", recursive=True))
+    before = shuffles()
+    n = spark.range(200, 0, -1).selectExpr("'n' || lpad(id, 3, '0') as id", "'L' as label", "map('valor', 'v') as props")
+    e = spark.range(200).selectExpr("'T' as type", "'n' || (id % 7) as source_id", "'n' || id as target_id", "map('valor', 'v') as props")
+    files.export_graph(n, e, str(tmp_path / "g"))
+    for part in ("entities", "relationships"):
+        assert len({p.name[:10] for p in (tmp_path / "g" / part).iterdir() if p.name.startswith("part-")}) >= 4  # tasks
+    lines = [r.id for p in sorted(glob.glob(f"{tmp_path}/g/entities/part-*")) for r in spark.read.json(p).collect()]
+    assert lines == [f"n{i:03}" for i in range(1, 201)]
+    end = time.time() + 20
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before
+
+
+def test_graph_export_drops_its_derived_copy(spark):
+    import pathlib
+
+    from grafita.plans import q_files
+
+    top = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(top.iterdir()) if top.exists() else set()
+    q_files.QUERIES["op_a14_a15"](spark, "/root/testdata/sf0.001").collect()
+    left = [p.name.split("-")[0] for p in set(top.iterdir()) - before]
+    assert "export" in left and "derived" not in left
