@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of one bucket on average at most, and rows that a task packs at once.
-BUCKET_ROWS, PACK_ROWS = 2_000_000, 500_000
+BUCKET_ROWS, PACK_ROWS = 4_000_000, 1_000_000
 _BLOBS = "name string, bucket int, n long, n_keys int, size int, keys binary"
 _SCHEMA = pa.schema([("name", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("n_keys", pa.int32()), ("size", pa.int32()), ("keys", pa.binary())])
 
